@@ -193,7 +193,7 @@ FROM @lineitem
 
 
 def _resolved(text: str, name_of) -> str:
-    return re.sub(r"@(\w+)", lambda m: name_of(m.group(1)), text)
+    return re.sub(rf"@({'|'.join(BASE_TABLES)})\b", lambda m: name_of(m.group(1)), text)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

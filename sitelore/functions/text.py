@@ -7,6 +7,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- fixed values: English stop words ---------------------------------------------------------------------
 STOP_WORDS = frozenset("""
@@ -153,7 +154,7 @@ def stem(word: str) -> str:
     return word.replace("Y", "y")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem_column(token: pd.Series) -> pd.Series:
     """Stems of a token column; each distinct token of a batch is stemmed once."""
     return token.map({t: stem(t) for t in token.dropna().unique()})

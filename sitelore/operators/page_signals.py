@@ -71,8 +71,8 @@ def dedupe_pages(pages: DataFrame, by: str = "canonical", order: str = "page_id"
     partial row per task); the page bodies are shuffled once, by their unique id.
     """
     key = urls.canonical_url("url") if by == "canonical" else F.sha2(F.coalesce("html", F.lit("")), 256)
-    winners = (pages.select(key.alias("__key"), F.col(order), F.col(id_col))
-               .groupBy("__key").agg(F.max(F.struct(order, id_col))[id_col].alias(id_col)))
+    winners = (pages.select(key.alias("__key"), F.col(order).alias("__order"), F.col(id_col).alias("__id"))
+               .groupBy("__key").agg(F.max(F.struct("__order", "__id"))["__id"].alias(id_col)))
     return pages.join(winners.select(id_col), id_col, "left_semi")
 
 
@@ -117,7 +117,7 @@ def route_fetch_method(pages: DataFrame) -> DataFrame:
 
 
 def discover_endpoints(forms: DataFrame, request_log: DataFrame) -> DataFrame:
-    """Endpoints per page from form actions and from captured same-host requests.
+    """Endpoints per page from form actions and from captured requests that name the page's host.
 
     `request_log` has (page_id, page_url, url, method, resource_type, content_type).
     """
@@ -126,7 +126,7 @@ def discover_endpoints(forms: DataFrame, request_log: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("content_type"))
     from_log = (request_log
                 .filter(F.col("resource_type").isin("xhr", "fetch"))
-                .filter(urls.hostname("url") == urls.hostname("page_url"))
+                .filter(F.contains("url", urls.hostname("page_url")))
                 .select("page_id", "url", F.upper("method").alias("method"),
                         F.lit("xhr_intercept").alias("discovered_via"), "content_type"))
     return from_forms.unionByName(from_log).dropDuplicates(["page_id", "url", "method", "discovered_via"])

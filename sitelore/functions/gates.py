@@ -13,6 +13,7 @@ A key's log can be arbitrarily long, so it is cut into time chunks no shorter th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -46,102 +47,130 @@ def _exits(ts: np.ndarray, failed: np.ndarray, hold: np.ndarray, failures: int)
     return count, until
 
 
-def _summary(failures: int):
-    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__us", "__tie"], kind="stable")
-        ts = pdf["__us"].to_numpy(np.int64)
-        hold = pdf["__hold"].to_numpy(np.int64)
-        count, until = _exits(ts, pdf["__failed"].to_numpy(bool), hold, failures)
-        # entry while blocked: the first row at or after blocked_until is attempted with a full count
-        reach = min(len(ts), int(np.searchsorted(ts, ts[0] + int(pdf["__max_hold"].iloc[0]), side="left")) + 1)
-        steps: list[tuple[int, int, int]] = []
-        for i in range(reach):
-            step = (int(ts[i]), int(count[i][failures]), int(until[i][failures]))
-            if steps and steps[-1][1:] == step[1:]:
-                steps[-1] = step
-            else:
-                steps.append(step)
-        return pd.DataFrame([{
-            "__key": key[0], "__chunk": key[1],
-            "free_count": count[0].tolist(), "free_until": until[0].tolist(),
-            "hi": [s[0] for s in steps], "step_count": [s[1] for s in steps], "step_until": [s[2] for s in steps],
-        }])
-
-    return summarise
-
-
-def _chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Walk one key's chunk summaries in time order (one row per chunk, however many log rows it has)."""
-    pdf = pdf.sort_values("__chunk")
-    state, rows = (0, OPEN), []
-    for rec in pdf.itertuples(index=False):
-        chunk, free_count, free_until, hi, step_count, step_until = rec[1:]
-        rows.append((key[0], chunk, state[0], state[1]))
-        c, until = state
-        if until == OPEN:
-            state = (int(free_count[c]), int(free_until[c]))
-        else:
-            i = int(np.searchsorted(np.asarray(hi, dtype=np.int64), until, side="left"))
-            if i < len(hi):
-                state = (int(step_count[i]), int(step_until[i]))
-    return pd.DataFrame(rows, columns=["__key", "__chunk", "__count_in", "__until_in"])
+def _runs(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Consecutive rows of equal `by` values of a sorted partition, across batch borders."""
+    held: list[pd.DataFrame] = []
+    held_key: tuple | None = None
+    for pdf in frames:
+        if pdf.empty:
+            continue
+        starts = [0]
+        if len(pdf) > 1:
+            changed = np.zeros(len(pdf) - 1, dtype=bool)
+            for name in by:
+                values = pdf[name].to_numpy()
+                changed |= values[1:] != values[:-1]
+            starts += (np.flatnonzero(changed) + 1).tolist()
+        for start, end in zip(starts, [*starts[1:], len(pdf)], strict=True):
+            part = pdf.iloc[start:end]
+            key = tuple(part[name].iloc[0] for name in by)
+            if held and key != held_key:
+                yield held_key, held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+                held = []
+            held_key = key
+            held.append(part)
+    if held:
+        yield held_key, held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+
+
+def _in_frames(rows: Iterator[tuple], columns: list[str], size: int = 5000) -> Iterator[pd.DataFrame]:
+    while chunk := list(islice(rows, size)):
+        yield pd.DataFrame(chunk, columns=columns)
+
+
+def _summary(failures: int, max_hold_us: int, columns: list[str]):
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for (key, chunk), pdf in _runs(frames, ["__key", "__chunk"]):
+            ts = pdf["__us"].to_numpy(np.int64)
+            count, until = _exits(ts, pdf["__failed"].to_numpy(bool), pdf["__hold"].to_numpy(np.int64), failures)
+            # entry while blocked: the first row at or after blocked_until is attempted with a full count
+            reach = min(len(ts), int(np.searchsorted(ts, ts[0] + max_hold_us, side="left")) + 1)
+            steps: list[tuple[int, int, int]] = []
+            for i in range(reach):
+                step = (int(ts[i]), int(count[i][failures]), int(until[i][failures]))
+                if steps and steps[-1][1:] == step[1:]:
+                    steps[-1] = step
+                else:
+                    steps.append(step)
+            yield (key, chunk, count[0].tolist(), until[0].tolist(), [s[0] for s in steps], [s[1] for s in steps],
+                   [s[2] for s in steps])
+
+    return lambda frames: _in_frames(rows(frames), columns)
+
+
+def _chain(columns: list[str]):
+    """Walk each key's chunk summaries in time order (one row per chunk, however many log rows it has)."""
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        current, state = object(), (0, OPEN)
+        for pdf in frames:
+            for key, chunk, free_count, free_until, hi, step_count, step_until in pdf.itertuples(index=False):
+                if key != current:
+                    current, state = key, (0, OPEN)
+                yield key, chunk, *state
+                c, until = state
+                if until == OPEN:
+                    state = (int(free_count[c]), int(free_until[c]))
+                else:
+                    i = int(np.searchsorted(np.asarray(hi, dtype=np.int64), until, side="left"))
+                    if i < len(hi):
+                        state = (int(step_count[i]), int(step_until[i]))
 
+    return lambda frames: _in_frames(rows(frames), columns)
 
-def _replay(failures: int, columns: list[str]):
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__us", "__tie"], kind="stable")
-        count, until = int(pdf["__count_in"].iloc[0]), int(pdf["__until_in"].iloc[0])
-        attempted, counts, untils = [], [], []
-        for us, failed, hold in zip(pdf["__us"], pdf["__failed"], pdf["__hold"], strict=True):
-            open_now = us >= until
-            if open_now:
-                until = OPEN
-                if failed:
-                    count = min(count + 1, failures)
-                    if count >= failures:
-                        until = int(us) + int(hold)
-                else:
-                    count = 0
-            attempted.append(bool(open_now))
-            counts.append(count)
-            untils.append(None if until == OPEN else until)
-        out = pdf[columns].copy()
-        out["attempted"], out["failure_count"] = attempted, counts
-        out["blocked_until_us"] = pd.array(untils, dtype="Int64")
-        return out
 
-    return replay
+def _replay(failures: int, columns: list[str]):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, count, until = None, 0, OPEN
+        for pdf in frames:
+            attempted, counts, untils = [], [], []
+            for key, chunk, us, failed, hold, count_in, until_in in zip(
+                    pdf["__key"], pdf["__chunk"], pdf["__us"], pdf["__failed"], pdf["__hold"], pdf["__count_in"],
+                    pdf["__until_in"], strict=True):
+                if (key, chunk) != current:
+                    current, count, until = (key, chunk), int(count_in), int(until_in)
+                done, count, until = next(gate_steps(iter([(int(us), failed, int(hold))]), count, until, failures))
+                attempted.append(done)
+                counts.append(count)
+                untils.append(None if until == OPEN else until)
+            out = pdf[columns].copy()
+            out["attempted"], out["failure_count"] = attempted, counts
+            out["blocked_until_us"] = pd.array(untils, dtype="Int64")
+            yield out
+
+    return run
 
 
 def replay_gate(log: DataFrame, key: str, ts: str, tie: str, failed, hold_us, failures: int, max_hold_us: int,
-                chunk_us: int = 3_600_000_000) -> DataFrame:
+                chunk_us: int = 21_600_000_000) -> DataFrame:
     """Add attempted, failure_count and blocked_until_us to every row of `log`.
 
-    `failed` and `hold_us` are columns; `tie` orders rows of equal time and must be unique within a key.
+    `failed` and `hold_us` are columns; `tie` orders rows of equal time and must be unique within a key. Each step is a
+    hash partitioning, a sort and one pass over the sorted partition.
     """
     chunk_us = max(chunk_us, max_hold_us)
-    us = F.expr(f"unix_micros(CAST({ts} AS TIMESTAMP))")
-    rows = (log.withColumn("__key", F.col(key)).withColumn("__us", us)
+    rows = (log.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
+            .withColumn("__key", F.col(key)).withColumn("__us", F.expr(f"unix_micros(CAST({ts} AS TIMESTAMP))"))
             .withColumn("__chunk", F.expr(f"CAST(floor(__us / {chunk_us}) AS BIGINT)"))
             .withColumn("__tie", F.col(tie)).withColumn("__failed", failed)
-            .withColumn("__hold", hold_us.cast("bigint"))
-            .withColumn("__max_hold", F.lit(max_hold_us).cast("bigint")))
+            .withColumn("__hold", hold_us.cast("bigint")))
     key_type = log.schema[key].dataType
-    summary_schema = T.StructType([
-        T.StructField("__key", key_type), T.StructField("__chunk", T.LongType()),
-        *[T.StructField(n, T.ArrayType(T.LongType()))
-          for n in ("free_count", "free_until", "hi", "step_count", "step_until")]])
-    slim = rows.select("__key", "__chunk", "__us", "__tie", "__failed", "__hold", "__max_hold")
-    entry_schema = T.StructType([
-        T.StructField("__key", key_type), T.StructField("__chunk", T.LongType()),
-        T.StructField("__count_in", T.LongType()), T.StructField("__until_in", T.LongType())])
-    entry = (slim.groupBy("__key", "__chunk").applyInPandas(_summary(failures), summary_schema)
-             .groupBy("__key").applyInPandas(_chain, entry_schema))
+
+    def longs(*names: str) -> list[T.StructField]:
+        return [T.StructField(n, T.LongType()) for n in names]
+
+    start = [T.StructField("__key", key_type), *longs("__chunk")]
+    arrays = ("free_count", "free_until", "hi", "step_count", "step_until")
+    summary_schema = T.StructType([*start, *[T.StructField(n, T.ArrayType(T.LongType())) for n in arrays]])
+    entry_schema = T.StructType([*start, *longs("__count_in", "__until_in")])
     out_schema = T.StructType([*log.schema.fields, T.StructField("attempted", T.BooleanType()),
-                               T.StructField("failure_count", T.LongType()),
-                               T.StructField("blocked_until_us", T.LongType())])
-    return (rows.drop("__max_hold").join(entry, ["__key", "__chunk"])
-            .groupBy("__key", "__chunk").applyInPandas(_replay(failures, log.columns), out_schema))
+                               *longs("failure_count", "blocked_until_us")])
+    order = ["__key", "__chunk", "__us", "__tie"]
+    slim = rows.select(*order, "__failed", "__hold").repartition("__key", "__chunk").sortWithinPartitions(*order)
+    summaries = slim.mapInPandas(_summary(failures, max_hold_us, summary_schema.names), summary_schema)
+    entry = (summaries.repartition("__key").sortWithinPartitions("__key", "__chunk")
+             .mapInPandas(_chain(entry_schema.names), entry_schema))
+    joined = rows.join(entry, ["__key", "__chunk"]).repartition("__key", "__chunk").sortWithinPartitions(*order)
+    return joined.mapInPandas(_replay(failures, log.columns), out_schema)
 
 
 def gate_steps(rows: Iterator[tuple], count: int, until: int, failures: int) -> Iterator[tuple]:

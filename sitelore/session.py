@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +65,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the reliable checkpoint folder, so that a lost executor does not replay the loop."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` as a table in the checkpoint folder and read it back.
+
+    One pass over the plan, and a lost executor re-reads the table instead of replaying the loop. The size on disk is
+    known to the planner, so later joins are chosen by it.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/sitelore/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

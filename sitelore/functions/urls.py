@@ -10,32 +10,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # scheme, authority, path, query, fragment
-_PARTS = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#\s]+)([^?#\s]*)(?:\?([^#]*))?(?:#.*)?$"
+_PARTS = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?# ]+)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
 def _col(url: Column | str) -> Column:
     return F.col(url) if isinstance(url, str) else url
 
 
-def is_url(url: Column | str) -> Column:
-    return F.coalesce(_col(url).rlike(_PARTS), F.lit(False))
+# host of an absolute URL; the second form leaves out a leading www.
+_HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@ ]*@)?(\[[^\]]*\]|[^/?#: ]+)(?=[/?#:]|$)"
+_DOMAIN = _HOST.replace(r"(\[", r"(?:[wW]{3}\.)?(\[", 1)
 
 
 def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, _PARTS, group)
 
 
+def is_url(url: Column | str) -> Column:
+    """Whether the text is an absolute URL with a host."""
+    return F.coalesce(_col(url).rlike(_HOST), F.lit(False))
+
+
 def hostname(url: Column | str) -> Column:
     """Lower-case host without user and port; null when `url` is not absolute."""
-    url = _col(url)
-    host = F.regexp_replace(F.regexp_replace(_part(url, 2), r"^[^@]*@", ""), r":\d*$", "")
-    return F.when(is_url(url), F.lower(host))
+    host = F.lower(F.regexp_extract(_col(url), _HOST, 1))
+    return F.when(host != "", host)
 
 
 def domain(url: Column | str) -> Column:
-    """Host without a leading `www.`; the input itself when it is not a URL."""
+    """Host without a leading `www.`; the input itself when it is not a URL. One pattern match per row."""
     url = _col(url)
-    return F.coalesce(F.regexp_replace(hostname(url), r"^www\.", ""), url)
+    found = F.lower(F.regexp_extract(url, _DOMAIN, 1))
+    return F.when(found == "", url).otherwise(found)
 
 
 def canonical_url(url: Column | str) -> Column:

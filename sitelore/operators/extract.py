@@ -1,7 +1,7 @@
 """One Python pass over the page table, then plain column work on its nested result.
 
-The pass is `mapInArrow` on (page_id, url, html): it keeps the partitioning, shuffles nothing and reads only those
-three columns. A page's open-element stack gives `closest(...)` tests, label lookup and first-element rules.
+The pass is `mapInArrow` on (page_id, url, html): it reads only those three columns and keeps the partitioning of the
+scan (small inputs are spread over the cores first). A page's open-element stack gives `closest(...)` tests, label lookup and first-element rules.
 
 Differences to a browser's tree builder, on purpose: `dom_nodes` counts start tags left after noise removal plus the
 implied html, head and body; unclosed elements are closed by a short implied-end table instead of full HTML5 recovery.
@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sitelore import schemas
+from sitelore.session import spread
 
 ALL_PARTS = ("clean", "meta", "headings", "jsonld", "cms", "links", "forms", "images", "videos")
 
@@ -528,7 +529,7 @@ def extract_pages(pages: DataFrame, parts: Iterable[str] = ALL_PARTS, profile: s
                     rows.append({"page_id": row["page_id"], "url": row["url"], **read_page(url, html, parts, live)})
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
 
-    slim = pages.select(F.col(id_col).alias("page_id"), "url", "html")
+    slim = spread(pages.select(F.col(id_col).alias("page_id"), "url", "html"), "page_id")
     return slim.mapInArrow(run, schema)
 
 

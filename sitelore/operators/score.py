@@ -21,13 +21,13 @@ def round_half_up(value: Column, digits: int = 1) -> Column:
 def score_pages(pages: DataFrame, entities: DataFrame) -> DataFrame:
     """One score row per page (page_id, page_type_confidence), pages without entities included."""
     is_action = F.col("category") == "action"
-    kind = F.get_json_object("data", "$.type")
-    fields = F.get_json_object("data", "$.fields")
-    endpoint = F.get_json_object("data", "$.endpoint")
-    counts = entities.filter(F.col("page_id").isNotNull()).select(
-        "page_id", "category", is_action.alias("a"), F.when(is_action, kind).alias("kind"),
-        (is_action & F.coalesce(F.json_array_length(fields) > 0, F.lit(False))).alias("has_fields"),
-        (is_action & F.coalesce(endpoint != "", F.lit(False))).alias("has_endpoint"),
+    payload = F.when(is_action, F.from_json("data", "type string, fields string, endpoint string"))
+    slim = entities.filter(F.col("page_id").isNotNull()).select(
+        "page_id", "category", is_action.alias("a"), payload.alias("p"))
+    counts = slim.select(
+        "page_id", "category", "a", F.col("p.type").alias("kind"),
+        F.coalesce(F.json_array_length("p.fields") > 0, F.lit(False)).alias("has_fields"),
+        F.coalesce(F.col("p.endpoint") != "", F.lit(False)).alias("has_endpoint"),
     ).groupBy("page_id", "kind").agg(
         # first combine per (page, kind), then per page: distinct kinds become a plain count
         F.count("*").alias("n"), F.count_if("a").alias("actions"),
@@ -101,9 +101,10 @@ def action_map(actions: DataFrame, key: str = "page_id") -> DataFrame:
     """E4 over action entities (key, domain, id, data, confidence, ord): capability flags and the primary action."""
     df = actions.filter(F.col("category") == "action") if "category" in actions.columns else actions
     df = df.select(key, "domain", "id", "confidence", "ord",
-                   F.get_json_object("data", "$.type").alias("kind"),
-                   F.lower(F.coalesce(F.get_json_object("data", "$.purpose"), F.lit(""))).alias("purpose"),
-                   F.coalesce(F.get_json_object("data", "$.endpoint"), F.lit("")).alias("endpoint"))
+                   F.from_json("data", "type string, purpose string, endpoint string").alias("p"))
+    df = df.select(key, "domain", "id", "confidence", "ord", F.col("p.type").alias("kind"),
+                   F.lower(F.coalesce("p.purpose", F.lit(""))).alias("purpose"),
+                   F.coalesce("p.endpoint", F.lit("")).alias("endpoint"))
     form = F.col("kind") == "form_submit"
     position = F.array_position(F.array(*[F.lit(t) for t in PRIMARY_ACTION_ORDER]), F.col("kind")) - 1
     eligible = (F.col("endpoint") != "") | ~form

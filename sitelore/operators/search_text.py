@@ -9,59 +9,65 @@ from sitelore.functions.chunked import top_per_key
 from sitelore.functions.text import STOP_WORDS, stem_column, tokens, trigrams, words
 
 
-def _terms(df: DataFrame, id_col: str, text_col: str, analyzer: str) -> DataFrame:
-    """(id, token, pos) rows. `english` drops stop words; `plain` keeps every ASCII run."""
-    text = F.coalesce(text_col, F.lit(""))
-    source = words(text) if analyzer == "english" else tokens(text)
-    out = df.select(F.col(id_col).alias("id"), F.posexplode(source).alias("pos", "token"))
-    if analyzer == "english":
-        out = out.filter(~F.col("token").isin(*sorted(STOP_WORDS)))
-    return out
+def _analysed(text: Column, analyzer: str) -> Column:
+    """Tokens of a text. `english` drops stop words; `plain` keeps every ASCII run."""
+    if analyzer != "english":
+        return tokens(text)
+    stop = sorted(STOP_WORDS)
+    return F.filter(words(text), lambda w: ~w.isin(*stop))
 
 
 def build_postings(entities: DataFrame, id_col: str = "id", text_col: str = "searchable_text",
                    analyzer: str = "english", positions: bool = False) -> DataFrame:
-    """H1: (token, id, tf[, positions]).
+    """H1: (token, id, tf, length[, positions]); `length` is the text's number of tokens.
 
-    Frequencies are combined inside each task before the shuffle (a text's tokens all lie in one task). Stems are
-    taken after that, once per distinct token of a batch, by one Arrow function.
+    Texts are hashed by their id, which is less to move than their postings would be; counting (id, token) then needs
+    no further shuffle. Stems are taken after counting, once per distinct token of a batch, by one Arrow function.
     """
-    terms = _terms(entities, id_col, text_col, analyzer)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = entities.select(F.col(id_col).alias("id"), text.alias("text")).repartition("id")
+    docs = docs.select("id", _analysed(F.col("text"), analyzer).alias("tokens"))
+    terms = docs.select("id", F.size("tokens").cast("bigint").alias("length"), F.posexplode("tokens").alias("pos", "token"))
     aggregates = [F.count("*").alias("tf")]
     if positions:
         aggregates.append(F.array_sort(F.collect_list("pos")).alias("positions"))
-    out = terms.groupBy("id", "token").agg(*aggregates)
+    out = terms.groupBy("id", "length", "token").agg(*aggregates)
+    columns = ["token", "id", "tf", "length", *(["positions"] if positions else [])]
     if analyzer != "english":
-        return out.select("token", "id", *[c for c in out.columns if c not in ("token", "id")])
+        return out.select(*columns)
     merged = [F.sum("tf").alias("tf")]
     if positions:
         merged.append(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
-    return out.withColumn("token", stem_column("token")).groupBy("token", "id").agg(*merged)
+    return (out.withColumn("token", stem_column("token")).groupBy("id", "length", "token").agg(*merged)
+            .select(*columns))
 
 
 def doc_stats(postings: DataFrame) -> DataFrame:
     """H1: length of every indexed text in tokens."""
-    return postings.groupBy("id").agg(F.sum("tf").alias("length"))
+    return postings.groupBy("id").agg(F.max("length").alias("length"))
 
 
 def query_terms(queries: DataFrame, analyzer: str = "english") -> DataFrame:
     """Distinct (query_id, token) with the query's number of distinct terms."""
-    terms = _terms(queries, "query_id", "query", analyzer).select(F.col("id").alias("query_id"), "token").distinct()
+    found = _analysed(F.coalesce("query", F.lit("")), analyzer)
+    terms = queries.select("query_id", F.explode(found).alias("token")).distinct()
     if analyzer == "english":
         terms = terms.withColumn("token", stem_column("token")).distinct()
     sizes = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     return terms.join(sizes, "query_id")
 
 
-def _hits(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    return postings.select("token", "id", "tf").join(terms, "token")
+def _needed(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings of the asked tokens only. On postings built on the fly Spark moves this semi-join below the counting,
+    so other tokens are dropped where they are read."""
+    return postings.select("token", "id", "tf", "length").join(terms.select("token").distinct(), "token", "left_semi")
 
 
 def text_match(postings: DataFrame, queries: DataFrame, analyzer: str = "english") -> DataFrame:
     """H2: (query_id, id, tf) for the texts that hold every term of the query. A query without terms matches nothing."""
-    hits = _hits(postings, query_terms(queries, analyzer))
-    return (hits.groupBy("query_id", "id").agg(F.count("*").alias("hit"), F.first("n_terms").alias("n_terms"),
-                                               F.sum("tf").alias("tf"))
+    terms = query_terms(queries, analyzer)
+    hits = _needed(postings, terms).join(terms, "token")
+    return (hits.groupBy("query_id", "n_terms", "id").agg(F.count("*").alias("hit"), F.sum("tf").alias("tf"))
             .filter(F.col("hit") == F.col("n_terms")).select("query_id", "id", "tf"))
 
 
@@ -74,18 +80,16 @@ def score_matches(postings: DataFrame, queries: DataFrame, analyzer: str = "engl
     """
     if score == "tf":
         return text_match(postings, queries, analyzer).select("query_id", "id", F.col("tf").cast("double").alias("text_rank"))
-    hits = _hits(postings, query_terms(queries, analyzer))
-    lengths = doc_stats(postings)
-    n_docs = lengths.agg(F.count("*")).scalar()
-    mean_length = lengths.agg(F.avg("length")).scalar()
-    needed = hits.select("token").distinct()
-    frequency = (postings.join(needed, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df")))
-    idf = frequency.select("token", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    scored = hits.join(idf, "token").join(lengths, "id")
+    terms = query_terms(queries, analyzer)
+    needed = _needed(postings, terms)
+    stats = doc_stats(postings).agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("mean"))).scalar()
+    frequency = needed.groupBy("token").agg(F.count("*").alias("df"))
+    weighted = terms.join(frequency, "token").select(
+        "query_id", "n_terms", "token", F.log(1 + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    hits = needed.join(weighted, "token")
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (
-        F.col("tf") + k1 * (1 - b + b * F.col("length") / mean_length))
-    return (scored.groupBy("query_id", "id").agg(F.count("*").alias("hit"), F.first("n_terms").alias("n_terms"),
-                                                 F.sum(weight).alias("text_rank"))
+        F.col("tf") + k1 * (1 - b + b * F.col("length") / stats["mean"]))
+    return (hits.groupBy("query_id", "n_terms", "id").agg(F.count("*").alias("hit"), F.sum(weight).alias("text_rank"))
             .filter(F.col("hit") == F.col("n_terms")).select("query_id", "id", "text_rank"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelore.operators.analytics import domain_summary
@@ -45,19 +45,28 @@ _FIELDS: dict[str, dict[str, tuple[str, str | None]]] = {
 }
 
 
-def _field(path: str, type_name: str | None) -> Column:
-    text = F.get_json_object("data", f"$.{path}")
-    return text.try_cast(type_name) if type_name else text
+def _payload(specs: dict[str, tuple[str, str | None]]) -> str:
+    """from_json schema of the fields a view reads; every leaf is text."""
+    nested: dict[str, list[str]] = {}
+    for path, _ in specs.values():
+        head, _, leaf = path.partition(".")
+        nested.setdefault(head, []).append(leaf)
+    return ", ".join(f"{head} struct<{', '.join(f'{leaf}: string' for leaf in leaves)}>" if leaves != [""]
+                     else f"{head} string" for head, leaves in nested.items())
 
 
 def typed_view(entities: DataFrame, category: str, min_confidence: float = 0.5) -> DataFrame:
-    """Rows of one category above the confidence bound, payload fields as columns.
+    """Rows of one category above the confidence bound, payload fields as columns. The payload is parsed once per row.
 
     Numbers that do not parse become null. Array and object fields stay JSON text.
     """
+    specs = _FIELDS[category]
     kept = entities.filter((F.col("category") == category) & (F.col("confidence") > min_confidence))
     common = [c for c in _COMMON if c in entities.columns]
-    return kept.select(*common, *[_field(*spec).alias(name) for name, spec in _FIELDS[category].items()])
+    parsed = kept.select(*common, F.from_json("data", _payload(specs)).alias("__p"))
+    return parsed.select(*common, *[
+        (F.col(f"__p.{path}").try_cast(kind) if kind else F.col(f"__p.{path}")).alias(name)
+        for name, (path, kind) in specs.items()])
 
 
 def contacts_view(entities: DataFrame) -> DataFrame:

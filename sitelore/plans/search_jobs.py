@@ -50,7 +50,7 @@ def _queries(d: Data):
 
 # --- text -------------------------------------------------------------------------------------------------
 
-@query("h1_postings", "etext", f", {_POSTINGS} SELECT token, id, tf FROM post")
+@query("h1_postings", "etext", f", {_POSTINGS} SELECT token, id, tf, CAST(sum(tf) OVER (PARTITION BY id) AS BIGINT) AS length FROM post")
 def h1(d: Data):
     return search_text.build_postings(d.view("etext"), analyzer="plain")
 

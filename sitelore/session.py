@@ -64,6 +64,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+SPREAD_BELOW_BYTES = 32 * 1024 * 1024  # per core
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """`df` hashed on a unique key over all cores when the planner sees too little input to occupy them.
+
+    Python passes cost far more than their input size suggests, and a small file is one scan task. Larger inputs keep
+    the partitioning of their scan and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * SPREAD_BELOW_BYTES else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the checkpoint folder and read it back.
 

@@ -18,7 +18,7 @@ def _col(url: Column | str) -> Column:
 
 
 # host of an absolute URL; the second form leaves out a leading www.
-_HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@ ]*@)?(\[[^\]]*\]|[^/?#: ]+)(?=[/?#:]|$)"
+_HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*+://(?:[^/?#@ ]*+@)?(\[[^\]]*\]|[^/?#: ]+)(?=[/?#:]|$)"
 _DOMAIN = _HOST.replace(r"(\[", r"(?:[wW]{3}\.)?(\[", 1)
 
 

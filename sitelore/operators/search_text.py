@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelore.functions.chunked import top_per_key
 from sitelore.functions.text import STOP_WORDS, stem_column, tokens, trigrams, words
+from sitelore.session import cut_lineage
 
 
 def _analysed(text: Column, analyzer: str) -> Column:
@@ -57,18 +58,33 @@ def query_terms(queries: DataFrame, analyzer: str = "english") -> DataFrame:
     return terms.join(sizes, "query_id")
 
 
-def _needed(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings of the asked tokens only. On postings built on the fly Spark moves this semi-join below the counting,
-    so other tokens are dropped where they are read."""
-    return postings.select("token", "id", "tf", "length").join(terms.select("token").distinct(), "token", "left_semi")
+def _matches(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, id, token, tf, length, df) of the texts that hold every term of a query.
+
+    Candidates are the texts of each query's rarest term, and only they are checked for the other terms, so common
+    terms never multiply texts by queries. The postings of the asked tokens are written once and read for the three
+    steps; on postings built on the fly Spark moves that semi-join below the counting.
+    """
+    needed = cut_lineage(postings.select("token", "id", "tf", "length")
+                         .join(terms.select("token").distinct(), "token", "left_semi"))
+    frequency = needed.groupBy("token").agg(F.count("*").alias("df"))
+    known = terms.join(frequency, "token")
+    rarest = known.groupBy("query_id", "n_terms").agg(
+        F.count("*").alias("n_known"), F.min_by("token", F.struct("df", "token")).alias("token"))
+    rarest = rarest.filter(F.col("n_known") == F.col("n_terms")).select("query_id", "token")
+    candidates = needed.select("token", "id").join(rarest, "token").select("query_id", "id")
+    wanted = candidates.join(known, "query_id").select("query_id", "n_terms", "id", "token", "df")
+    return wanted.join(needed, ["id", "token"])
+
+
+def _complete(matches: DataFrame, *aggregates: Column) -> DataFrame:
+    return (matches.groupBy("query_id", "n_terms", "id").agg(F.count("*").alias("hit"), *aggregates)
+            .filter(F.col("hit") == F.col("n_terms")).drop("n_terms", "hit"))
 
 
 def text_match(postings: DataFrame, queries: DataFrame, analyzer: str = "english") -> DataFrame:
     """H2: (query_id, id, tf) for the texts that hold every term of the query. A query without terms matches nothing."""
-    terms = query_terms(queries, analyzer)
-    hits = _needed(postings, terms).join(terms, "token")
-    return (hits.groupBy("query_id", "n_terms", "id").agg(F.count("*").alias("hit"), F.sum("tf").alias("tf"))
-            .filter(F.col("hit") == F.col("n_terms")).select("query_id", "id", "tf"))
+    return _complete(_matches(postings, query_terms(queries, analyzer)), F.sum("tf").alias("tf"))
 
 
 def score_matches(postings: DataFrame, queries: DataFrame, analyzer: str = "english", score: str = "bm25",
@@ -80,17 +96,11 @@ def score_matches(postings: DataFrame, queries: DataFrame, analyzer: str = "engl
     """
     if score == "tf":
         return text_match(postings, queries, analyzer).select("query_id", "id", F.col("tf").cast("double").alias("text_rank"))
-    terms = query_terms(queries, analyzer)
-    needed = _needed(postings, terms)
+    matches = _matches(postings, query_terms(queries, analyzer))
     stats = doc_stats(postings).agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("mean"))).scalar()
-    frequency = needed.groupBy("token").agg(F.count("*").alias("df"))
-    weighted = terms.join(frequency, "token").select(
-        "query_id", "n_terms", "token", F.log(1 + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    hits = needed.join(weighted, "token")
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (
-        F.col("tf") + k1 * (1 - b + b * F.col("length") / stats["mean"]))
-    return (hits.groupBy("query_id", "n_terms", "id").agg(F.count("*").alias("hit"), F.sum(weight).alias("text_rank"))
-            .filter(F.col("hit") == F.col("n_terms")).select("query_id", "id", "text_rank"))
+    idf = F.log(1 + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / stats["mean"]))
+    return _complete(matches, F.sum(weight).alias("text_rank"))
 
 
 def text_search(entities: DataFrame, postings: DataFrame, queries: DataFrame, k: int = 20, analyzer: str = "english",

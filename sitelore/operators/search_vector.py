@@ -16,7 +16,7 @@ from sitelore import schemas
 from sitelore.functions.chunked import top_per_key
 from sitelore.operators.entities import normalise_vector
 
-MAX_BLOCK_BYTES = 64 * 1024 * 1024  # query vectors shipped to the tasks at a time
+MAX_BLOCK_QUERIES = 4096  # query vectors shipped to the tasks at a time
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -69,17 +69,18 @@ def vector_search(entities: DataFrame, queries: DataFrame, k: int = 20, digits:
     ddl = f"query_id {types['q']}, id {types['i']}, similarity double"
     arrow_schema = to_arrow_schema(schemas.struct(ddl))
     asked = queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding")
-    size = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    n, dim = int(size[0]), int(size[1] or 1)
-    blocks = max(1, -(-n * dim * 8 // MAX_BLOCK_BYTES))
-    block_of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    first = asked.limit(MAX_BLOCK_QUERIES + 1).collect()
+    blocks = [first]
+    if len(first) > MAX_BLOCK_QUERIES:
+        n = 2 * -(-asked.count() // MAX_BLOCK_QUERIES)
+        block_of = F.pmod(F.xxhash64("query_id"), F.lit(n))
+        blocks = (asked.filter(block_of == i).collect() for i in range(n))
     parts = []
-    for block in range(blocks):
-        found = asked.filter(block_of == block).collect()
-        if not found:
-            continue
-        matrix = _unit(np.array([r["embedding"] for r in found], dtype=np.float64))
-        parts.append(rows.mapInArrow(_partial_top([r["query_id"] for r in found], matrix, k, digits, arrow_schema), ddl))
+    for block in blocks:
+        if block:
+            matrix = _unit(np.array([r["embedding"] for r in block], dtype=np.float64))
+            top = _partial_top([r["query_id"] for r in block], matrix, k, digits, arrow_schema)
+            parts.append(rows.mapInArrow(top, ddl))
     if not parts:
         return entities.sparkSession.createDataFrame([], ddl + ", rank int")
     partial = parts[0]

@@ -97,8 +97,12 @@ def lsh_search(entities: DataFrame, queries: DataFrame, k: int = 20, tables: int
     Only entities that share a hash bucket with the query in some table are compared; recall grows with `tables` and
     `bucket_length`.
     """
+    some = entities.filter(F.col("embedding").isNotNull()).select(F.size("embedding")).first()
+    dim = some[0] if some else 1
+
     def vectors(df: DataFrame, key: str) -> DataFrame:
-        unit = normalise_vector(F.col("embedding")).cast("array<double>")
+        # never null, as the planner may hash rows before it drops those without a vector
+        unit = F.coalesce(normalise_vector(F.col("embedding")).cast("array<double>"), F.array_repeat(F.lit(0.0), dim))
         return df.filter(F.col("embedding").isNotNull()).select(key, array_to_vector(unit).alias("v"))
 
     data = vectors(entities, "id")

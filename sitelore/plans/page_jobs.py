@@ -538,7 +538,8 @@ SELECT DISTINCT url, regexp_replace(regexp_extract(url, '//([^/]+)', 1), '^www\\
 def d9(d: Data):
     rich = d.view("rich")
     indexed = rich.select(F.when(F.col("page_id") % 20 == 3, "https://www.d3.example.com/home").otherwise(F.col("url")).alias("url"))
-    queued = rich.filter("page_id % 20 = 4").select(F.lit("https://www.d4.example.com/legal").alias("url"))
+    queued = rich.filter("page_id % 20 = 4").select(
+        F.concat(F.lit("https://www.d"), (F.col("page_id") % 20).cast("string"), F.lit(".example.com/legal")).alias("url"))
     return production.discover_links(extract.extract_links(rich), indexed, queued)
 
 

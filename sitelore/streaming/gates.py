@@ -30,7 +30,7 @@ class GateProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            for us, tie, failed, hold in zip(pdf["__us"], pdf["__tie"], pdf["__failed"], pdf["__hold"], strict=True):
+            for us, tie, failed, hold in zip(pdf["us"], pdf["tie_key"], pdf["is_failed"], pdf["hold_us"], strict=True):
                 self.waiting.updateValue((int(us), int(tie)), (bool(failed), int(hold)))
                 self.handle.registerTimer(int(us) // 1000 + 1)
         yield pd.DataFrame(columns=self.columns)
@@ -64,9 +64,9 @@ def _gate(stream: DataFrame, key: str, ts: str, tie: str, watermark: str, failed
         T.StructField("us", T.LongType()), T.StructField("attempted", T.BooleanType()),
         T.StructField("failure_count", T.LongType()), T.StructField("blocked_until_us", T.LongType())])
     rows = (stream.withWatermark(ts, watermark)
-            .withColumn("__us", F.expr(f"unix_micros({ts})")).withColumn("__tie", F.col(tie).cast("bigint"))
-            .withColumn("__failed", failed).withColumn("__hold", hold_us.cast("bigint")))
-    return (rows.select(key, ts, "__us", "__tie", "__failed", "__hold").groupBy(key)
+            .withColumn("us", F.expr(f"unix_micros({ts})")).withColumn("tie_key", F.col(tie).cast("bigint"))
+            .withColumn("is_failed", failed).withColumn("hold_us", hold_us.cast("bigint")))
+    return (rows.select(key, ts, "us", "tie_key", "is_failed", "hold_us").groupBy(key)
             .transformWithStateInPandas(GateProcessor(schema.names, failures), schema, "Append", "EventTime"))
 
 

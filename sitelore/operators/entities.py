@@ -101,7 +101,9 @@ def dedupe_entities(entities: DataFrame, order: tuple[str, ...] = ("ext_ord", "p
     """First row per page and key. An aggregate, so copies of one key are combined before the shuffle."""
     keyed = entities.withColumn("__key", dedupe_key())
     row = F.struct(*entities.columns)
-    first = keyed.groupBy("page_id", "__key").agg(F.min_by(row, F.struct(*order)).alias("r"))
+    # the other columns settle ties, so that a retried task picks the same row
+    rank = F.struct(*order, *[c for c in entities.columns if c not in order])
+    first = keyed.groupBy("page_id", "__key").agg(F.min_by(row, rank).alias("r"))
     return first.select("r.*")
 
 

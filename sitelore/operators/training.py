@@ -30,13 +30,14 @@ def to_instructions(pairs: DataFrame,
 
 
 def to_chat(pairs: DataFrame, template: str = "You extract entities from web pages. Task: %s") -> DataFrame:
-    """One JSON document of system, user and assistant messages per pair."""
+    """One JSON document of system, user and assistant messages per pair, next to the pair's other columns."""
     def message(role: str, content: Column) -> Column:
         return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
     messages = F.array(message("system", F.format_string(template, "prompt_type")),
                        message("user", F.col("input")), message("assistant", F.col("output")))
-    return pairs.select(F.to_json(F.struct(messages.alias("messages"))).alias("value"))
+    keys = [c for c in pairs.columns if c not in ("input", "output", "prompt_type")]
+    return pairs.select(*keys, F.to_json(F.struct(messages.alias("messages"))).alias("value"))
 
 
 def turns_to_chat(turns: DataFrame, key: str = "conv_id", turn: str = "turn", part_turns: int = 1000) -> DataFrame:

@@ -91,14 +91,13 @@ def n5(d: Data):
 @query("n6_chat_pairs", oracle=_PAIRS + """ SELECT page_id,
   'system:You extract entities from web pages. Task: ' || prompt_type AS first_message, input AS user_message, output AS assistant_message FROM p""")
 def n6(d: Data):
-    pairs = _pairs(d)
-    chat = training.to_chat(pairs)
-    content = F.get_json_object("value", "$.messages[1].content")
-    return chat.select(
-        F.get_json_object("value", "$.messages[2].content").alias("assistant_message"), content.alias("user_message"),
-        F.concat(F.get_json_object("value", "$.messages[0].role"), F.lit(":"),
-                 F.get_json_object("value", "$.messages[0].content")).alias("first_message")) \
-        .join(pairs.select("page_id", F.col("input").alias("user_message")), "user_message")
+    chat = training.to_chat(_pairs(d))
+
+    def part(path: str):
+        return F.get_json_object("value", f"$.messages{path}")
+
+    return chat.select("page_id", F.concat(part("[0].role"), F.lit(":"), part("[0].content")).alias("first_message"),
+                       part("[1].content").alias("user_message"), part("[2].content").alias("assistant_message"))
 
 
 @query("n6_conversations", oracle="""

@@ -481,7 +481,7 @@ _FOUND = """SELECT l_orderkey AS page_id, CASE l_partkey % 2 WHEN 0 THEN 'produc
 @query("d4_dedupe_entities", oracle=f"""
 WITH f AS ({_FOUND.format(t='')})
 SELECT page_id, category, searchable_text, ext_ord, pos, confidence FROM (SELECT *, row_number() OVER (
-  PARTITION BY page_id, category || ':' || lower(substr(searchable_text, 1, 60)) ORDER BY ext_ord, pos) AS rn FROM f) WHERE rn = 1""")
+  PARTITION BY page_id, category || ':' || lower(substr(searchable_text, 1, 60)) ORDER BY ext_ord, pos, searchable_text, confidence) AS rn FROM f) WHERE rn = 1""")
 def d4(d: Data):
     return production.dedupe_entities(d.sql(_FOUND.format(t="@")))
 
@@ -668,10 +668,11 @@ e AS (SELECT domain, count(*) AS entities, count(DISTINCT json_extract_string(da
     AS action_types, count(*) FILTER (WHERE category = 'action') AS a,
     count(*) FILTER (WHERE category = 'action' AND json_array_length(data, '$.fields') > 0) AS f FROM ent GROUP BY domain),
 r AS (SELECT domain, count(success) AS n, count(*) FILTER (WHERE success) AS ok FROM sub GROUP BY domain)
-SELECT e.domain, round(date_diff('second', date_trunc('second', last_crawl), TIMESTAMP '2024-02-01') / 3600, 3) AS hours_since_crawl,
-       round(1 - share, 6) AS hash_stability, pages, entities, action_types, round(f / a, 6) AS form_completeness,
-       round(ok / n, 6) AS success_rate
-FROM e JOIN c USING (domain) JOIN r USING (domain)""")
+SELECT domain, round(date_diff('second', date_trunc('second', last_crawl), TIMESTAMP '2024-02-01') / 3600, 3) AS hours_since_crawl,
+       round(1 - share, 6) AS hash_stability, coalesce(pages, 0) AS pages, coalesce(entities, 0) AS entities,
+       coalesce(action_types, 0) AS action_types, round(f / nullif(a, 0), 6) AS form_completeness,
+       round(ok / nullif(n, 0), 6) AS success_rate
+FROM e FULL JOIN c USING (domain) FULL JOIN r USING (domain)""")
 def e7(d: Data):
     versions = d.view("crawl").select("url", "domain", F.col("event_id").alias("crawl_id"),
                                       F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"), "content_hash")

@@ -17,6 +17,7 @@ from sitelore.functions.chunked import top_per_key
 from sitelore.operators.entities import normalise_vector
 
 MAX_BLOCK_QUERIES = 4096  # query vectors shipped to the tasks at a time
+SLICE_ROWS = 1024  # rows per matrix product, which bounds a task's memory
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -38,18 +39,18 @@ def _partial_top(query_ids: list, unit_queries: np.ndarray, k: int, digits: int,
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            ids = batch.column(0).to_pylist()
-            sims = np.round(unit_queries @ _unit(_matrix(batch.column(1))).T, digits)
-            for q, row in enumerate(sims):
-                if len(row) > k:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                ids = part.column(0).to_pylist()
+                sims = np.round(unit_queries @ _unit(_matrix(part.column(1))).T, digits)
+                for q, row in enumerate(sims):
                     # everything tied with the k-th value stays, so that ties are broken by id
-                    bound = np.partition(row, len(row) - k)[len(row) - k]
+                    bound = -best[q][-1][0] if len(best[q]) == k else -np.inf
+                    if len(row) > k:
+                        bound = max(bound, np.partition(row, len(row) - k)[len(row) - k])
                     chosen = np.flatnonzero(row >= bound)
-                else:
-                    chosen = range(len(row))
-                merged = best[q] + [(-row[i], ids[i]) for i in chosen]
-                merged.sort()
-                best[q] = merged[:k]
+                    if len(chosen):
+                        best[q] = sorted(best[q] + [(-row[i], ids[i]) for i in chosen])[:k]
         rows = [{"query_id": query_ids[q], "id": i, "similarity": float(-s) + 0.0}
                 for q, found in enumerate(best) for s, i in found]
         yield pa.RecordBatch.from_pylist(rows, schema=schema)

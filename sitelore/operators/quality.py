@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sitelore.constants import (ALERT_RULES, CATEGORIES, LEGAL_SUFFIXES, PAGE_TYPES, SUBMISSION_STATUSES)
 from sitelore.functions.chunked import running
 from sitelore.functions.times import days_before
-from sitelore.session import cut_lineage
+from sitelore.session import cut_lineage, spread
 
 _SUFFIX = r"(\s+(" + "|".join(LEGAL_SUFFIXES) + r")\.?)+$"
 
@@ -29,64 +29,99 @@ def name_groups(entities: DataFrame) -> DataFrame:
             .agg(F.min("id").alias("rep"), F.count("*").alias("n")))
 
 
-def similar_names(groups: DataFrame, percent: int = 85) -> DataFrame:
+def _piece_bounds(length: Column, k: Column, i: Column) -> tuple[Column, Column]:
+    """1-based start and size of piece i when a text of `length` is cut into k nearly equal pieces."""
+    size = F.floor(length / k)
+    short = k - length % k
+    start = i * size + F.greatest(F.lit(0), i - short) + 1
+    return start.cast("int"), (size + F.when(i >= short, 1).otherwise(0)).cast("int")
+
+
+def _indexes(only: Column | None) -> Column:
+    every = F.sequence(F.lit(0), F.col("k") - 1)
+    return every if only is None else F.when(only, every).otherwise(F.array(F.lit(-1)))
+
+
+def _cut(df: DataFrame, text: str, length: Column, suffix: str, only: Column | None = None) -> DataFrame:
+    """Explode `text` into its k pieces: adds i, piece and the rest of the text without the piece.
+
+    Rows outside `only` stay whole, with piece number -1.
+    """
+    i = f"i{suffix}"
+    df = df.select("*", F.explode(_indexes(only)).alias(i))
+    start, size = _piece_bounds(length, F.col("k"), F.col(i))
+    whole, cut = F.col(text), F.col(i) >= 0
+    return df.withColumn(f"piece{suffix}", F.when(cut, whole.substr(start, size)).otherwise("")).withColumn(
+        f"rest{suffix}", F.concat(whole.substr(F.lit(1), start - 1), whole.substr(start + size, F.length(text))))
+
+
+def _probe(df: DataFrame, text: str, length: Column, suffix: str, only: Column | None = None) -> DataFrame:
+    """Explode `text` into the substrings that a piece of a partner text of `length` may equal.
+
+    Needs b and a (both full lengths), d (most edits) and k. A piece untouched by at most d edits starts no further
+    from its own start than the bounds below allow.
+    """
+    i = f"i{suffix}"
+    df = df.select("*", F.explode(_indexes(only)).alias(i))
+    start, size = _piece_bounds(length, F.col("k"), F.col(i))
+    delta = F.col("b") - F.col("a")
+    low = -F.floor((F.col("d") - delta) / 2).cast("int")
+    high = F.floor((F.col("d") + delta) / 2).cast("int")
+    cut = F.col(i) >= 0
+    df = df.withColumn("__start", start).withColumn("__size", size)
+    df = df.select("*", F.explode(F.when(cut, F.sequence(low, high)).otherwise(F.array(F.lit(0)))).alias("__shift"))
+    at = F.col("__start") + F.col("__shift")
+    whole = F.col(text)
+    df = df.filter(~cut | ((at >= 1) & (at + F.col("__size") - 1 <= F.length(text))))
+    return df.withColumn(f"piece{suffix}", F.when(cut, whole.substr(at, F.col("__size"))).otherwise("")).withColumn(
+        f"rest{suffix}", F.concat(whole.substr(F.lit(1), at - 1), whole.substr(at + F.col("__size"), F.length(text)))
+    ).drop("__start", "__size", "__shift")
+
+
+def similar_names(groups: DataFrame, percent: int = 85, dense: int = 256) -> DataFrame:
     """Pairs of representatives in one (category, domain) whose name similarity 1 - distance/longest exceeds
     `percent`.
 
-    Exact and without comparing whole blocks: for a name of length a, partners within the bound differ by at most d
-    edits, so when it is cut into d+1 pieces at least one piece occurs unchanged in the partner, at a start shifted by
-    no more than the position bound. Pieces and possible substrings are joined by equality; only those candidates are
-    verified, inside the join.
+    Exact and without comparing whole blocks. Partners of a name of length a differ by at most d edits, so of its d+1
+    pieces at least one occurs unchanged in the partner, hardly shifted. Pieces and possible substrings are joined by
+    equality and verified inside the join. Where more than `dense` names share a piece, the same holds for what is left
+    of both names, so those groups are joined on a second piece as well.
     """
     gap = 100 - percent
-    base = groups.select("category", "domain", "name", "rep", F.length("name").alias("len"))
 
     def edits(length: Column) -> Column:  # most edits d with d / length < gap / 100
         return F.floor((length * gap - 1) / 100).cast("int")
 
-    # pieces of the shorter name; its longest possible partner fixes the number of pieces
-    longest = F.ceil(F.col("len") * 100 / percent).cast("int") - 1
-    pieces_of = base.withColumn("k", edits(F.greatest(longest, F.col("len"))) + 1)
-
-    def piece_bounds(length: Column, k: Column, i: Column) -> tuple[Column, Column]:
-        size = F.floor(length / k)
-        short = k - length % k
-        start = i * size + F.greatest(F.lit(0), i - short) + 1
-        return start, size + F.when(i >= short, 1).otherwise(0)
-
-    left = pieces_of.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
-    start, size = piece_bounds(F.col("len"), F.col("k"), F.col("i"))
-    left = left.select("category", "domain", F.col("len").alias("a"), "i",
-                       F.col("name").substr(start.cast("int"), size.cast("int")).alias("piece"),
-                       F.col("name").alias("name_a"), F.col("rep").alias("rep_a"))
-
-    # substrings of the longer name for every length, piece and shift that can match
-    probes = base.withColumn("d", edits(F.col("len"))).filter("len > 0")
-    probes = probes.select("*", F.explode(F.sequence(F.greatest(F.lit(1), F.col("len") - F.col("d")),
-                                                     F.col("len"))).alias("a"))
-    partner_longest = F.ceil(F.col("a") * 100 / percent).cast("int") - 1
-    probes = probes.withColumn("k", edits(F.greatest(partner_longest, F.col("a"))) + 1)
-    probes = probes.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
-    start, size = piece_bounds(F.col("a"), F.col("k"), F.col("i"))
-    delta = F.col("len") - F.col("a")
-    low = -F.floor((F.col("d") - delta) / 2).cast("int")
-    high = F.floor((F.col("d") + delta) / 2).cast("int")
-    probes = probes.withColumn("start", start.cast("int")).withColumn("size", size.cast("int"))
-    probes = probes.select("*", F.explode(F.sequence(low, high)).alias("shift"))
-    at = F.col("start") + F.col("shift")
-    probes = probes.filter((at >= 1) & (at + F.col("size") - 1 <= F.col("len")))
-    right = probes.select("category", "domain", "a", "i", F.col("name").substr(at, F.col("size")).alias("piece"),
-                          F.col("name").alias("name_b"), F.col("rep").alias("rep_b"), F.col("len").alias("b"), "d")
-    right = right.distinct()
+    def pieces(length: Column) -> Column:  # one more than the edits of the longest possible partner
+        longest = F.ceil(length * 100 / percent).cast("int") - 1
+        return edits(F.greatest(longest, length)) + 1
+
+    base = groups.select("category", "domain", "name", "rep", F.length("name").alias("len")).filter("len > 0")
+    base = spread(base, "rep")
+    left = base.select("category", "domain", F.col("len").alias("a"), F.col("name").alias("name_a"),
+                       F.col("rep").alias("rep_a"), pieces(F.col("len")).alias("k"))
+    left = _cut(left, "name_a", F.col("a"), "")
+    right = base.select("category", "domain", F.col("len").alias("b"), F.col("name").alias("name_b"),
+                        F.col("rep").alias("rep_b"), edits(F.col("len")).alias("d"))
+    right = right.select("*", F.explode(F.sequence(F.greatest(F.lit(1), F.col("b") - F.col("d")), F.col("b"))).alias("a"))
+    right = _probe(right.withColumn("k", pieces(F.col("a"))), "name_b", F.col("a"), "")
 
     keys = ["category", "domain", "a", "i", "piece"]
-    l, r = left.alias("l"), right.alias("r")
-    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
+    crowded = left.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > dense).select(
+        *keys, F.lit(True).alias("crowded"))
+    size = F.length("piece")
+    again = F.col("crowded").isNotNull()
+    left = _cut(left.join(crowded, keys, "left"), "rest", F.col("a") - size, "2", again)
+    right = _probe(right.join(crowded, keys, "left"), "rest", F.col("a") - size, "2", again)
+
+    on = [*keys, "i2", "piece2"]
+    x = left.select(*on, "name_a", "rep_a").alias("l")
+    y = right.select(*on, "name_b", "rep_b", "b", "d").alias("r")
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on]
     once = (F.col("r.b") > F.col("l.a")) | (F.col("l.name_a") < F.col("r.name_b"))
     distance = F.levenshtein("l.name_a", "r.name_b")
     close = (distance <= F.col("r.d")) & (F.col("l.name_a") != F.col("r.name_b"))
-    pairs = l.join(r, reduce(lambda x, y: x & y, [*same, once, close]))
-    pairs = pairs.select(
+    pairs = x.join(y, reduce(lambda p, q: p & q, [*same, once, close])).select(
         F.col("l.category").alias("category"), F.col("l.domain").alias("domain"),
         F.least("l.rep_a", "r.rep_b").alias("id_a"), F.greatest("l.rep_a", "r.rep_b").alias("id_b"),
         (1 - distance / F.col("r.b")).alias("similarity"))

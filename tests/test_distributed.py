@@ -67,8 +67,8 @@ def _levenshtein(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("percent", [85, 70])
-def test_similar_names_match_brute_force(spark, percent):
+@pytest.mark.parametrize("percent, dense", [(85, 256), (85, 1), (70, 3)])
+def test_similar_names_match_brute_force(spark, percent, dense):
     rng = random.Random(percent)
     names = set()
     while len(names) < 120:
@@ -83,7 +83,7 @@ def test_similar_names_match_brute_force(spark, percent):
     names.discard("")
     rows = [("c", "d", n, f"id{i:03d}") for i, n in enumerate(sorted(names))]
     groups = spark.createDataFrame(rows, "category string, domain string, name string, rep string").withColumn("n", F.lit(1))
-    got = {(r.id_a, r.id_b): round(r.similarity, 9) for r in quality.similar_names(groups, percent).collect()}
+    got = {(r.id_a, r.id_b): round(r.similarity, 9) for r in quality.similar_names(groups, percent, dense).collect()}
     expected = {}
     for i, (_, _, a, ia) in enumerate(rows):
         for _, _, b, ib in rows[i + 1:]:

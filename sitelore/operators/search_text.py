@@ -10,16 +10,16 @@ from sitelore.functions.text import STOP_WORDS, stem_column, tokens, trigrams, w
 from sitelore.session import cut_lineage
 
 
-def _analysed(text: Column, analyzer: str) -> Column:
-    """(pos, token) of a text. `english` drops stop words, which still count as positions; `plain` keeps every ASCII
-    run."""
-    def placed(runs: Column) -> Column:
-        return F.transform(runs, lambda w, i: F.struct(i.alias("pos"), w.alias("token")))
-
+def _analysed(text: Column, analyzer: str, positions: bool = False) -> Column:
+    """Tokens of a text, as (pos, token) when positions are wanted. `english` drops stop words, which still count as
+    positions; `plain` keeps every ASCII run."""
+    runs = words(text) if analyzer == "english" else tokens(text)
+    if positions:
+        runs = F.transform(runs, lambda w, i: F.struct(i.alias("pos"), w.alias("token")))
     if analyzer != "english":
-        return placed(tokens(text))
+        return runs
     stop = sorted(STOP_WORDS)
-    return F.filter(placed(words(text)), lambda x: ~x["token"].isin(*stop))
+    return F.filter(runs, lambda x: ~(x["token"] if positions else x).isin(*stop))
 
 
 def build_postings(entities: DataFrame, id_col: str = "id", text_col: str = "searchable_text",
@@ -31,8 +31,9 @@ def build_postings(entities: DataFrame, id_col: str = "id", text_col: str = "sea
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = entities.select(F.col(id_col).alias("id"), text.alias("text")).repartition("id")
-    docs = docs.select("id", _analysed(F.col("text"), analyzer).alias("tokens"))
-    terms = docs.select("id", F.size("tokens").cast("bigint").alias("length"), F.inline("tokens"))
+    docs = docs.select("id", _analysed(F.col("text"), analyzer, positions).alias("tokens"))
+    flat = F.inline("tokens") if positions else F.explode("tokens").alias("token")
+    terms = docs.select("id", F.size("tokens").cast("bigint").alias("length"), flat)
     aggregates = [F.count("*").alias("tf")]
     if positions:
         aggregates.append(F.array_sort(F.collect_list("pos")).alias("positions"))
@@ -55,7 +56,7 @@ def doc_stats(postings: DataFrame) -> DataFrame:
 def query_terms(queries: DataFrame, analyzer: str = "english") -> DataFrame:
     """Distinct (query_id, token) with the query's number of distinct terms."""
     found = _analysed(F.coalesce("query", F.lit("")), analyzer)
-    terms = queries.select("query_id", F.explode(F.transform(found, lambda x: x["token"])).alias("token")).distinct()
+    terms = queries.select("query_id", F.explode(found).alias("token")).distinct()
     if analyzer == "english":
         terms = terms.withColumn("token", stem_column("token")).distinct()
     sizes = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))

@@ -168,7 +168,15 @@ def j5(d: Data):
     return frontier.breaker(d.sql(_CALLS.format(t="@")), cooldown_seconds=7200)
 
 
-@query("j5_breaker_status")
+_BREAKER = _gate_oracle(f"SELECT *, NOT ok AS failed, CAST(300000000 AS BIGINT) AS hold FROM ({_CALLS.format(t='')})", "provider", 3,
+                        "g.c, g.until")
+
+
+@query("j5_breaker_status", oracle=f"""
+WITH last AS (SELECT provider, arg_max(c, row(ts, id)) AS c, max(row(ts, id, until)) AS r FROM ({_BREAKER}) GROUP BY provider),
+u AS (SELECT *, make_timestamp(r[3]) AS until FROM last)
+SELECT provider, CAST(c AS BIGINT) AS failure_count, NOT coalesce(until > TIMESTAMP '2024-01-30', false) AS available,
+       CASE WHEN until > TIMESTAMP '2024-01-30' THEN until END AS disabled_until FROM u""")
 def j5_status(d: Data):
     return frontier.breaker_status(frontier.breaker(d.sql(_CALLS.format(t="@"))), datetime(2024, 1, 30))
 
@@ -346,7 +354,18 @@ _EDGES = """SELECT 'org-' || CAST(l_suppkey AS STRING) AS from_entity_id, 'o-' |
   'offers' AS relationship_type FROM {t}lineitem"""
 
 
-@query("l2_merge_entities")
+_MERGED = f"""{_DUPES},
+e AS (SELECT id_a AS a, id_b AS b FROM pairs UNION SELECT id_b, id_a FROM pairs),
+cc(id, root) AS (SELECT a, a FROM e UNION SELECT e.b, cc.root FROM cc JOIN e ON e.a = cc.id),
+comp AS (SELECT id, min(root) AS component FROM cc GROUP BY id),
+surv AS (SELECT component, arg_min(dup.id, row(CASE WHEN contains(data, '"phone"') THEN -3 ELSE -2 END, -aieo_score, dup.id)) AS survivor_id
+  FROM comp JOIN dup ON dup.id = comp.id GROUP BY component),
+moved AS (SELECT comp.id, survivor_id FROM comp JOIN surv USING (component) WHERE comp.id <> survivor_id)"""
+
+
+@query("l2_merge_entities", "dup", f"""RECURSIVE_HERE, {_MERGED}
+SELECT id, 'archived' AS state, survivor_id FROM moved
+UNION ALL SELECT id, 'kept', id FROM dup WHERE id NOT IN (SELECT id FROM moved)""")
 def l2(d: Data):
     dup = d.view("dup")
     kept, _, archived = quality.merge_duplicates(dup, d.sql(_EDGES.format(t="@")), quality.find_duplicates(dup))
@@ -354,7 +373,9 @@ def l2(d: Data):
         archived.select("id", F.lit("archived").alias("state"), "survivor_id"))
 
 
-@query("l2_merge_relationships")
+@query("l2_merge_relationships", "dup", f"""RECURSIVE_HERE, {_MERGED}, r AS ({_EDGES.format(t='')})
+SELECT DISTINCT coalesce(a.survivor_id, r.from_entity_id) AS from_entity_id, coalesce(b.survivor_id, r.to_entity_id) AS to_entity_id,
+       relationship_type FROM r LEFT JOIN moved a ON a.id = r.from_entity_id LEFT JOIN moved b ON b.id = r.to_entity_id""")
 def l2_rels(d: Data):
     dup = d.view("dup")
     return quality.merge_duplicates(dup, d.sql(_EDGES.format(t="@")), quality.find_duplicates(dup))[1]

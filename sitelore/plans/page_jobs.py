@@ -88,11 +88,11 @@ def b6(d: Data):
 def _all_emails(d: Data):
     found = page_signals.extract_emails(d.table("documents"), "text", "doc_id")
     return found.select(F.substring_index("email", "@", -1).alias("domain"),
-                        (F.col("id") * 1000 + F.col("ord")).alias("ord"), "email")
+                        (F.col("id") * 1_000_000 + F.col("ord")).alias("ord"), "email")
 
 
 _PATTERNS = f"""{_EMAILS},
-decided AS (SELECT split_part(email, '@', -1) AS domain, id * 1000 + ord AS ord, email,
+decided AS (SELECT split_part(email, '@', -1) AS domain, id * 1000000 + ord AS ord, email,
   CASE WHEN contains(split_part(email, '@', 1), '.') THEN '{{first}}.{{last}}@{{domain}}'
        WHEN contains(split_part(email, '@', 1), '_') THEN '{{first}}_{{last}}@{{domain}}'
        WHEN length(split_part(email, '@', 1)) <= 3 THEN '{{f}}{{last}}@{{domain}}' END AS pattern FROM emails),
@@ -106,22 +106,17 @@ def b6_pattern(d: Data):
 
 
 @query("b6_infer_contact_email", oracle=f"""WITH {_PATTERNS},
-doms AS (SELECT domain, row_number() OVER (ORDER BY domain) - 1 AS i, count(*) OVER () AS n FROM patterns),
-contacts AS (SELECT c_custkey AS id, 'Ann' || c_nationkey AS first, c_mktsegment AS last, domain,
-  CASE WHEN c_custkey % 4 = 0 THEN 'known@example.com' END AS email FROM customer JOIN doms ON c_custkey % n = i)
+contacts AS (SELECT ord AS id, 'Ann' || ord % 7 AS first, 'LEE' AS last, domain,
+  CASE WHEN ord % 4 = 0 THEN 'known@example.com' END AS email FROM decided)
 SELECT id, coalesce(email, replace(replace(replace(replace(pattern, '{{first}}', lower(first)), '{{last}}', lower(last)),
          '{{f}}', lower(first[1])), '{{domain}}', domain)) AS email, email IS NULL AS inferred
 FROM contacts JOIN patterns USING (domain)""")
 def b6_infer(d: Data):
-    patterns = page_signals.domain_email_pattern(_all_emails(d))
-    patterns.createOrReplaceTempView("sitelore_email_patterns")
-    contacts = d.sql("""
-        WITH doms AS (SELECT domain, row_number() OVER (ORDER BY domain) - 1 AS i, count(*) OVER () AS n
-                      FROM sitelore_email_patterns)
-        SELECT c_custkey AS id, 'Ann' || CAST(c_nationkey AS STRING) AS first, c_mktsegment AS last, domain,
-               CASE WHEN c_custkey % 4 = 0 THEN 'known@example.com' END AS email
-        FROM @customer JOIN doms ON c_custkey % n = i""")
-    return page_signals.infer_contact_email(contacts, patterns)
+    found = _all_emails(d)
+    known = F.when(F.col("ord") % 4 == 0, "known@example.com")
+    contacts = found.select(F.col("ord").alias("id"), F.concat(F.lit("Ann"), (F.col("ord") % 7).cast("string")).alias("first"),
+                            F.lit("LEE").alias("last"), "domain", known.alias("email"))
+    return page_signals.infer_contact_email(contacts, page_signals.domain_email_pattern(found))
 
 
 _ORIGIN = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"

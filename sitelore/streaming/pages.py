@@ -29,11 +29,12 @@ BATCH_ENTITY = ("id string, category string, subcategory string, data string, do
 
 
 def index_pages(pages: DataFrame, classified: DataFrame | None = None, extracted: DataFrame | None = None,
-                ) -> tuple[DataFrame, DataFrame]:
-    """The page and entity rows of a set of fetched pages (page_id, url, html).
+                ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The page and entity rows of a set of fetched pages (page_id, url, html[, http_status]).
 
     `classified` (page_id, raw) and `extracted` (page_id, domain, extractor, ext_ord, raw) are model responses, if any;
-    form actions are always taken. The page of a url is the one with the greatest page_id.
+    form actions are always taken. The page of a url is the one with the greatest page_id. The third result is the
+    persisted page records both are built from, to be released after they are written.
     """
     newest = pages.groupBy("url").agg(F.max("page_id").alias("page_id"))
     records = extract_pages(pages.join(newest, ["url", "page_id"], "left_semi"), PARTS, profile="live")
@@ -44,6 +45,10 @@ def index_pages(pages: DataFrame, classified: DataFrame | None = None, extracted
     else:
         records = records.withColumn("page_type", F.lit(None).cast("string")) \
                          .withColumn("page_type_confidence", F.lit(None).cast("double"))
+    if "http_status" in pages.columns:
+        records = records.join(pages.select("page_id", F.col("http_status").cast("int").alias("http_status")), "page_id")
+    else:
+        records = records.withColumn("http_status", F.lit(200))
     records = records.persist()
 
     forms = records.select("page_id", "url", F.posexplode("forms").alias("ord", "f")).select("page_id", "url", "ord", "f.*")
@@ -68,18 +73,21 @@ def index_pages(pages: DataFrame, classified: DataFrame | None = None, extracted
         F.transform("flows", lambda f: f.dropFields("ord")).alias("flows")))
     page_rows = with_flows.select(
         "url", urls.domain("url").alias("domain"), F.sha2("cleaned_dom", 256).alias("content_hash"), "page_type",
-        "page_type_confidence", F.lit(200).alias("http_status"), F.lit(False).alias("requires_js"),
+        "page_type_confidence", "http_status", F.lit(False).alias("requires_js"),
         F.try_element_at("cms_hints", F.lit(1)).alias("cms_detected"), meta.alias("meta"))
-    return page_rows, entity_rows
+    return page_rows, entity_rows, records
 
 
 def start_indexing(stream: DataFrame, root: str, checkpoint: str, classified: DataFrame | None = None,
                    extracted: DataFrame | None = None, **trigger) -> StreamingQuery:
     """Index every page of the stream into batch folders under `root`."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        page_rows, entity_rows = index_pages(batch, classified, extracted)
-        page_rows.write.mode("overwrite").parquet(f"{root}/page_batches/batch={batch_id}")
-        entity_rows.write.mode("overwrite").parquet(f"{root}/entity_batches/batch={batch_id}")
+        page_rows, entity_rows, records = index_pages(batch, classified, extracted)
+        try:
+            page_rows.write.mode("overwrite").parquet(f"{root}/page_batches/batch={batch_id}")
+            entity_rows.write.mode("overwrite").parquet(f"{root}/entity_batches/batch={batch_id}")
+        finally:
+            records.unpersist()
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

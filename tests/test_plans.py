@@ -23,7 +23,7 @@ def explain(df):
     return out.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(set(PLANS) - {"b6_infer_contact_email"}))
+@pytest.mark.parametrize("name", sorted(PLANS))
 def test_no_cartesian_or_nested_loop(spark, sf_dir, name):
     plan = explain(PLANS[name](spark, sf_dir))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

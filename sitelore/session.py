@@ -80,12 +80,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if size < cores * SPREAD_BELOW_BYTES else df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write `df` as a table in the checkpoint folder and read it back.
 
     One pass over the plan, and a lost executor re-reads the table instead of replaying the loop. The size on disk is
-    known to the planner, so later joins are chosen by it.
+    known to the planner, so later joins are chosen by it. `partition_by` makes one folder per value of that column.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/sitelore/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelore.llm import line_dedup, sharding
+from sitelore.llm import line_dedup, packing, sharding, token_files
 from sitelore.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op4_line_dedup": lambda spark, sf_dir: line_dedup.op4_line_dedup(documents(spark, sf_dir)),
+    "op5_token_files": lambda spark, sf_dir: token_files.op5_token_files(spark, documents(spark, sf_dir)),
     "op6_sharding": lambda spark, sf_dir: sharding.op6_sharding(documents(spark, sf_dir)),
+    "op10_best_fit_packing": lambda spark, sf_dir: packing.op10_best_fit_packing(documents(spark, sf_dir)),
 }
 
 ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE}

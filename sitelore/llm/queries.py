@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelore.llm import fingerprints, line_dedup, packing, sharding, token_files
-from sitelore.llm.common import documents
+from sitelore.llm import fingerprints, line_dedup, packing, sharding, token_files, toxicity
+from sitelore.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,8 @@ QUERIES: dict[str, Query] = {
     "op4_line_dedup": lambda spark, sf_dir: line_dedup.op4_line_dedup(documents(spark, sf_dir)),
     "op5_token_files": lambda spark, sf_dir: token_files.op5_token_files(spark, documents(spark, sf_dir)),
     "op6_sharding": lambda spark, sf_dir: sharding.op6_sharding(documents(spark, sf_dir)),
+    "op7_toxicity":
+        lambda spark, sf_dir: toxicity.op7_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels")),
     "op9_document_fingerprints":
         lambda spark, sf_dir: fingerprints.op9_document_fingerprints(documents(spark, sf_dir)),
     "op10_best_fit_packing": lambda spark, sf_dir: packing.op10_best_fit_packing(documents(spark, sf_dir)),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelore.llm import fingerprints, line_dedup, packing, sharding, token_files, toxicity
+from sitelore.llm import fingerprints, line_dedup, ngram_join, packing, sharding, token_files, toxicity
 from sitelore.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ QUERIES: dict[str, Query] = {
     "op6_sharding": lambda spark, sf_dir: sharding.op6_sharding(documents(spark, sf_dir)),
     "op7_toxicity":
         lambda spark, sf_dir: toxicity.op7_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels")),
+    "op8_ngram_join": lambda spark, sf_dir: ngram_join.op8_ngram_join(documents(spark, sf_dir)),
     "op9_document_fingerprints":
         lambda spark, sf_dir: fingerprints.op9_document_fingerprints(documents(spark, sf_dir)),
     "op10_best_fit_packing": lambda spark, sf_dir: packing.op10_best_fit_packing(documents(spark, sf_dir)),

@@ -16,33 +16,36 @@ pass through `dedup` unchanged.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from sitelore.llm.common import cut_lineage
+from sitelore.llm.common import cut_lineage, large
 from sitelore.session import ensure_checkpoint_dir
 
-_SPACE = r"[\x20\x09-\x0D]"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPACE = " \t\n\x0b\x0c\r"
 RUN_SCHEMA = "h1 long, h2 long, n long, keeper long"
+_FIRST = -(1 << 63)
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.regexp_replace(line, rf"^{_SPACE}+|{_SPACE}+\z", ""), _UPPER, _LOWER)
+def lines_of(text: str | None) -> list[str]:
+    return (text or "").split("\n")
 
 
-def lines_of(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
-
-
-def _hashed(line: Column, min_chars: int) -> Column:
-    """The key's two hashes, null for lines that take no part."""
-    key = line_key(line)
-    # a line is never shorter than its key, and most short lines need no key
-    return F.when(F.length(line) >= min_chars, F.when(F.length(key) >= min_chars, F.struct(
-        F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"))))
+def line_hash(line: str, min_chars: int) -> bytes | None:
+    """16 bytes that stand for the line's key, or None for a line that takes no part."""
+    if len(line) < min_chars:
+        return None
+    key = line.strip(_SPACE)
+    if len(key) < min_chars:
+        return None
+    return hashlib.blake2b(key.encode().lower(), digest_size=16).digest()  # bytes.lower touches A-Z alone
 
 
 class LineRuns:
@@ -93,13 +96,21 @@ def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text", min_chars
     """
     spark = docs.sparkSession
     runs = runs or LineRuns(spark)
-    spaced = F.coalesce(F.col(row_id).cast("long"), F.lit(-(1 << 63)).cast("long"))
-    hashes = F.array_distinct(F.filter(F.transform(lines_of(F.col(text)), lambda x: _hashed(x, min_chars)),
-                                       lambda h: h.isNotNull()))
-    held = docs.select(spaced.alias("doc_id"), hashes.alias("h")).filter(F.size("h") > 0)
-    held = held.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
-    held = cut_lineage(held, partition_by="batch") if batches > 1 else cut_lineage(held)
-    lines = held.select("doc_id", "batch", F.inline("h"))
+    spaced = F.coalesce(F.col(row_id).cast("long"), F.lit(_FIRST))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in large(batches, "text"):
+            found = [{h for line in lines_of(t) if (h := line_hash(line, min_chars))}
+                     for t in batch.column("text").to_pylist()]
+            flat = np.frombuffer(b"".join(h for f in found for h in f), "<i8").reshape(-1, 2)
+            ids = np.repeat(np.array(batch.column("doc_id"), np.int64), [len(f) for f in found])
+            yield pa.record_batch([pa.array(ids), pa.array(np.ascontiguousarray(flat[:, 0])),
+                                   pa.array(np.ascontiguousarray(flat[:, 1]))], ["doc_id", "h1", "h2"])
+
+    held = docs.select(spaced.alias("doc_id"), F.col(text).alias("text"))
+    lines = held.mapInArrow(hashes, "doc_id long, h1 long, h2 long").withColumn(
+        "batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
+    lines = cut_lineage(lines, partition_by="batch") if batches > 1 else cut_lineage(lines)
     # repeated rows of one doc_id are in one batch; only they need the distinct
     repeated = held.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() > 0
     for batch in range(batches):
@@ -108,16 +119,33 @@ def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text", min_chars
     frequent = cut_lineage(runs.merged().filter(F.col("n") >= min_docs).select("h1", "h2", "keeper"))
     gone = (lines.join(frequent, ["h1", "h2"]).filter(F.col("doc_id") < F.col("keeper"))
             .groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("__gone")))
-    out = docs.withColumn("__key", spaced).join(gone.withColumnRenamed("doc_id", "__key"), "__key", "left")
-    split = lines_of(F.col(text))
-    out = out.withColumn("__lines", split)
-    stays = F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(F.filter(
-        "__lines", lambda x: ~F.coalesce(F.array_contains("__gone", _hashed(x, min_chars)), F.lit(False))))
-    out = out.withColumn("__kept", stays)
-    new_text = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n"))
-    return (out.withColumn("__n_lines", F.size("__lines").cast("long"))
-            .withColumn("__n_dropped", (F.size("__lines") - F.size("__kept")).cast("long"))
-            .withColumn(text, new_text).drop("__key", "__gone", "__lines", "__kept"))
+    joined = docs.withColumn("__key", spaced).join(
+        gone.select(F.col("doc_id").alias("__key"), F.col("__gone.h1").alias("__g1"), F.col("__gone.h2").alias("__g2")),
+        "__key", "left").drop("__key")
+    names = docs.columns
+
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in large(batches, text):
+            columns = dict(zip(batch.schema.names, batch.columns))
+            texts, total, dropped = [], [], []
+            for t, g1, g2 in zip(*(columns[c].to_pylist() for c in (text, "__g1", "__g2"))):
+                total.append((t or "").count("\n") + 1)
+                if g1 is None:
+                    texts.append(t)
+                    dropped.append(0)
+                    continue
+                pairs = np.array([g1, g2], "<i8").T.tobytes()
+                out = {pairs[k:k + 16] for k in range(0, len(pairs), 16)}
+                kept = [line for line in lines_of(t) if line_hash(line, min_chars) not in out]
+                texts.append("\n".join(kept))
+                dropped.append(total[-1] - len(kept))
+            columns[text] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*(columns[n] for n in names), pa.array(total, pa.int64()),
+                                              pa.array(dropped, pa.int64())], [*names, "__n_lines", "__n_dropped"])
+
+    fields = [StructField(f.name, StringType()) if f.name == text else f for f in docs.schema.fields]
+    return joined.mapInArrow(rebuild, StructType([*fields, StructField("__n_lines", LongType()),
+                                                  StructField("__n_dropped", LongType())]))
 
 
 def op4_line_dedup(docs: DataFrame) -> DataFrame:

@@ -14,12 +14,15 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BYTE[65:91] = _BYTE[97:123]
 _BYTE[_SPACE] = 0
+_BARE = _BYTE.copy()
+_BARE[[c for c in range(33, 127) if not chr(c).isalnum()]] = 0
 _PLACE = mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
 _STEP = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x165667B19E3779F9)) | np.uint64(1)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, offsets): the words of text i are hashes[offsets[i]:offsets[i + 1]]."""
+def word_hashes(texts: list[bytes], bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): the words of text i are hashes[offsets[i]:offsets[i + 1]]. `bare` ignores ASCII punctuation
+    at the end of words."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     space = _SPACE[data]
     starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
@@ -28,7 +31,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return np.zeros(0, np.uint64), offsets
     place = np.arange(len(data)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(data)]))
-    sums = np.add.reduceat(_BYTE[data] * _PLACE[place & 1023], starts)
+    sums = np.add.reduceat((_BARE if bare else _BYTE)[data] * _PLACE[place & 1023], starts)
+    if bare:
+        return mix(sums), offsets
     stops = np.flatnonzero(space & np.r_[False, ~space[:-1]])
     return mix(sums + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), offsets
 

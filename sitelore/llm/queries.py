@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelore.llm import decontaminate, fingerprints, line_dedup, ngram_join, packing, sharding, token_files, toxicity
+from sitelore.llm import decontaminate, fingerprints, line_dedup, ngram_join, packing, sharding, suffix_dedup, token_files, toxicity
 from sitelore.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": lambda spark, sf_dir: suffix_dedup.op1_suffix_dedup(documents(spark, sf_dir)),
     "op2_decontaminate": lambda spark, sf_dir: decontaminate.op2_decontaminate(
         documents(spark, sf_dir), table(spark, sf_dir, "benchmark")),
     "op4_line_dedup": lambda spark, sf_dir: line_dedup.op4_line_dedup(documents(spark, sf_dir)),

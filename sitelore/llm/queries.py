@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelore.llm import decontaminate, fingerprints, line_dedup, ngram_join, packing, sharding, suffix_dedup, token_files, toxicity
-from sitelore.llm.common import documents, table
+from sitelore.llm import decontaminate, fingerprints, html_text, line_dedup, ngram_join, packing, sharding, suffix_dedup, token_files, toxicity
+from sitelore.llm.common import documents, pages, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": lambda spark, sf_dir: suffix_dedup.op1_suffix_dedup(documents(spark, sf_dir)),
     "op2_decontaminate": lambda spark, sf_dir: decontaminate.op2_decontaminate(
         documents(spark, sf_dir), table(spark, sf_dir, "benchmark")),
+    "op3_html_extraction": lambda spark, sf_dir: html_text.op3_html_extraction(pages(spark, sf_dir)),
     "op4_line_dedup": lambda spark, sf_dir: line_dedup.op4_line_dedup(documents(spark, sf_dir)),
     "op5_token_files": lambda spark, sf_dir: token_files.op5_token_files(spark, documents(spark, sf_dir)),
     "op6_sharding": lambda spark, sf_dir: sharding.op6_sharding(documents(spark, sf_dir)),

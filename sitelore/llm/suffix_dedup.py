@@ -381,7 +381,7 @@ def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text", hot: int
     found = found.unionByName(rows.filter("hash is null").select("key", "first", "last"))
     spans = found.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("__spans"))
     joined = keyed.join(spans.withColumnRenamed("key", "__key"), "__key", "left").join(
-        twins.select(F.col("key").alias("__key"), "copies"), "__key", "left").drop("__key")
+        twins.select(F.col("key").alias("__key"), F.col("copies").alias("__copies")), "__key", "left").drop("__key")
     joined = joined.select("*", F.col("__spans.first").alias("__a"), F.col("__spans.last").alias("__b")).drop("__spans")
     names = docs.columns
 
@@ -389,7 +389,7 @@ def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text", hot: int
         for batch in large(batches, text, 4 << 20):
             columns = dict(zip(batch.schema.names, batch.columns))
             out = []
-            for t, a, b, copies in zip(*(columns[c].to_pylist() for c in (text, "__a", "__b", "copies"))):
+            for t, a, b, copies in zip(*(columns[c].to_pylist() for c in (text, "__a", "__b", "__copies"))):
                 raw = (t or "").encode()
                 spans = [(0, len(raw))] if copies else _united(list(zip(a, b))) if a else []
                 kept, at = [], 0

@@ -47,7 +47,7 @@ LONGEST = 32
 _TABLE = 1 << 20
 _PATTERNS = [(0, *np.cumsum(steps)) for n in (3, 4)
              for steps in itertools.product(range(1, SPAN + 2), repeat=n - 1) if sum(steps) <= n - 1 + SPAN]
-_SINGLES = re.compile(r"(?:(?<=\s)|^)\S(?:\s\S)+(?=\s|$)")
+_SINGLES = re.compile(r"(?<!\S)\w(?:\s\w)+(?!\w)")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 CACHED = 400_000
 

@@ -32,6 +32,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        vocabulary = self.tokenizer.get_vocab()
+        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.starts[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # the byte-level sign for a space
         self.cache: dict[str, bytes] = {}
 
     @staticmethod
@@ -45,16 +48,29 @@ class Encoder:
         return out
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in found]
+        """Ids of each piece. Pieces that are a space and further characters are encoded as one text: every id whose
+        token starts with a space then starts a piece."""
+        plain = [p for p in pieces if len(p) > 1 and p[0] == " " and " " not in p[1:]]
+        done: dict[str, bytes] = {}
+        if plain:
+            ids = np.array(self.tokenizer.encode("".join(plain), add_special_tokens=False).ids, self.kind)
+            at = np.flatnonzero(self.starts[ids])
+            if len(at) == len(plain):
+                raw, size = ids.tobytes(), ids.itemsize
+                cuts = [*(at * size).tolist(), len(raw)]
+                done = {p: raw[a:b] for p, a, b in zip(plain, cuts, cuts[1:])}
+        rest = [p for p in pieces if p not in done]
+        for p, x in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
+            done[p] = np.array(x.ids, self.kind).tobytes()
+        return [done[p] for p in pieces]
 
     def encode(self, texts: list[str | None], end: int | None = None) -> list[np.ndarray]:
         """Ids of each text, with the end id appended."""
         cache, kind = self.cache, self.kind
         tail = b"" if end is None else np.array([end], kind).tobytes()
         out = []
-        for start in range(0, len(texts), 64):
-            split = [self.pieces(t) if t else [] for t in texts[start:start + 64]]
+        for start in range(0, len(texts), 1024):
+            split = [self.pieces(t) if t else [] for t in texts[start:start + 1024]]
             missing = {p for pieces in split for p in pieces if p not in cache}
             extra: dict[str, bytes] = {}
             if missing:

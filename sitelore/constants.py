@@ -45,9 +45,6 @@ EXTRACTOR_ROUTES = {
     "course_listing": ("actions", "general"),
 }
 CLOUD_BELOW_CONFIDENCE = 0.7
-EXTRACT_BLOCK_CHARS = 8000
-CLASSIFY_BLOCK_CHARS = 6000
-PAGE_TEXT_CHARS = 20000
 
 SCORE_WEIGHTS = {
     "action_richness": 0.30,

@@ -68,19 +68,33 @@ def is_internal(link: Column | str, base_domain: Column | str) -> Column:
     return (domain(link) == base) | (domain(link) == F.concat(F.lit("www."), base))
 
 
+def _without_dots(path: Column) -> Column:
+    """An absolute path without its `.` and `..` segments."""
+    segments = F.split(F.substring(path, 2, 1 << 30), "/", -1)
+    kept = F.aggregate(segments, F.expr("cast(array() as array<string>)"), lambda acc, s: F.when(
+        s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(
+        F.concat(acc, F.array(s))))
+    open_end = F.element_at(segments, -1).isin(".", "..") & (F.size(kept) > 0)
+    clean = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(open_end, "/").otherwise(""))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), clean).otherwise(path)
+
+
 def resolve(href: Column | str, base_url: Column | str) -> Column:
     """`href` made absolute against `base_url` for the forms links take; `href` unchanged otherwise."""
     href, base = _col(href), _col(base_url)
     origin = F.concat(_part(base, 1), F.lit("://"), _part(base, 2))
-    folder = F.regexp_replace(_part(base, 3), r"[^/]*$", "")
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    base_path = F.when(_part(base, 3) == "", F.lit("/")).otherwise(_part(base, 3))
+    folder = F.regexp_replace(base_path, r"[^/]*$", "")
+    path = F.regexp_extract(href, r"^([^?#]*)", 1)
+    rest = F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    whole = F.concat(origin, base_path, F.regexp_extract(base, r"^[^?#]*(\?[^#]*)?", 1))
     return (F.when(is_url(href) | ~is_url(base), href)
             .when(href.startswith("//"), F.concat(_part(base, 1), F.lit(":"), href))
-            .when(href.startswith("/"), F.concat(origin, href))
-            .when(href.startswith("?"), F.concat(origin, _part(base, 3), href))
-            .when(href.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), href))
+            .when(href.startswith("/"), F.concat(origin, _without_dots(path), rest))
+            .when(href.startswith("?"), F.concat(origin, base_path, href))
+            .when((href == "") | href.startswith("#"), F.concat(whole, href))
             .when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
-            .otherwise(F.concat(origin, folder, F.regexp_replace(href, r"^(\./)+", ""))))
+            .otherwise(F.concat(origin, _without_dots(F.concat(folder, path)), rest)))
 
 
 def with_url_columns(df: DataFrame, url_col: str = "url", base_domain: str | None = None) -> DataFrame:

@@ -162,13 +162,14 @@ def crawl_days(changes: DataFrame) -> DataFrame:
         F.count_if(~failed & (F.col("state") == "unchanged")).alias("unchanged"))
 
 
-def discover_domains(links: DataFrame, pages: DataFrame, n: int = 100) -> DataFrame:
+def discover_domains(links: DataFrame, pages: DataFrame, n: int | None = None) -> DataFrame:
     """Hosts that are linked to but not indexed, by the number of linking pages."""
     outside = links.filter("is_external").select(urls.domain("href").alias("domain"), "page_id")
     # one row per (domain, page) before counting: repeated links of a page combine map-side
     backlinks = outside.distinct().groupBy("domain").agg(F.count("*").alias("linking_pages"))
-    return (backlinks.join(pages.select("domain").distinct(), "domain", "left_anti")
-            .orderBy(F.desc("linking_pages"), "domain").limit(n))
+    found = (backlinks.join(pages.select("domain").distinct(), "domain", "left_anti")
+             .orderBy(F.desc("linking_pages"), "domain"))
+    return found if n is None else found.limit(n)
 
 
 def link_graph(links: DataFrame, src: str = "url", dst: str = "href") -> DataFrame:
@@ -189,7 +190,7 @@ def link_degrees(edges: DataFrame) -> DataFrame:
                                     F.sum("i").alias("in_degree"), F.sum("iw").alias("in_weight"))
 
 
-def host_authority(edges: DataFrame, rounds: int = 20, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+def host_authority(edges: DataFrame, rounds: int = 200, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """Authority per host in 0..100 (100 is the best host) by weighted PageRank over the host edges.
 
     Where the value comes from is left open by the described model. Contributions are combined map-side per target;
@@ -217,5 +218,8 @@ def host_authority(edges: DataFrame, rounds: int = 20, damping: float = 0.85, to
         ranks = ranks.select("host", "links", "rank")
         if moved < tolerance:
             break
+    else:
+        if n:
+            raise RuntimeError(f"host authority did not settle within {rounds} rounds")
     best = ranks.agg(F.max("rank")).scalar()
     return ranks.select("host", (100 * F.col("rank") / best).alias("authority"))

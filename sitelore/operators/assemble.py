@@ -39,20 +39,22 @@ def assemble_by_domain(entities: DataFrame, domain: str, categories: list[str] |
 
 
 def assemble_by_location(entities: DataFrame, location: str, categories: list[str] | None = None,
-                         limit: int = 100) -> DataFrame:
+                         limit: int | None = None) -> DataFrame:
     """F7."""
-    return _where(entities, categories, location=location).orderBy(*by_score()).limit(limit)
+    found = _where(entities, categories, location=location).orderBy(*by_score())
+    return found if limit is None else found.limit(limit)
 
 
 def assemble(entities: DataFrame, categories: list[str] | None = None, domain: str | None = None,
-             location: str | None = None, limit: int | None = 100) -> DataFrame:
-    """F8: flat rows, at most min(limit or 100, 500)."""
+             location: str | None = None, limit: int | None = None) -> DataFrame:
+    """F8: flat rows."""
     kept = _where(entities, categories, domain, location)
-    return kept.orderBy(*by_score_confidence()).limit(min(limit or 100, 500))
+    best = kept.orderBy(*by_score_confidence())
+    return best if limit is None else best.limit(limit)
 
 
-def assemble_relationships(rels: DataFrame, assembled: DataFrame, limit: int = 1000) -> DataFrame:
-    """F8: edges with either end among the (at most 500) assembled entities, each edge once."""
+def assemble_relationships(rels: DataFrame, assembled: DataFrame, limit: int | None = None) -> DataFrame:
+    """F8: edges with either end among the assembled entities, each edge once."""
     ids = assembled.select("id").distinct()
     hit = F.lit(True).alias("__hit")
     outgoing = rels.join(ids.withColumnRenamed("id", "from_entity_id"), "from_entity_id", "left_semi")
@@ -61,7 +63,8 @@ def assemble_relationships(rels: DataFrame, assembled: DataFrame, limit: int = 1
     incoming = (incoming.join(ids.select(F.col("id").alias("from_entity_id"), hit), "from_entity_id", "left")
                 .filter(F.col("__hit").isNull()).drop("__hit"))
     edges = outgoing.select(*rels.columns).unionByName(incoming.select(*rels.columns))
-    return edges.orderBy("from_entity_id", "to_entity_id", "relationship_type").limit(limit)
+    edges = edges.orderBy("from_entity_id", "to_entity_id", "relationship_type")
+    return edges if limit is None else edges.limit(limit)
 
 
 def grouped(rows: DataFrame, order: tuple[str, ...] = ("aieo_score", "confidence")) -> DataFrame:
@@ -72,19 +75,25 @@ def grouped(rows: DataFrame, order: tuple[str, ...] = ("aieo_score", "confidence
 
 
 def cross_category_join(entities: DataFrame, rels: DataFrame, primary: str, secondary: str,
-                        domain: str | None = None, limit: int = 200) -> DataFrame:
-    """pairs of a primary and a related secondary entity, best primaries first."""
-    e1 = _where(entities, [primary], domain).select(
-        F.col("id").alias("primary_id"), F.col("data").alias("primary_data"), "domain", "aieo_score")
+                        domain: str | None = None, limit: int | None = None) -> DataFrame:
+    """pairs of a primary and a related secondary entity, best primaries first.
+
+    Ids and scores are joined and ranked; payloads join the ranked pairs.
+    """
+    e1 = _where(entities, [primary], domain).select(F.col("id").alias("primary_id"), "domain", "aieo_score")
     e2 = _where(entities, [secondary]).select(
-        F.col("id").alias("secondary_id"), F.col("data").alias("secondary_data"),
-        F.col("category").alias("secondary_category"))
+        F.col("id").alias("secondary_id"), F.col("category").alias("secondary_category"))
     edges = rels.select(F.col("from_entity_id").alias("primary_id"), F.col("to_entity_id").alias("secondary_id"),
                         "relationship_type")
     joined = edges.join(e1, "primary_id").join(e2, "secondary_id")
-    return (joined.orderBy(F.col("aieo_score").desc_nulls_last(), "primary_id", "secondary_id", "relationship_type")
-            .limit(limit)
-            .select("primary_id", "primary_data", "domain", "secondary_id", "secondary_data", "secondary_category"))
+    order = (F.col("aieo_score").desc_nulls_last(), F.col("primary_id"), F.col("secondary_id"), F.col("relationship_type"))
+    if limit is not None:
+        joined = joined.orderBy(*order).limit(limit)
+    payload = entities.select("id", "data")
+    joined = (joined.join(payload.select(F.col("id").alias("primary_id"), F.col("data").alias("primary_data")), "primary_id")
+              .join(payload.select(F.col("id").alias("secondary_id"), F.col("data").alias("secondary_data")), "secondary_id"))
+    return joined.orderBy(*order).select(
+        "primary_id", "primary_data", "domain", "secondary_id", "secondary_data", "secondary_category")
 
 
 def compare(entities: DataFrame, ids: DataFrame) -> DataFrame:

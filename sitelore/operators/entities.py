@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelore.constants import (ALL_EXTRACTORS, CLASSIFY_BLOCK_CHARS, CLOUD_BELOW_CONFIDENCE, EXTRACT_BLOCK_CHARS,
+from sitelore.constants import (ALL_EXTRACTORS, CLOUD_BELOW_CONFIDENCE,
                                 EXTRACTOR_ROUTES, SENIORITY_RULES)
 from sitelore.functions import urls
 from sitelore.functions.chunked import top_per_key
@@ -64,7 +64,7 @@ def extractor_list(page_type: Column) -> Column:
     return F.coalesce(F.try_element_at(routes, page_type), F.array(*[F.lit(n) for n in ALL_EXTRACTORS]))
 
 
-def plan_extractions(pages: DataFrame, max_chars: int | None = EXTRACT_BLOCK_CHARS) -> DataFrame:
+def plan_extractions(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
     """D3: one row per (page, extractor) with its content block.
 
     `max_chars` is the input size of the model service the blocks are made for; None keeps the whole DOM.
@@ -80,7 +80,7 @@ def plan_extractions(pages: DataFrame, max_chars: int | None = EXTRACT_BLOCK_CHA
                         F.posexplode(extractor_list(F.col("page_type"))).alias("ext_ord", "extractor"))
 
 
-def classify_blocks(pages: DataFrame, max_chars: int | None = CLASSIFY_BLOCK_CHARS) -> DataFrame:
+def classify_blocks(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
     """D3: the classification block per page."""
     def shown(name: str, default: str) -> Column:
         return F.when(F.coalesce(name, F.lit("")) == "", default).otherwise(F.col(name))
@@ -93,13 +93,16 @@ def classify_blocks(pages: DataFrame, max_chars: int | None = CLASSIFY_BLOCK_CHA
     return pages.select("page_id", block.alias("content"))
 
 
-def dedupe_key() -> Column:
-    return F.concat(F.col("category"), F.lit(":"), F.lower(F.substring("searchable_text", 1, 60)))
+def dedupe_key(prefix: int | None = None) -> Column:
+    """Category and text in lower case; `prefix` compares only so many characters of the text."""
+    text = F.col("searchable_text") if prefix is None else F.substring("searchable_text", 1, prefix)
+    return F.concat(F.col("category"), F.lit(":"), F.lower(text))
 
 
-def dedupe_entities(entities: DataFrame, order: tuple[str, ...] = ("ext_ord", "pos")) -> DataFrame:
+def dedupe_entities(entities: DataFrame, order: tuple[str, ...] = ("ext_ord", "pos"),
+                    prefix: int | None = None) -> DataFrame:
     """First row per page and key. An aggregate, so copies of one key are combined before the shuffle."""
-    keyed = entities.withColumn("__key", dedupe_key())
+    keyed = entities.withColumn("__key", dedupe_key(prefix))
     row = F.struct(*entities.columns)
     # the other columns settle ties, so that a retried task picks the same row
     rank = F.struct(*order, *[c for c in entities.columns if c not in order])
@@ -192,10 +195,10 @@ def compose_searchable_text(entities: DataFrame, name: str = "searchable_text")
     return entities.withColumn(name, text)
 
 
-def discover_links(links: DataFrame, pages: DataFrame, queue: DataFrame, per_page: int = 20) -> DataFrame:
-    """The first internal http links of each page that are neither indexed nor queued, as queue rows."""
+def discover_links(links: DataFrame, pages: DataFrame, queue: DataFrame, per_page: int | None = None) -> DataFrame:
+    """The (first `per_page`) internal http links of each page that are neither indexed nor queued, as queue rows."""
     internal = links.filter(~F.col("is_external") & F.col("href").startswith("http")).select("page_id", "ord", "href")
-    first = top_per_key(internal, ["page_id"], [F.col("ord")], per_page)
+    first = internal if per_page is None else top_per_key(internal, ["page_id"], [F.col("ord")], per_page)
     fresh = (first.select(F.col("href").alias("url")).distinct()
              .join(pages.select("url"), "url", "left_anti").join(queue.select("url"), "url", "left_anti"))
     return fresh.select("url", urls.domain("url").alias("domain"), F.lit(6).alias("priority"),

@@ -264,6 +264,8 @@ class PageReader(HTMLParser):
             slot: dict = {"level": level, "text": ""}
             self.headings.append(slot)
             self._capture(element, lambda text: slot.update(text=text.strip()))
+        if self.live and self.noise_depth:  # the indexing path removes noise before it collects
+            return
         if "links" in parts and tag == "a" and attrs.get("href"):
             self._add_link(attrs, element)
         if "forms" in parts:
@@ -344,7 +346,7 @@ class PageReader(HTMLParser):
         link = {"href": href, "text": "", "location": location,
                 "is_external": _host(href) != self.host, "rel": attrs.get("rel") or None}
         self.links.append(link)
-        self._capture(element, lambda text: link.update(text=text.strip()[:200]))
+        self._capture(element, lambda text: link.update(text=text.strip()))
 
     def _visit_form(self, tag: str, attrs: dict[str, str], element: _Open) -> None:
         if tag == "form" and self.form is None:
@@ -353,7 +355,7 @@ class PageReader(HTMLParser):
                 action = absolute(action, self.url) or action
             self.form = {"action": action, "method": (attrs.get("method") or "GET").upper(), "fields": [],
                          "submit_label": None, "encoding": attrs.get("enctype") or None, "_labels": {},
-                         "_submit": None}
+                         "_submit": None, "_live": self.live}
             self.forms.append(self.form)
             return
         form = self.form
@@ -391,7 +393,7 @@ class PageReader(HTMLParser):
         image = {"src": src if src.startswith("http") else (absolute(src, self.url) or src),
                  "alt": attrs.get("alt") or None, "width": self._size(attrs.get("width")),
                  "height": self._size(attrs.get("height")), "caption": None,
-                 "context": context[:100] if context else None}
+                 "context": context or None}
         self.images.append(image)
         if self.figures:
             self.figures[-1]["images"].append(image)
@@ -459,7 +461,7 @@ class PageReader(HTMLParser):
 
         return {
             "title": self.title or "", "description": name("description"), "h1": self.h1 or "",
-            "h2s": [h for h in self.h2s if h][:10], "canonical": self.canonical or self.url,
+            "h2s": [h for h in self.h2s if h], "canonical": self.canonical or self.url,
             "robots": name("robots"), "lang": self.lang or "", "og_title": prop("og:title"),
             "og_description": prop("og:description"), "og_image": prop("og:image"), "og_type": prop("og:type"),
             "twitter_card": name("twitter:card"), "author": name("author") or self.author_text or "",
@@ -482,7 +484,7 @@ class PageReader(HTMLParser):
         fields = []
         for field in form["fields"]:
             if field["_id"]:
-                label = form["_labels"].get(field["_id"], "").strip()
+                label = form["_labels"].get(field["_id"], "").strip() or (field["placeholder"] if form["_live"] else "")
             else:
                 label = field["placeholder"]
             fields.append({**{k: v for k, v in field.items() if k != "_id"},

@@ -258,13 +258,14 @@ def apply_retention(log: DataFrame, now: datetime, days: int = 30, ts: str = "ts
     return log.filter(F.col(ts) >= days_before(now, days))
 
 
-def filter_log(log: DataFrame, level: str | None = None, component: str | None = None, limit: int = 100) -> DataFrame:
+def filter_log(log: DataFrame, level: str | None = None, component: str | None = None, limit: int | None = None) -> DataFrame:
     """Newest rows by level and component."""
     if level:
         log = log.filter(F.col("level") == level)
     if component:
         log = log.filter(F.col("component") == component)
-    return log.orderBy(F.col("ts").desc_nulls_last(), "id").limit(limit)
+    newest = log.orderBy(F.col("ts").desc_nulls_last(), "id")
+    return newest if limit is None else newest.limit(limit)
 
 
 def evaluate_alerts(metrics: DataFrame, rules: DataFrame | None = None) -> DataFrame:

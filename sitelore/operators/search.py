@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sitelore.functions.chunked import top_per_key
 from sitelore.operators.assemble import by_score_confidence
 from sitelore.operators.search_text import build_postings, text_search
-from sitelore.operators.search_vector import vector_search
+from sitelore.operators.search_vector import cosine, vector_search
 
 DEFAULT_LIMIT = 20
 
@@ -54,8 +54,13 @@ def hybrid_search(entities: DataFrame, queries: DataFrame, postings: DataFrame |
         return F.coalesce(1.0 / (rrf_k + F.col(name)), F.lit(0.0))
 
     fused = fused.withColumn("rrf_score", share("vector_rank") + share("lexical_rank"))
-    return top_per_key(fused, ["query_id"], [F.col("rrf_score").desc(), F.col("id")], k).select(
-        "query_id", "rank", "id", "rrf_score", "vector_rank", "lexical_rank", "vector_similarity")
+    best = top_per_key(fused, ["query_id"], [F.col("rrf_score").desc(), F.col("id")], k)
+    # hits of the text branch alone: their vectors are looked up by id
+    best = (best.join(queries.select("query_id", F.col("embedding").alias("__q")), "query_id")
+            .join(kept.select("id", F.col("embedding").alias("__e")), "id", "left"))
+    similarity = F.coalesce("vector_similarity", F.round(cosine("__q", "__e"), 6))
+    return best.select("query_id", "rank", "id", "rrf_score", "vector_rank", "lexical_rank",
+                       similarity.alias("vector_similarity"))
 
 
 def browse(entities: DataFrame, filters: Filters = Filters(), k: int = DEFAULT_LIMIT) -> DataFrame:

@@ -115,7 +115,7 @@ def text_search(entities: DataFrame, postings: DataFrame, queries: DataFrame, k:
     `entities` is already filtered (H8); only its id and score are shuffled.
     """
     matches = score_matches(postings, queries, analyzer, score)
-    matches = matches.withColumn("text_rank", F.round("text_rank", 9))
+    matches = matches.withColumn("text_rank", F.round("text_rank", 12))
     joined = matches.join(entities.select("id", "aieo_score"), "id")
     order = [F.col("text_rank").desc(), F.col("aieo_score").desc_nulls_last(), F.col("id")]
     return top_per_key(joined, ["query_id"], order, k).select("query_id", "rank", "id", "text_rank", "aieo_score")

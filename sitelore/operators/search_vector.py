@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -17,6 +17,7 @@ from sitelore.functions.chunked import top_per_key
 from sitelore.operators.entities import normalise_vector
 
 MAX_BLOCK_QUERIES = 4096  # query vectors shipped to the tasks at a time
+RANK_DIGITS = 12  # ranking ignores what the order of summation changes
 SLICE_ROWS = 1024  # rows per matrix product, which bounds a task's memory
 
 
@@ -61,6 +62,8 @@ def _partial_top(query_ids: list, unit_queries: np.ndarray, k: int, digits: int,
 def vector_search(entities: DataFrame, queries: DataFrame, k: int = 20, digits: int = 6) -> DataFrame:
     """H4: the k nearest entities (id, embedding) per query (query_id, embedding) by cosine similarity.
 
+    Ranks go by the similarity itself; only what is returned is rounded to `digits`.
+
     `entities` is already filtered (H8); null embeddings are not ranked. The query vectors go to the tasks in blocks
     of bounded size (one scan per block), and every task returns at most k rows per query, so the shuffle carries
     k * queries rows per task and never a pair product.
@@ -70,17 +73,14 @@ def vector_search(entities: DataFrame, queries: DataFrame, k: int = 20, digits:
     ddl = f"query_id {types['q']}, id {types['i']}, similarity double"
     arrow_schema = to_arrow_schema(schemas.struct(ddl))
     asked = queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding")
-    first = asked.limit(MAX_BLOCK_QUERIES + 1).collect()
-    blocks = [first]
-    if len(first) > MAX_BLOCK_QUERIES:
-        n = 2 * -(-asked.count() // MAX_BLOCK_QUERIES)
-        block_of = F.pmod(F.xxhash64("query_id"), F.lit(n))
-        blocks = (asked.filter(block_of == i).collect() for i in range(n))
+    # blocks by hash, half full on average
+    n = asked.count() * 2 // MAX_BLOCK_QUERIES + 1
+    block_of = F.pmod(F.xxhash64("query_id"), F.lit(n))
     parts = []
-    for block in blocks:
+    for block in (asked.filter(block_of == i).collect() for i in range(n)):
         if block:
             matrix = _unit(np.array([r["embedding"] for r in block], dtype=np.float64))
-            top = _partial_top([r["query_id"] for r in block], matrix, k, digits, arrow_schema)
+            top = _partial_top([r["query_id"] for r in block], matrix, k, RANK_DIGITS, arrow_schema)
             parts.append(rows.mapInArrow(top, ddl))
     if not parts:
         return entities.sparkSession.createDataFrame([], ddl + ", rank int")
@@ -88,7 +88,17 @@ def vector_search(entities: DataFrame, queries: DataFrame, k: int = 20, digits:
     for part in parts[1:]:
         partial = partial.unionByName(part)
     return top_per_key(partial, ["query_id"], [F.col("similarity").desc(), F.col("id")], k) \
-        .select("query_id", "rank", "id", "similarity")
+        .select("query_id", "rank", "id", F.round("similarity", digits).alias("similarity"))
+
+
+def cosine(left: str, right: str) -> Column:
+    """Cosine similarity of two vector columns; null where one is missing."""
+    def product(a: str, b: str) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
+                           lambda acc, x: acc + x)
+
+    norm = F.sqrt(product(left, left) * product(right, right))
+    return F.when(norm > 0, product(left, right) / norm).when(norm == 0, F.lit(0.0))
 
 
 def lsh_search(entities: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8, bucket_length: float = 1.0,

@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PROMPT_TYPES = ("classify", "contacts", "products", "actions")
-PAIR_BLOCK_CHARS = 8000
 
 
-def training_pairs(pages: DataFrame, responses: DataFrame, max_chars: int | None = PAIR_BLOCK_CHARS) -> DataFrame:
+def training_pairs(pages: DataFrame, responses: DataFrame, max_chars: int | None = None) -> DataFrame:
     """(input, output, prompt_type) for every response (page_id, prompt_type, response) of a page's DOM.
 
     `max_chars` is the input size of the model service; None keeps the whole DOM.
@@ -40,12 +39,12 @@ def to_chat(pairs: DataFrame, template: str = "You extract entities from web pag
     return pairs.select(*keys, F.to_json(F.struct(messages.alias("messages"))).alias("value"))
 
 
-def turns_to_chat(turns: DataFrame, key: str = "conv_id", turn: str = "turn", part_turns: int = 1000) -> DataFrame:
+def turns_to_chat(turns: DataFrame, key: str = "conv_id", turn: str = "turn", part: str | None = None) -> DataFrame:
     """Multi-turn tables (key, turn, role, text) as one JSON document per conversation.
 
-    A conversation longer than `part_turns` turns continues in further parts, so no document is gathered without bound.
+    One document gathers its turns. Where conversations have no natural bound, name a column `part` that cuts them.
     """
-    packed = turns.groupBy(key, F.floor(F.col(turn) / part_turns).alias("part")).agg(
+    packed = turns.groupBy(key, (F.col(part) if part else F.lit(0)).cast("bigint").alias("part")).agg(
         F.array_sort(F.collect_list(F.struct(turn, "role", "text"))).alias("t"))
     messages = F.transform("t", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
     return packed.select(key, "part", F.to_json(F.struct(messages.alias("messages"))).alias("value"))

@@ -100,12 +100,13 @@ def patch_pages(pages: DataFrame, patch: DataFrame, now: datetime) -> DataFrame:
          }.get(c, F.col(c)).alias(c) for c in pages.columns])
 
 
-def stale_pages(pages: DataFrame, days: int, now: datetime, limit: int = 100) -> DataFrame:
+def stale_pages(pages: DataFrame, days: int, now: datetime, limit: int | None = None) -> DataFrame:
     """Pages not crawled for `days`, never-crawled ones first."""
     cutoff = days_before(now, days)
-    return (pages.filter(F.col("last_crawled").isNull() | (F.col("last_crawled") < cutoff))
-            .select("url", "domain", "last_crawled", "crawl_frequency")
-            .orderBy(F.col("last_crawled").asc_nulls_first(), "url").limit(limit))
+    stale = (pages.filter(F.col("last_crawled").isNull() | (F.col("last_crawled") < cutoff))
+             .select("url", "domain", "last_crawled", "crawl_frequency")
+             .orderBy(F.col("last_crawled").asc_nulls_first(), "url"))
+    return stale if limit is None else stale.limit(limit)
 
 
 def due_for_recrawl(pages: DataFrame, now: datetime) -> DataFrame:
@@ -147,16 +148,28 @@ def entity_id(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("")) for p in parts]), 256)
 
 
-def append_entities(entities: DataFrame, new: DataFrame, now: datetime | None = None) -> DataFrame:
-    """Append rows with the table defaults; ids already present are not appended again."""
+def append_entities(entities: DataFrame, new: DataFrame, now: datetime | None = None,
+                    prefix: int | None = None) -> DataFrame:
+    """Keyed upsert. New ids are appended with the table defaults; a row whose id is stored replaces it and keeps
+    its created_at. Of several new rows with one id the one updated last wins (ties by their content).
+
+    Rows without an id get one from page, category and the text in lower case (`prefix`: its first characters).
+    """
     if "id" not in new.columns:
-        new = new.withColumn("id", entity_id(F.col("page_id").cast("string"), "category",
-                                             F.lower(F.substring("searchable_text", 1, 60))))
+        text = F.col("searchable_text") if prefix is None else F.substring("searchable_text", 1, prefix)
+        new = new.withColumn("id", entity_id(F.col("page_id").cast("string"), "category", F.lower(text)))
     if now is not None:
         new = new.withColumn("created_at", at(now)).withColumn("updated_at", at(now))
-    incoming = schemas.conform(new, "entities").dropDuplicates(["id"])
     current = schemas.conform(entities, "entities")
-    return current.unionByName(incoming.join(current.select("id"), "id", "left_anti"))
+    names = current.columns
+    incoming = schemas.conform(new, "entities")
+    rank = F.struct("updated_at", F.xxhash64(*names))
+    incoming = incoming.groupBy("id").agg(F.max_by(F.struct(*names), rank).alias("r")).select("r.*")
+    kept = current.join(incoming.select("id"), "id", "left_anti").select(*names)
+    stored = current.select("id", F.col("created_at").alias("__since"))
+    fresh = (incoming.join(stored, "id", "left")
+             .withColumn("created_at", F.coalesce("__since", "created_at")).select(*names))
+    return kept.unionByName(fresh)
 
 
 def update_scores(entities: DataFrame, scores: DataFrame, now: datetime) -> DataFrame:

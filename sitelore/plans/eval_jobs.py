@@ -101,7 +101,7 @@ def n6(d: Data):
 
 
 @query("n6_conversations", oracle="""
-SELECT conv_id, CAST(floor(turn / 1000) AS BIGINT) AS part, CAST(json_object('messages',
+SELECT conv_id, CAST(0 AS BIGINT) AS part, CAST(json_object('messages',
   list(json_object('role', role, 'content', text) ORDER BY turn, role, text)) AS VARCHAR) AS value FROM conversations GROUP BY 1, 2""")
 def n6_conversations(d: Data):
     return training.turns_to_chat(d.table("conversations"))

@@ -296,7 +296,7 @@ def k12_days(d: Data):
 
 @query("k13_discover_domains", oracle="""
 SELECT 'ext' || c_custkey % 37 || '.example.org' AS domain, count(*) AS linking_pages FROM customer
-WHERE c_custkey % 37 >= 5 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100""")
+WHERE c_custkey % 37 >= 5 GROUP BY 1 ORDER BY 2 DESC, 1""")
 def k13(d: Data):
     rich = d.view("rich")
     known = rich.filter("page_id % 37 < 5").select(
@@ -428,7 +428,7 @@ def l6(d: Data):
 
 
 @query("l6_filter_log", oracle=f"""
-SELECT * FROM ({_OPS.format(t='')}) WHERE level = 'error' AND component = 'crawler' ORDER BY ts DESC, id LIMIT 100""")
+SELECT * FROM ({_OPS.format(t='')}) WHERE level = 'error' AND component = 'crawler' ORDER BY ts DESC, id""")
 def l6_filter(d: Data):
     return quality.filter_log(d.sql(_OPS.format(t="@")), "error", "crawler")
 

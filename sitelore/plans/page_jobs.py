@@ -194,10 +194,15 @@ def b11(d: Data):
 
 @query("b11_resolve", oracle=f"""
 SELECT page_id, {_ORIGIN} || '/a/b' AS rooted, {_ORIGIN} || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1),
-  '[^/]*$', '') || 'next.html' AS relative FROM pages""")
+  '[^/]*$', '') || 'next.html' AS relative, {_ORIGIN} || regexp_replace(regexp_replace(regexp_extract(url,
+  '^[a-z]+://[^/?#]+([^?#]*)', 1), '[^/]*$', ''), '[^/]+/$', '') || 'up.html?x=../y' AS parent, {_ORIGIN} || '/q/r/' AS dotted,
+  regexp_replace(url, '#.*$', '') AS same FROM pages""")
 def b11_resolve(d: Data):
     return d.table("pages").select("page_id", urls.resolve(F.lit("/a/b"), "url").alias("rooted"),
-                                   urls.resolve(F.lit("./next.html"), "url").alias("relative"))
+                                   urls.resolve(F.lit("./next.html"), "url").alias("relative"),
+                                   urls.resolve(F.lit("../up.html?x=../y"), "url").alias("parent"),
+                                   urls.resolve(F.lit("/p/../q/./r/s/.."), "url").alias("dotted"),
+                                   urls.resolve(F.lit(""), "url").alias("same"))
 
 
 @query("b12_dedupe_canonical", oracle=f"""
@@ -281,10 +286,13 @@ def a3(d: Data):
 
 
 @query("a4_bulk_submit", "queue", """
-SELECT url, regexp_extract(url, '//([^/]+)', 1) AS domain, 2 AS priority, 'on-demand' AS source
-FROM queue ORDER BY id, url LIMIT 500""")
+, q AS (SELECT url, least(id % 40, 30) AS request_id FROM queue),
+n AS (SELECT request_id, count(*) AS n FROM q GROUP BY request_id)
+SELECT request_id, url, regexp_extract(url, '//([^/]+)', 1) AS domain, 2 AS priority, 'on-demand' AS source, n <= 500 AS accepted,
+       CASE WHEN n > 500 THEN 'more than 500 urls (' || n || ')' END AS reason FROM q JOIN n USING (request_id)""")
 def a4(d: Data):
-    return sources.bulk_submit(d.view("queue"), "id")
+    requests = d.view("queue").select("url", F.least(F.col("id") % 40, F.lit(30)).alias("request_id"))
+    return sources.bulk_submit(requests)
 
 
 # --- change detection and upserts -------------------------------------------------------------------------
@@ -358,7 +366,7 @@ def c4(d: Data):
 
 @query("c5_stale_pages", "pg", """
 SELECT url, domain, last_crawled, crawl_frequency FROM pg WHERE last_crawled < TIMESTAMP '2024-01-30 00:00:00'
-ORDER BY last_crawled, url LIMIT 100""")
+ORDER BY last_crawled, url""")
 def c5(d: Data):
     return upsert.stale_pages(d.view("pg"), 2, NOW)
 
@@ -397,6 +405,16 @@ def c8(d: Data):
     return out.select("id", "category", F.coalesce("aieo_score", F.lit(0.0)).alias("aieo_score"), "searchable_text")
 
 
+@query("c8_reextract", "ent", """
+SELECT id, category, CASE WHEN page_id < 25 THEN aieo_score + 1 ELSE aieo_score END AS aieo_score,
+       CASE WHEN page_id < 25 THEN 'again ' || searchable_text ELSE searchable_text END AS searchable_text FROM ent""")
+def c8_reextract(d: Data):
+    ent = d.view("ent").withColumn("page_id", F.col("page_id").cast("string"))
+    again = ent.filter("CAST(page_id AS INT) < 25").withColumn("aieo_score", F.col("aieo_score") + 1).withColumn(
+        "searchable_text", F.concat(F.lit("again "), F.col("searchable_text")))
+    return upsert.append_entities(ent, again, NOW).select("id", "category", "aieo_score", "searchable_text")
+
+
 @query("c8_update_scores", "ent", """
 SELECT id, category, CASE WHEN page_id % 2 = 0 THEN 55.5 ELSE aieo_score END AS aieo_score FROM ent""")
 def c8_scores(d: Data):
@@ -469,14 +487,14 @@ def d3_classify(d: Data):
 
 
 _FOUND = """SELECT l_orderkey AS page_id, CASE l_partkey % 2 WHEN 0 THEN 'product' ELSE 'contact' END AS category,
-  'Item ' || CASE WHEN l_suppkey % 2 = 0 THEN 'ABC' ELSE 'abc' END || CAST(l_partkey % 3 AS STRING) AS searchable_text,
+  'Item whose text starts alike for well over the first sixty characters ' || CASE WHEN l_suppkey % 2 = 0 THEN 'ABC' ELSE 'abc' END || CAST(l_partkey % 3 AS STRING) AS searchable_text,
   l_linenumber AS ext_ord, l_suppkey * 100000 + l_partkey AS pos, l_quantity AS confidence FROM {t}lineitem"""
 
 
 @query("d4_dedupe_entities", oracle=f"""
 WITH f AS ({_FOUND.format(t='')})
 SELECT page_id, category, searchable_text, ext_ord, pos, confidence FROM (SELECT *, row_number() OVER (
-  PARTITION BY page_id, category || ':' || lower(substr(searchable_text, 1, 60)) ORDER BY ext_ord, pos, searchable_text, confidence) AS rn FROM f) WHERE rn = 1""")
+  PARTITION BY page_id, category || ':' || lower(searchable_text) ORDER BY ext_ord, pos, searchable_text, confidence) AS rn FROM f) WHERE rn = 1""")
 def d4(d: Data):
     return production.dedupe_entities(d.sql(_FOUND.format(t="@")))
 

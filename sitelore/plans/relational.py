@@ -137,17 +137,17 @@ def f6(d: Data):
 
 
 @query("f7_assemble_by_location", "ent", """
-SELECT * FROM ent WHERE searchable_text ILIKE '%nation 1%' ORDER BY aieo_score DESC, id LIMIT 100""")
+SELECT * FROM ent WHERE searchable_text ILIKE '%nation 1%' ORDER BY aieo_score DESC, id""")
 def f7(d: Data):
     return assemble.assemble_by_location(d.view("ent"), "nation 1")
 
 
 _F8 = """SELECT * FROM ent WHERE category IN ('product', 'organisation', 'action') AND searchable_text ILIKE '%e%'
-ORDER BY aieo_score DESC, confidence DESC, id LIMIT 500"""
+ORDER BY aieo_score DESC, confidence DESC, id"""
 
 
-def _assembled(d: Data):
-    return assemble.assemble(d.view("ent"), ["product", "organisation", "action"], location="e", limit=900)
+def _assembled(d: Data, limit: int | None = None):
+    return assemble.assemble(d.view("ent"), ["product", "organisation", "action"], location="e", limit=limit)
 
 
 @query("f8_assemble", "ent", _F8)
@@ -157,17 +157,16 @@ def f8(d: Data):
 
 @query("f8_assemble_grouped", "ent", f"""
 SELECT category, count(*) AS n, string_agg(id, ',' ORDER BY aieo_score DESC, confidence DESC, id) AS ids
-FROM ({_F8}) GROUP BY category""")
+FROM ({_F8} LIMIT 500) GROUP BY category""")
 def f8_grouped(d: Data):
-    groups = assemble.grouped(_assembled(d))
+    groups = assemble.grouped(_assembled(d, 500))
     return groups.select("category", F.size("items").cast("bigint").alias("n"),
                          F.array_join(F.transform("items", lambda i: i["id"]), ",").alias("ids"))
 
 
 @query("f8_assemble_relationships", "ent rel", f"""
 , a AS ({_F8})
-SELECT * FROM rel WHERE from_entity_id IN (SELECT id FROM a) OR to_entity_id IN (SELECT id FROM a)
-ORDER BY from_entity_id, to_entity_id, relationship_type LIMIT 1000""")
+SELECT * FROM rel WHERE from_entity_id IN (SELECT id FROM a) OR to_entity_id IN (SELECT id FROM a)""")
 def f8_rels(d: Data):
     return assemble.assemble_relationships(d.view("rel"), _assembled(d))
 
@@ -177,7 +176,7 @@ SELECT e1.id AS primary_id, e1.data AS primary_data, e1.domain, e2.id AS seconda
        e2.category AS secondary_category
 FROM ent e1 JOIN rel r ON r.from_entity_id = e1.id JOIN ent e2 ON r.to_entity_id = e2.id AND e2.category = 'product'
 WHERE e1.category = 'organisation'
-ORDER BY e1.aieo_score DESC, primary_id, secondary_id, relationship_type LIMIT 200""")
+ORDER BY e1.aieo_score DESC, primary_id, secondary_id, relationship_type""")
 def f9(d: Data):
     return assemble.cross_category_join(d.view("ent"), d.view("rel"), "organisation", "product")
 

@@ -28,7 +28,7 @@ evec AS (SELECT id, generate_subscripts(embedding, 1) AS dim, unnest(embedding):
          WHERE embedding IS NOT NULL),
 enorm AS (SELECT id, sqrt(sum(x * x)) AS norm FROM evec GROUP BY id),
 dots AS (SELECT u.label, e.id, sum(u.x * e.x) AS dot FROM evec e JOIN unit u USING (dim) GROUP BY u.label, e.id),
-sims AS (SELECT label, d.id, round(dot / norm, 6) + 0.0 AS similarity FROM dots d JOIN enorm n ON n.id = d.id)"""
+sims AS (SELECT label, d.id, round(dot / norm, 12) + 0.0 AS similarity FROM dots d JOIN enorm n ON n.id = d.id)"""
 
 
 def _centroids(d: Data):
@@ -89,7 +89,7 @@ scored AS (SELECT query_id, id, count(*) AS hit,
     sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE
         / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) AS s
   FROM post JOIN qt USING (token) JOIN df USING (token) JOIN len USING (id), tot GROUP BY query_id, id),
-r AS (SELECT query_id, s.id, round(s, 9) AS text_rank, e.aieo_score FROM scored s JOIN qn USING (query_id)
+r AS (SELECT query_id, s.id, round(s, 12) AS text_rank, e.aieo_score FROM scored s JOIN qn USING (query_id)
       JOIN etext e ON e.id = s.id WHERE hit = n_terms)
 SELECT query_id, CAST(rank AS INT) AS rank, id, round(text_rank, 6) AS text_rank, aieo_score FROM (SELECT *, row_number() OVER (
   PARTITION BY query_id ORDER BY text_rank DESC, aieo_score DESC, id) AS rank FROM r) WHERE rank <= 20""")
@@ -102,7 +102,7 @@ def h3(d: Data):
 # --- vectors ----------------------------------------------------------------------------------------------
 
 def _ranked(k: int) -> str:
-    return f"""SELECT query_id, CAST(rank AS INT) AS rank, id, similarity FROM (SELECT label AS query_id, id, similarity,
+    return f"""SELECT query_id, CAST(rank AS INT) AS rank, id, round(similarity, 6) + 0.0 AS similarity FROM (SELECT label AS query_id, id, similarity,
   row_number() OVER (PARTITION BY label ORDER BY similarity DESC, id) AS rank FROM sims) WHERE rank <= {k}"""
 
 
@@ -134,9 +134,10 @@ tr AS (SELECT query_id, id, rank AS lexical_rank FROM (SELECT query_id, m.id, ro
 fused AS (SELECT coalesce(vr.query_id, tr.query_id) AS query_id, coalesce(vr.id, tr.id) AS id, vector_rank, lexical_rank, similarity,
   coalesce(1::DOUBLE / (60 + vector_rank), 0) + coalesce(1::DOUBLE / (60 + lexical_rank), 0) AS rrf
   FROM vr FULL JOIN tr ON vr.query_id = tr.query_id AND vr.id = tr.id)
-SELECT query_id, CAST(rank AS INT) AS rank, id, round(rrf, 9) AS rrf_score, CAST(vector_rank AS INT) AS vector_rank,
-       CAST(lexical_rank AS INT) AS lexical_rank, similarity AS vector_similarity
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS rank FROM fused) WHERE rank <= 20""")
+SELECT query_id, CAST(rank AS INT) AS rank, f.id, round(rrf, 9) AS rrf_score, CAST(vector_rank AS INT) AS vector_rank,
+       CAST(lexical_rank AS INT) AS lexical_rank, round(sims.similarity, 6) + 0.0 AS vector_similarity
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS rank FROM fused) f
+LEFT JOIN sims ON sims.label = f.query_id % 10 AND sims.id = f.id WHERE rank <= 20""")
 def h6(d: Data):
     out = search.hybrid_search(d.view("etext"), _queries(d), k=20, analyzer="plain", score="tf")
     return out.withColumn("rrf_score", F.round("rrf_score", 9))

@@ -47,11 +47,17 @@ def seeds_from_df(df: DataFrame, source: Column | str = "seed", user: Column | s
                      source.alias("source"), user.cast("string").alias("user_id"))
 
 
-def bulk_submit(df: DataFrame, order: str = "ord", priority: int | None = None, cap: int = 500) -> DataFrame:
-    """A4: on-demand submission of at most `cap` URLs per request, the first ones by `order`; priority 0 or none is 2."""
-    first = df.orderBy(F.col(order).asc_nulls_last(), "url").limit(cap)
-    return first.select("url", urls.domain("url").alias("domain"), F.lit(priority or 2).alias("priority"),
-                        F.lit("on-demand").alias("source"))
+def bulk_submit(df: DataFrame, request: str = "request_id", priority: int | None = None, most: int = 500) -> DataFrame:
+    """A4: on-demand submission of requests (`request`, url); priority 0 or none is 2.
+
+    A request without URLs or with more than `most` is rejected as a whole: its rows come back with the reason.
+    """
+    sizes = df.groupBy(request).agg(F.count("url").alias("__n"))
+    reason = (F.when(F.col("__n") > most, F.format_string(f"more than {most} urls (%d)", F.col("__n")))
+              .when(F.col("__n") == 0, "no urls"))
+    out = df.join(sizes.withColumnRenamed(request, "__request"), df[request].eqNullSafe(F.col("__request")))
+    return out.select(request, "url", urls.domain("url").alias("domain"), F.lit(priority or 2).alias("priority"),
+                      F.lit("on-demand").alias("source"), reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
 def write_pairs(df: DataFrame, path: str, mode: str = "append") -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelore.functions import urls
 from sitelore.functions.text import stem
-from sitelore.operators import analytics, entities, frontier, page_signals, score, trust, upsert
+from sitelore.operators import analytics, entities, extract, frontier, page_signals, score, trust, upsert
 
 
 @pytest.mark.parametrize("url, domain, canonical", [
@@ -46,9 +46,9 @@ def test_seniority_and_dedupe(spark):
     found = spark.createDataFrame(
         [(1, "contact", long + "A", 1, 0), (1, "contact", long.upper() + "B", 0, 5), (1, "product", long, 2, 0), (2, "contact", long, 3, 0)],
         "page_id long, category string, searchable_text string, ext_ord int, pos int")
-    kept = entities.dedupe_entities(found)
+    kept = entities.dedupe_entities(found, prefix=60)
     assert {(r.page_id, r.category, r.ext_ord) for r in kept.collect()} == {(1, "contact", 0), (1, "product", 2), (2, "contact", 3)}
-    assert entities.dedupe_entities(kept).count() == 3
+    assert entities.dedupe_entities(kept, prefix=60).count() == 3
 
 
 def test_email_patterns(spark):
@@ -157,3 +157,39 @@ def test_host_authority_prefers_linked_hosts(spark):
     ("communication", "communic"), ("skies", "sky"), ("nation", "nation"), ("running", "run"), ("a1b2", "a1b2")])
 def test_stems(word, expected):
     assert stem(word) == expected
+
+
+def test_nothing_is_cut_by_default(spark):
+    long = "one text that two entities share for far more than sixty characters in a row, then "
+    found = spark.createDataFrame([(1, "product", long + "a", 0, 0), (1, "product", (long + "b").upper(), 0, 1),
+                                   (1, "product", long + "A", 1, 0)],
+                                  "page_id long, category string, searchable_text string, ext_ord int, pos int")
+    assert entities.dedupe_entities(found).count() == 2
+    assert entities.dedupe_entities(found, prefix=60).count() == 1
+    links = "".join(f"<a href='/p{k}'>{'x' * 300}</a>" for k in range(30))
+    pages = spark.createDataFrame([(1, "https://a.com/", f"<body>{links}</body>")], "page_id long, url string, html string")
+    got = extract.extract_links(pages)
+    assert got.count() == 30 and {len(r["text"]) for r in got.collect()} == {300}
+    none = spark.createDataFrame([], "url string")
+    assert entities.discover_links(got, none, none).count() == 30
+    assert entities.discover_links(got, none, none, per_page=20).count() == 20
+
+
+def test_indexing_path_ignores_banners(spark):
+    html = ("<body><div class='cookie-banner'><a href='/c'>c</a><form><input name='q'></form></div><a href='/d'>d</a>"
+            "<form><input name='e' id='e' placeholder='your mail'></form></body>")
+    pages = spark.createDataFrame([(1, "https://a.com/", html)], "page_id long, url string, html string")
+    assert [r["href"] for r in extract.extract_links(pages, "live").collect()] == ["https://a.com/d"]
+    forms = extract.extract_forms(pages, "live").collect()
+    assert [[(f["name"], f["label"]) for f in r["fields"]] for r in forms] == [[("e", "your mail")]]
+    assert extract.extract_forms(pages).count() == 2
+
+
+def test_stored_entities_are_updated(spark):
+    row = "id string, page_id string, category string, searchable_text string, aieo_score double"
+    old = upsert.append_entities(spark.createDataFrame([], row), spark.createDataFrame(
+        [("a", "1", "product", "x", 1.0), ("b", "1", "product", "y", 1.0)], row), datetime(2024, 1, 1))
+    new = spark.createDataFrame([("a", "1", "product", "x2", 2.0), ("c", "2", "product", "z", 3.0)], row)
+    got = {r["id"]: r for r in upsert.append_entities(old, new, datetime(2024, 2, 1)).collect()}
+    assert {k: (r["searchable_text"], r["aieo_score"], r["created_at"].month, r["updated_at"].month) for k, r in got.items()} == {
+        "a": ("x2", 2.0, 1, 2), "b": ("y", 1.0, 1, 1), "c": ("z", 3.0, 2, 2)}

@@ -13,10 +13,13 @@ def test_seed_file(spark, tmp_path):
     assert got == {("https://www.a.com/x", "a.com", 6, "discovered"), ("http://c.com", "c.com", 6, "discovered")}
 
 
-def test_bulk_submit_keeps_the_first_urls(spark):
-    df = spark.range(700).select(F.col("id").alias("ord"), F.concat(F.lit("https://x.com/"), F.col("id").cast("string")).alias("url"))
+def test_bulk_submit_rejects_requests_that_are_too_large(spark):
+    url = F.concat(F.lit("https://x.com/"), F.col("id").cast("string"))
+    df = spark.range(700).select(F.when(F.col("id") < 501, "big").when(F.col("id") < 600, "small").alias("request_id"), url.alias("url"))
     out = pages.bulk_submit(df, priority=0)
-    assert out.count() == 500 and out.filter("url = 'https://x.com/499'").first().priority == 2
+    got = {(r["request_id"], r["accepted"], r["reason"]): r["count"] for r in out.groupBy("request_id", "accepted", "reason").count().collect()}
+    assert got == {("big", False, "more than 500 urls (501)"): 501, ("small", True, None): 99, (None, True, None): 100}
+    assert out.filter("url = 'https://x.com/499'").first().priority == 2
 
 
 def test_pairs_and_records_round_trip(spark, tmp_path):

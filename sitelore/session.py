@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -59,7 +60,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
-        if not sc.master.startswith("local"):
+        if not re.match(r"local(\[|$)", sc.master):  # local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a shared folder before running iterative operators")
         named = os.path.join(tempfile.mkdtemp(prefix="sitelore-"), "checkpoint")
     sc.setCheckpointDir(named)

@@ -4,12 +4,13 @@ Two documents link when 100 * |intersection| >= percent * |union| of their shing
 T(n) = ceil(percent * n / 100) shingles for the size n of either one, which drives every step:
 
 1. Documents with equal sets become one class, named by its smallest id.
-2. Each class sends the n - T(n) + e(n) smallest of its shingle hashes, e(n) = max(1, n / 20). Linked classes share at
-   least e of the smaller one there, so a class with fewer shared hashes than that has no link and drops out. Hashes are
-   dealt by ranges of (hash, class), which splits hashes of any frequency.
-3. Classes that share a sent hash are joined to blocks (connected components over hash - class links, each hash linking
-   to its smallest class). A frequent hash links only classes that sent at least e frequent ones: for other pairs a
-   rarer shared hash is left by counting.
+2. Each class sends the n - T(n) + e(n) smallest of its shingle hashes, e(n) = max(1, 0.15 n). Linked classes share at
+   least r(n) = e(T(n)) of them, for the size n of either one, so a class that shares fewer has no link and drops out;
+   that is repeated as long as classes drop out, at most `PRUNINGS` times. Hashes are dealt by ranges of (hash, class),
+   which splits hashes of any frequency.
+3. A class keeps all but the r - 1 most frequent of its shared hashes. The rarest hash that two linked classes share has
+   r - 1 more frequent shared ones in both, so both keep it. Classes with a common kept hash are joined to blocks
+   (connected components, each hash linking its classes to the smallest one).
 4. In a block the T-occurrence search runs over inverted lists, class by class in order of size: the sorted short lists
    are merged and counted, classes that can still reach T are probed in the few long lists by binary search (DivideSkip),
    and the exact overlap decides. Classes that are connected already are not probed. Blocks above `UNIT` shingles are cut
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelore.llm.common import cut_lineage, large, partitions
@@ -35,8 +36,7 @@ from sitelore.llm.fingerprints import mix
 from sitelore.llm.words import shingle_sets
 from sitelore.operators.quality import connected_components
 
-#: a shingle in more classes than this is frequent
-FREQUENT = 1000
+PRUNINGS = 3
 #: shingles of a block that one search holds
 UNIT = 4_000_000
 _NULL = -(1 << 63)
@@ -47,7 +47,7 @@ def _needed(n: int, percent: int) -> int:
 
 
 def _extra(n: int) -> int:
-    return max(1, n // 20)
+    return max(1, 15 * n // 100)
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -218,8 +218,8 @@ def _units(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "id_a long, id_b long")
 
 
-def classes(docs: DataFrame, words: int = 4, percent: int = 85, frequent: int = FREQUENT, unit: int = UNIT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for rows (doc_id, text)."""
+def classes(docs: DataFrame, words: int = 4, percent: int = 85, unit: int = UNIT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, copies) for rows (doc_id, text); copies counts the rows of the id."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), "text")
     sketches = cut_lineage(_sketches(docs, words, percent))
     equal = sketches.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
@@ -231,17 +231,24 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85, frequent: int =
     ranges = sent.repartitionByRange(partitions(docs), "hash", "rep").sortWithinPartitions("hash", "rep")
     shared = cut_lineage(_repeated(ranges))
 
-    def frequencies(rows: DataFrame) -> DataFrame:
+    least = F.greatest(F.lit(1), F.expr(f"(15 * (({percent} * n + 99) div 100)) div 100"))
+    rows, left = shared, -1
+    for _ in range(PRUNINGS):
         many = rows.groupBy("hash").agg(F.count("*").alias("df")).filter("df > 1")
-        return rows.join(many, "hash")
-
-    least = F.greatest(F.lit(1), F.expr(f"cast(({percent} * n + 99) div 100 as long) div 20"))
-    counted = frequencies(shared)
-    hot = F.sum((F.col("df") > frequent).cast("int"))
-    able = (counted.groupBy("rep").agg(F.count("*").alias("c"), hot.alias("hot")).join(reps, "rep")
-            .filter(F.col("c") >= least).select("rep", "n", (F.col("hot") >= least).alias("by_frequent")))
-    able = cut_lineage(able)
-    routed = counted.join(able, "rep").filter((F.col("df") <= frequent) | F.col("by_frequent")).select("hash", "rep")
+        counted = rows.join(many, "hash")
+        able = counted.groupBy("rep").agg(F.count("*").alias("c")).join(reps, "rep").filter(F.col("c") >= least)
+        able = cut_lineage(able.select("rep", "n", "c"))
+        rows = cut_lineage(counted.join(able.select("rep"), "rep", "left_semi").select("hash", "rep"))
+        before, left = left, able.count()
+        if left == before:
+            break
+    many = rows.groupBy("hash").agg(F.count("*").alias("df")).filter("df > 1")
+    each = Window.partitionBy("rep")
+    routed = (rows.join(many, "hash").join(able.select("rep", "n"), "rep")
+              .withColumn("c", F.count("*").over(each))
+              .withColumn("k", F.row_number().over(each.orderBy("df", "hash")))
+              .filter(F.col("k") <= F.col("c") - least + 1).select("hash", "rep"))
+    routed = cut_lineage(routed)
     hubs = routed.groupBy("hash").agg(F.min("rep").alias("hub"), F.count("*").alias("df")).filter("df > 1")
     edges = (routed.join(hubs, "hash").filter("rep != hub")
              .select(F.col("hub").alias("id_a"), F.col("rep").alias("id_b")).distinct())

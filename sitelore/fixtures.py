@@ -62,7 +62,7 @@ SELECT DISTINCT 'org-' || CAST(l_suppkey AS STRING) AS from_entity_id,
        'prd-' || CAST(l_partkey AS STRING) AS to_entity_id, 'offers' AS relationship_type FROM @lineitem
 UNION ALL
 SELECT DISTINCT 'org-' || CAST(l_suppkey AS STRING), 'act-' || CAST(l_orderkey AS STRING), 'has_action'
-FROM @lineitem WHERE l_linenumber = 1
+FROM @lineitem
 UNION ALL
 SELECT 'org-' || CAST(s_suppkey AS STRING), 'loc-' || CAST(s_nationkey AS STRING), 'located_at' FROM @supplier
 """

@@ -258,11 +258,11 @@ def k11_status(d: Data):
 
 
 @query("k11_personal_entities", "ent", """
-, l AS (SELECT DISTINCT 'u' || l_orderkey % 11 AS user_id, 'prd-' || l_partkey AS id FROM lineitem WHERE l_linenumber = 1)
+, l AS (SELECT DISTINCT 'u' || l_orderkey % 11 AS user_id, 'prd-' || l_partkey AS id FROM lineitem)
 SELECT user_id, id, category, domain, aieo_score FROM l JOIN ent USING (id)""")
 def k11_entities(d: Data):
     links = d.sql("""SELECT 'pi-' || CAST(l_orderkey % 11 AS STRING) AS personal_index_id, 'prd-' || CAST(l_partkey AS STRING) AS entity_id,
-        'u' || CAST(l_orderkey % 11 AS STRING) AS user_id FROM @lineitem WHERE l_linenumber = 1""")
+        'u' || CAST(l_orderkey % 11 AS STRING) AS user_id FROM @lineitem""")
     out = analytics.personal_entities(links, d.view("ent"))
     return out.select("user_id", "id", "category", "domain", "aieo_score")
 

@@ -307,10 +307,10 @@ def c1(d: Data):
 _STATE = """SELECT url, min(domain) AS domain, max_by(content_hash, ts) AS content_hash, CAST(count(*) AS INT) AS version,
   max(http_status) AS http_status, max(ts) AS last_crawled, 'homepage' AS page_type,
   CAST('{"title":"old","lang":"en"}' AS STRING) AS meta
-FROM crawl WHERE ts < TIMESTAMP '2024-01-16 00:00:00' AND event_id % 3 <> 0 GROUP BY url"""
+FROM crawl WHERE ts < TIMESTAMP '2024-01-16 00:00:00' GROUP BY url"""
 _BATCH = """SELECT url, min(domain) AS domain, max_by(content_hash, ts) AS content_hash, max(http_status) AS http_status,
   'wix' AS cms_detected, CAST('{"title":"new","robots":"all"}' AS STRING) AS meta
-FROM crawl WHERE ts >= TIMESTAMP '2024-01-16 00:00:00' AND event_id % 2 = 0 GROUP BY url"""
+FROM crawl WHERE ts >= TIMESTAMP '2024-01-16 00:00:00' GROUP BY url"""
 
 
 def _state_and_batch(d: Data):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sitelore.llm.common import large
 
-TRAIN_PAGES, TRAIN_CHARS, LAYOUTS, EPOCHS = 120, 60_000, 4, 12
+TRAIN_PAGES, TRAIN_CHARS, LAYOUTS, EPOCHS = 120, 60_000, 6, 10
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option "
@@ -197,7 +197,7 @@ class Crf:
         return "\n".join(b.text for b, y in zip(found, self.decode(found)) if y)
 
 
-def train(pages: list[list[Block]], labels: list[list[int]], epochs: int = EPOCHS, rate: float = 0.1,
+def train(pages: list[list[Block]], labels: list[list[int]], epochs: int = EPOCHS, rate: float = 0.3,
           ridge: float = 1e-4) -> Crf:
     """Maximum likelihood by adaptive gradient steps, one page at a time (forward-backward)."""
     names: dict[str, int] = {}
@@ -238,7 +238,7 @@ def train(pages: list[list[Block]], labels: list[list[int]], epochs: int = EPOCH
 
 #: tags and names that mark main text, and parts that are not
 _MAIN = ("<article>", "<main>")
-_OTHER = frozenset("<nav> <footer> <aside> <form> <header> <menu> <button> ad ads advert comment comments cookie".split())
+_OTHER = frozenset("<nav> <footer> <aside> <form> <menu> <button> ad ads advert comment comments cookie".split())
 
 
 def rule_labels(found: list[Block]) -> list[int]:
@@ -264,18 +264,18 @@ def layout(paragraphs: list[str], other: list[str], rng: np.random.Generator) ->
 
     def boiler() -> str:
         return pick(
-            f"<div data-y=0 class='{pick('ad', 'ads', 'advert', 'ad-slot', 'sponsored', 'promo banner')}'>{sentences()}</div>",
-            f"<aside data-y=0 class='{pick('sidebar', 'widget', 'related', '')}'><h3>{words(2)}</h3><ul>{links(4)}</ul><p>{sentences()}</p></aside>",
-            f"<div data-y=0 class='{pick('sidebar', 'side-bar right', 'widget-area', 'related-posts')}'><h3>{words(2)}</h3><ul>{links(3)}</ul><p>{sentences()}</p></div>",
-            f"<div data-y=0 class='{pick('cookie-banner', 'cookie notice', 'consent', 'gdpr', 'notice', 'alert')}'><p>{sentences()}</p><button>{words(1)}</button></div>",
-            f"<form data-y=0 class='{pick('newsletter', 'search', 'signup', 'subscribe', '')}'><label>{words(2)}</label><input name=q><p>{sentences()}</p><button>{words(1)}</button></form>",
-            f"<div data-y=0 class='{pick('share', 'social', 'breadcrumbs', 'tags', 'pagination', 'meta')}'><a href=x>{words(2)}</a> <a href=y>{words(1)}</a></div>")
+            f"<div data-y=0 class='{pick('ad', 'ads', 'advert', 'advertisement', 'ad-slot', 'sponsored', 'sponsor', 'promo', 'banner', 'teaser')}'>{sentences()}</div>",
+            f"<aside data-y=0 class='{pick('sidebar', 'widget', 'related', 'rail', 'most-read', 'trending', '')}'><h3>{words(2)}</h3><ul>{links(4)}</ul><p>{sentences()}</p></aside>",
+            f"<div data-y=0 class='{pick('sidebar', 'side-bar right', 'sidebar-left', 'widget-area', 'related-posts', 'related-links', 'recommended', 'secondary', 'popular')}'><h3>{words(2)}</h3><ul>{links(3)}</ul><p>{sentences()}</p></div>",
+            f"<div data-y=0 class='{pick('cookie-banner', 'cookies', 'cookie notice', 'consent', 'gdpr', 'notice', 'site-notice', 'alert', 'privacy-notice', 'popup', 'modal', 'message')}'><p>{sentences()}</p><button>{words(1)}</button></div>",
+            f"<form data-y=0 class='{pick('newsletter', 'search', 'search-form', 'signup', 'subscribe', 'login', 'contact', '')}'><label>{words(2)}</label><input name=q><p>{sentences()}</p><button>{words(1)}</button></form>",
+            f"<div data-y=0 class='{pick('share', 'social', 'share-buttons', 'breadcrumbs', 'breadcrumb', 'tags', 'tag-list', 'pagination', 'pager', 'meta', 'toolbar')}'><a href=x>{words(2)}</a> <a href=y>{words(1)}</a></div>")
 
     def navigation() -> str:
         return pick(f"<nav data-y=0><ul>{links(6)}</ul></nav>",
-                    f"<div data-y=0 id='{pick('menu', 'nav', 'navigation', 'topbar')}'><ul>{links(5)}</ul></div>",
+                    f"<div data-y=0 id='{pick('menu', 'nav', 'navigation', 'navbar', 'topbar', 'main-menu', 'top-nav')}'><ul>{links(5)}</ul></div>",
                     f"<header data-y=0><h2>{words(3)}</h2><nav><ul>{links(5)}</ul></nav></header>",
-                    f"<div data-y=0 class='{pick('header', 'site-header', 'masthead')}'><p>{words(6)}</p><ul>{links(4)}</ul></div>")
+                    f"<div data-y=0 class='{pick('header', 'site-header', 'page-header', 'masthead', 'top', 'brand')}'><p>{words(6)}</p><ul>{links(4)}</ul></div>")
 
     body = []
     for k, p in enumerate(paragraphs):
@@ -285,24 +285,26 @@ def layout(paragraphs: list[str], other: list[str], rng: np.random.Generator) ->
         if rng.random() < 0.15 and " " in inner:
             first, rest = inner.split(" ", 1)
             inner = f"<a href='/x'>{first}</a> {rest}" if "<" not in first else inner
-        body.append(f"<ul><li>{inner}</li></ul>" if tag == "li" else f"<{tag}>{inner}</{tag}>")
+        piece = f"<ul><li>{inner}</li></ul>" if tag == "li" else f"<{tag}>{inner}</{tag}>"
+        body.append(f"<header>{piece}</header>" if k == 0 and rng.random() < 0.2 else piece)
         if rng.random() < 0.12:
             body.append(boiler())
     main = "".join(body)
     main = pick(*(f"<{t} data-y=1{a}>{main}</{t}>" for t, a in (
         ("article", ""), ("main", ""), ("div", " class='content'"), ("div", " id='main-content'"), ("div", " class='post-body'"),
-        ("div", " class='entry-content'"), ("section", " class='article text'"), ("div", " class='story'"), ("div", " id='main'"))))
+        ("div", " class='entry-content'"), ("section", " class='article text'"), ("div", " class='story'"), ("div", " id='main'"), ("div", " class='article'"), ("div", " id='content'"),
+        ("div", " class='post'"), ("section", " class='body-text'"), ("div", ""))))
     comments = ""
     if rng.random() < 0.6:
         items = "".join(f"<{t} class='{c}'><b>{words(1)}</b><p>{sentences()}</p></{t}>" for t, c in [
-            (pick("div", "li", "article"), pick("comment", "reply", "comment-body"))] * int(rng.integers(1, 5)))
+            (pick("div", "li", "article"), pick("comment", "reply", "comment-body", "comment-item", "response"))] * int(rng.integers(1, 5)))
         comments = pick(f"<section data-y=0 id='comments'><h3>{words(2)}</h3>{items}</section>",
-                        f"<div data-y=0 class='{pick('comments', 'comment-list', 'discussion', 'responses')}'>{items}</div>")
+                        f"<div data-y=0 class='{pick('comments', 'comment-list', 'discussion', 'responses', 'replies', 'user-comments', 'reader-comments', 'respond')}'>{items}</div>")
     if comments and rng.random() < 0.4:  # inside the article element
         cut = main.rindex("</")
         main = main[:cut] + comments + main[cut:]
         comments = ""
-    foot = pick(f"<footer data-y=0>&copy; {sentences()}</footer>", f"<div data-y=0 class='{pick('footer', 'site-footer', 'bottom')}'><p>{sentences()}</p><ul>{links(3)}</ul></div>",
+    foot = pick(f"<footer data-y=0>&copy; {sentences()}</footer>", f"<div data-y=0 class='{pick('footer', 'site-footer', 'page-footer', 'bottom', 'copyright', 'legal', 'colophon')}'><p>{sentences()}</p><ul>{links(3)}</ul></div>",
                 f"<footer data-y=0><p>{sentences()}</p><p>{words(5)}</p></footer>")
     parts = [boiler() for _ in range(int(rng.integers(0, 3)))]
     wrap = pick("{}", "<div class='container'>{}</div>", "<div id='page'><div class='row'>{}</div></div>")

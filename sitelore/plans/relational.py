@@ -114,21 +114,29 @@ def f4(d: Data):
     return graph.add_relationships(d.view("rel"), d.sql(_NEW_RELS.format(t="@")))
 
 
-@query("f5_derive_relationships", "ent", """
+_F5 = """
 , kinds(relationship_type, fc, tc) AS (VALUES ('works_at','contact','organisation'),
   ('located_at','organisation','location'), ('offers','organisation','product'), ('has_action','organisation','action'),
   ('reviewed_by','organisation','review'), ('regulated_by','product','regulation'), ('hosts_event','organisation','event')),
 owner AS (SELECT page_id, category, id FROM (SELECT *, row_number() OVER (
-  PARTITION BY page_id, category ORDER BY aieo_score DESC, id) AS rn FROM ent) WHERE rn = 1)
+  PARTITION BY page_id, category ORDER BY aieo_score DESC, id) AS rn FROM ent) WHERE {owner})
 SELECT CASE WHEN k.relationship_type = 'works_at' THEN e.id ELSE o.id END AS from_entity_id,
        CASE WHEN k.relationship_type = 'works_at' THEN o.id ELSE e.id END AS to_entity_id, k.relationship_type
 FROM kinds k
 JOIN ent e ON e.category = CASE WHEN k.relationship_type = 'works_at' THEN fc ELSE tc END
-JOIN owner o ON o.page_id = e.page_id AND o.category = CASE WHEN k.relationship_type = 'works_at' THEN tc ELSE fc END""")
+JOIN owner o ON o.page_id = e.page_id AND o.category = CASE WHEN k.relationship_type = 'works_at' THEN tc ELSE fc END"""
+
+
+@query("f5_derive_relationships", "ent", _F5.format(owner="true"))
 def f5(d: Data):
     return graph.derive_relationships(d.view("ent"))
 
 
+@query("f5_best_owner", "ent", _F5.format(owner="rn = 1"))
+def f5_best(d: Data):
+    return graph.derive_relationships(d.view("ent"), best_owner=True)
+
+
 # --- assembly ---------------------------------------------------------------------------------------------
 
 @query("f6_assemble_by_domain", "ent", "SELECT * FROM ent WHERE domain = 'd3.example.com'")

@@ -9,6 +9,7 @@ from sitelore.operators.entities import mean_pool
 from sitelore.operators.search import Filters
 from sitelore.plans.page_jobs import CENTROIDS
 from sitelore.plans.registry import Data, query
+from sitelore.session import cut_lineage
 
 # --- oracle parts -----------------------------------------------------------------------------------------
 
@@ -48,6 +49,11 @@ def _queries(d: Data):
     return _texts(d).withColumn("label", label).join(vectors, "label", "left").drop("label")
 
 
+def _stored(d: Data):
+    """The postings of the corpus, written once as a table; searches read it."""
+    return cut_lineage(search_text.build_postings(d.view("etext"), analyzer="plain"))
+
+
 # --- text -------------------------------------------------------------------------------------------------
 
 @query("h1_postings", "etext", f", {_POSTINGS} SELECT token, id, tf, CAST(sum(tf) OVER (PARTITION BY id) AS BIGINT) AS length FROM post")
@@ -67,8 +73,7 @@ def h1_english(d: Data):
 
 @query("h2_text_match", "etext", f", {_POSTINGS} SELECT query_id, id, tf FROM matched")
 def h2(d: Data):
-    postings = search_text.build_postings(d.view("etext"), analyzer="plain")
-    return search_text.text_match(postings, _texts(d), "plain")
+    return search_text.text_match(_stored(d), _texts(d), "plain")
 
 
 @query("h3_text_search_tf", "etext", f""", {_POSTINGS}
@@ -77,8 +82,7 @@ SELECT query_id, CAST(rank AS INT) AS rank, id, text_rank, aieo_score FROM (
     PARTITION BY query_id ORDER BY m.tf DESC, e.aieo_score DESC, m.id) AS rank FROM matched m JOIN etext e ON e.id = m.id)
 WHERE rank <= 20""")
 def h3_tf(d: Data):
-    etext = d.view("etext")
-    return search_text.text_search(etext, search_text.build_postings(etext, analyzer="plain"), _texts(d), 20, "plain", "tf")
+    return search_text.text_search(d.view("etext"), _stored(d), _texts(d), 20, "plain", "tf")
 
 
 @query("h3_text_search_bm25", "etext", f""", {_POSTINGS},
@@ -94,8 +98,7 @@ r AS (SELECT query_id, s.id, round(s, 12) AS text_rank, e.aieo_score FROM scored
 SELECT query_id, CAST(rank AS INT) AS rank, id, round(text_rank, 6) AS text_rank, aieo_score FROM (SELECT *, row_number() OVER (
   PARTITION BY query_id ORDER BY text_rank DESC, aieo_score DESC, id) AS rank FROM r) WHERE rank <= 20""")
 def h3(d: Data):
-    etext = d.view("etext")
-    out = search_text.text_search(etext, search_text.build_postings(etext, analyzer="plain"), _texts(d), 20, "plain")
+    out = search_text.text_search(d.view("etext"), _stored(d), _texts(d), 20, "plain")
     return out.withColumn("text_rank", F.round("text_rank", 6))
 
 
@@ -125,7 +128,7 @@ def h5(d: Data):
 
 # --- fusion and entry point -------------------------------------------------------------------------------
 
-@query("h6_hybrid_search", "etext", f""", {_POSTINGS}, {_VECTORS.format(source='etext')},
+_FUSED = f""", {_POSTINGS}, {_VECTORS.format(source='etext')},
 vr AS (SELECT item_id AS query_id, id, similarity, rank AS vector_rank FROM benchmark JOIN (
   SELECT label, id, similarity, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, id) AS rank FROM sims) v
   ON v.label = item_id % 10 WHERE rank <= 60),
@@ -133,13 +136,16 @@ tr AS (SELECT query_id, id, rank AS lexical_rank FROM (SELECT query_id, m.id, ro
   PARTITION BY query_id ORDER BY m.tf DESC, e.aieo_score DESC, m.id) AS rank FROM matched m JOIN etext e ON e.id = m.id) WHERE rank <= 60),
 fused AS (SELECT coalesce(vr.query_id, tr.query_id) AS query_id, coalesce(vr.id, tr.id) AS id, vector_rank, lexical_rank, similarity,
   coalesce(1::DOUBLE / (60 + vector_rank), 0) + coalesce(1::DOUBLE / (60 + lexical_rank), 0) AS rrf
-  FROM vr FULL JOIN tr ON vr.query_id = tr.query_id AND vr.id = tr.id)
+  FROM vr FULL JOIN tr ON vr.query_id = tr.query_id AND vr.id = tr.id)"""
+
+
+@query("h6_hybrid_search", "etext", f"""{_FUSED}
 SELECT query_id, CAST(rank AS INT) AS rank, f.id, round(rrf, 9) AS rrf_score, CAST(vector_rank AS INT) AS vector_rank,
        CAST(lexical_rank AS INT) AS lexical_rank, round(sims.similarity, 6) + 0.0 AS vector_similarity
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS rank FROM fused) f
 LEFT JOIN sims ON sims.label = f.query_id % 10 AND sims.id = f.id WHERE rank <= 20""")
 def h6(d: Data):
-    out = search.hybrid_search(d.view("etext"), _queries(d), k=20, analyzer="plain", score="tf")
+    out = search.hybrid_search(d.view("etext"), _queries(d), _stored(d), k=20, analyzer="plain", score="tf")
     return out.withColumn("rrf_score", F.round("rrf_score", 9))
 
 
@@ -155,7 +161,7 @@ r AS (SELECT query_id, m.id, row_number() OVER (PARTITION BY query_id ORDER BY m
 SELECT query_id, CAST(rank AS INT) AS rank, e.id, e.category, e.domain, e.confidence, e.aieo_score,
        CAST(NULL AS DOUBLE) AS vector_similarity FROM r JOIN etext e ON e.id = r.id WHERE rank <= 10""")
 def h9(d: Data):
-    return search.search(d.view("etext"), _texts(d), "text", Filters(min_confidence=0.2), 10, analyzer="plain", score="tf")
+    return search.search(d.view("etext"), _texts(d), "text", Filters(min_confidence=0.2), 10, _stored(d), analyzer="plain", score="tf")
 
 
 @query("h9_search_vector", "etext", f", {_VECTORS.format(source='etext')}, " + f"""
@@ -165,6 +171,21 @@ def h9_vector(d: Data):
     return search.search(d.view("etext"), _centroids(d), "vector", k=5)
 
 
+@query("h9_search_hybrid", "etext", f"""{_FUSED}, best AS (SELECT f.query_id, CAST(rank AS INT) AS rank, f.id, round(sims.similarity, 6) + 0.0 AS vector_similarity
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS rank FROM fused) f
+  LEFT JOIN sims ON sims.label = f.query_id % 10 AND sims.id = f.id WHERE rank <= 20)
+SELECT query_id, rank, e.id, category, domain, confidence, aieo_score, vector_similarity FROM best JOIN etext e ON e.id = best.id""")
+def h9_hybrid(d: Data):
+    return search.search(d.view("etext"), _queries(d), "hybrid", k=20, postings=_stored(d), analyzer="plain", score="tf")
+
+
+@query("h9_search_browse", "ent", """
+SELECT id, category, data, domain, confidence, aieo_score, CAST(NULL AS DOUBLE) AS vector_similarity FROM ent
+WHERE category = 'action' ORDER BY aieo_score DESC, confidence DESC, id LIMIT 20""")
+def h9_browse(d: Data):
+    return search.search(d.view("ent"), mode="browse", filters=Filters(category="action"))
+
+
 _GRAMS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
 
 

@@ -1,9 +1,9 @@
 """Ordered per-key computations that never put a whole key into one task.
 
 A plain `row_number() over (partition by key order by ts)` sorts each key in a single task, which fails when one key
-holds a large share of the table. Here the sort order starts with a coarse `chunk` (an hour, a day, a priority), the
-window runs inside (key, chunk), and only one summary row per (key, chunk) is ordered per key. Summaries are built by
-map-side combined aggregates.
+holds a large share of the table. Here rows are dealt by ranges of (key, order), which splits a key at any row, also
+where most of it has one time. The window runs inside (key, range), and only one summary row per (key, range) is ordered
+per key. The dealt rows are written once, so every later step sees the same ranges.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitelore.session import cut_lineage
+
 _CHUNK = "__chunk"
 
 
@@ -27,14 +29,20 @@ def _attach(df: DataFrame, summary: DataFrame, names: list[str]) -> DataFrame:
     return joined.drop(*[f"__r_{n}" for n in names])
 
 
-def running(df: DataFrame, keys: list[str], order: list[Column], chunk: Column,
-            totals: dict[str, Column]) -> DataFrame:
-    """Add inclusive running sums per key. `chunk` must not decrease along `order`.
+def dealt(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
+    """`df` with the number of its (key, order) range, which does not decrease along `order` within a key."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.repartitionByRange(n, *keys, *order).withColumn(_CHUNK, F.spark_partition_id())
+    return cut_lineage(ranges)
+
+
+def running(df: DataFrame, keys: list[str], order: list[Column], totals: dict[str, Column]) -> DataFrame:
+    """Add inclusive running sums per key.
 
     `totals` maps the new column name to the summed expression; `F.lit(1)` gives the row number.
     """
     names = [*keys, _CHUNK]
-    df = df.withColumn(_CHUNK, chunk)
+    df = dealt(df, keys, order)
     parts = df.groupBy(*names).agg(*[F.sum(v).alias(f"__t_{n}") for n, v in totals.items()])
     before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(*names, *[
@@ -45,16 +53,16 @@ def running(df: DataFrame, keys: list[str], order: list[Column], chunk: Column,
     return out.drop(_CHUNK, *[f"__o_{n}" for n in totals])
 
 
-def row_numbers(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, name: str = "seq") -> DataFrame:
+def row_numbers(df: DataFrame, keys: list[str], order: list[Column], name: str = "seq") -> DataFrame:
     """1-based position of each row within its key."""
-    return running(df, keys, order, chunk, {name: F.lit(1)})
+    return running(df, keys, order, {name: F.lit(1)})
 
 
-def previous(df: DataFrame, keys: list[str], order: list[str], chunk: Column, values: list[str],
+def previous(df: DataFrame, keys: list[str], order: list[str], values: list[str],
              prefix: str = "prev_") -> DataFrame:
     """Add the values of the preceding row of the same key (null on the first one)."""
     names = [*keys, _CHUNK]
-    df = df.withColumn(_CHUNK, chunk)
+    df = dealt(df, keys, order)
     payload = F.struct(*[F.col(v) for v in values])
     last = df.groupBy(*names).agg(F.max_by(payload, F.struct(*order)).alias("__last"))
     carried = last.select(*names, F.lag("__last").over(

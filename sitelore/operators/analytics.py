@@ -104,11 +104,10 @@ def build_domain_profiles(pages: DataFrame, queue: DataFrame, emails: DataFrame
 def personal_plan(requests: DataFrame) -> DataFrame:
     """The urls of each personal index (personal_index_id, tier, ord, url) up to the tier's cap, in given order.
 
-    Positions are counted in slices of `ord`, so a request with very many urls is not sorted in one task.
+    Positions are counted in ranges, so a request with very many urls is not sorted in one task.
     """
     cap = F.when(F.col("tier") == "basic", PERSONAL_URL_CAP["basic"]).otherwise(PERSONAL_URL_CAP["pro"])
-    slices = F.floor(F.col("ord") / 10_000)
-    placed = row_numbers(requests, ["personal_index_id"], [F.col("ord"), F.col("url")], slices, "position")
+    placed = row_numbers(requests, ["personal_index_id"], [F.col("ord"), F.col("url")], "position")
     return placed.filter(F.col("position") <= cap).select(
         "personal_index_id", "tier", "position", "url", urls.domain("url").alias("domain"))
 

@@ -28,11 +28,10 @@ def schedule_frontier(queue: DataFrame, profiles: DataFrame, now: datetime, defa
     """K8: position and earliest fetch time of every queued url within its domain.
 
     The first slot is the domain's last crawl plus its delay (not before `now`), each next one a delay later. Positions
-    are counted per (priority, hour of creation) slice, so a domain with most of the queue is spread over tasks.
+    are counted in ranges of the queue, so a domain with most of it is spread over tasks.
     """
     delay = profiles.select("domain", F.coalesce("rate_limit_ms", F.lit(default_ms)).alias("delay_ms"), "last_crawled")
-    chunk = F.struct(F.col("priority").alias("p"), F.date_trunc("hour", "created_at").alias("h"))
-    placed = row_numbers(queue, ["domain"], [F.col("priority"), F.col("created_at"), F.col("id")], chunk, "slot")
+    placed = row_numbers(queue, ["domain"], [F.col("priority"), F.col("created_at"), F.col("id")], "slot")
     joined = placed.join(delay, "domain", "left").withColumn("delay_ms", F.coalesce("delay_ms", F.lit(default_ms)))
     start = F.greatest(at(now).cast(queue.schema["created_at"].dataType),
                        F.expr("last_crawled + make_dt_interval(0, 0, 0, delay_ms / 1000)"))
@@ -66,10 +65,8 @@ def rate_limit(requests: DataFrame, window_seconds: int = 60, limit: int = 200,
     us = F.expr(f"unix_micros(CAST({ts} AS TIMESTAMP))")
     width = window_seconds * 1_000_000
     bucket = F.floor(us / width)
-    # a client's window is counted in up to 60 slices
-    slice_us = max(width // 60, 1)
     df = requests.withColumn("bucket", bucket)
-    out = row_numbers(df, [client, "bucket"], [F.col(ts), F.col(tie)], F.floor(us / slice_us), "seq")
+    out = row_numbers(df, [client, "bucket"], [F.col(ts), F.col(tie)], "seq")
     return out.withColumn("allowed", F.col("seq") <= limit) \
               .withColumn("remaining", F.greatest(F.lit(0), F.lit(limit) - F.col("seq")))
 
@@ -85,8 +82,7 @@ def key_quota(requests: DataFrame, keys: DataFrame, ts: str = "ts", tie: str = "
     df = hashed.join(active, "key_hash", "left").withColumn("day", F.to_date(ts))
     valid = F.col("__known").isNotNull()
     # invalid requests take no number: they are only labelled
-    checked = row_numbers(df.filter(valid), ["key_hash", "day"], [F.col(ts), F.col(tie)],
-                          F.date_trunc("minute", ts), "seq")
+    checked = row_numbers(df.filter(valid), ["key_hash", "day"], [F.col(ts), F.col(tie)], "seq")
     accepted = F.col("seq") <= F.col("rate_limit_per_day")
     good = checked.withColumn("outcome", F.when(accepted, "accepted").otherwise("over_limit")) \
                   .withColumn("queries_today", F.least("seq", F.col("rate_limit_per_day").cast("bigint")))

@@ -281,11 +281,11 @@ def evaluate_alerts(metrics: DataFrame, rules: DataFrame | None = None) -> DataF
 def failure_streaks(log: DataFrame, streak: int = 3) -> DataFrame:
     """Runs of at least `streak` consecutive failed fetches (http_status >= 400) per url.
 
-    A run shares one running count of successes; the counts are taken per day slice, so a url with very many fetches is
-    split over tasks, and the runs themselves are plain aggregates.
+    A run shares one running count of successes; the counts are taken in ranges, so a url with very many fetches is split
+    over tasks, and the runs themselves are plain aggregates.
     """
     ok = (F.col("http_status") < 400).cast("bigint")
-    steps = running(log, ["url"], [F.col("ts"), F.col("event_id")], F.date_trunc("day", "ts"), {"run": ok})
+    steps = running(log, ["url"], [F.col("ts"), F.col("event_id")], {"run": ok})
     return (steps.filter(F.col("http_status") >= 400).groupBy("domain", "url", "run")
             .agg(F.count("*").alias("failures"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
             .filter(F.col("failures") >= streak).drop("run"))

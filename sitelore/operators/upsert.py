@@ -127,12 +127,11 @@ def suggest_frequency(versions: DataFrame, now: datetime, days: int = 14, unchan
     the end ask for monthly ones; otherwise the frequency is kept.
     """
     recent = versions.filter((F.col("ts") >= days_before(now, days)) & (F.col("ts") <= at(now)))
-    chunk = F.date_trunc("day", "ts")
-    steps = previous(recent, ["url"], ["ts", "crawl_id"], chunk, ["content_hash"])
+    steps = previous(recent, ["url"], ["ts", "crawl_id"], ["content_hash"])
     changed = F.col("prev_content_hash").isNotNull() & (F.col("prev_content_hash") != F.col("content_hash"))
     steps = steps.withColumn("changed", changed.cast("bigint"))
     # rows after the last change share the highest running count of changes
-    steps = running(steps, ["url"], [F.col("ts"), F.col("crawl_id")], chunk, {"island": F.col("changed")})
+    steps = running(steps, ["url"], [F.col("ts"), F.col("crawl_id")], {"island": F.col("changed")})
     islands = steps.groupBy("url", "island").agg(
         F.count("*").alias("n"), F.sum("changed").alias("changes"), F.max("ts").alias("last_ts"))
     per_url = islands.groupBy("url").agg(

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sitelore.functions.chunked import previous, row_numbers, running
+from sitelore.functions.chunked import dealt, previous, row_numbers, running
 from sitelore.functions.gates import OPEN, gate_steps, replay_gate
 from sitelore.operators import quality, search, search_text, search_vector
 
@@ -29,19 +29,27 @@ def test_chunked_matches_plain_windows(spark):
     df = spark.createDataFrame(hot_log(600, 1), "id long, key string, ts timestamp, bad boolean, v long")
     df = df.unionByName(spark.createDataFrame([(9001, None, START, True, 1), (9002, None, START, True, 2)], df.schema))
     w = Window.partitionBy("key").orderBy("ts", "id")
-    chunk = F.date_trunc("hour", "ts")
-    out = running(df, ["key"], [F.col("ts"), F.col("id")], chunk, {"n": F.lit(1), "total": F.col("v")})
+    out = running(df, ["key"], [F.col("ts"), F.col("id")], {"n": F.lit(1), "total": F.col("v")})
     expected = df.withColumn("n", F.row_number().over(w)).withColumn("total", F.sum("v").over(w))
     assert sorted(out.select("id", "n", "total").collect()) == sorted(expected.select("id", "n", "total").collect())
-    prev = previous(df, ["key"], ["ts", "id"], chunk, ["v", "bad"])
+    prev = previous(df, ["key"], ["ts", "id"], ["v", "bad"])
     lagged = df.withColumn("prev_v", F.lag("v").over(w)).withColumn("prev_bad", F.lag("bad").over(w))
     order = lambda r: r.id
     assert sorted(prev.select("id", "prev_v", "prev_bad").collect(), key=order) == sorted(
         lagged.select("id", "prev_v", "prev_bad").collect(), key=order)
-    numbered = row_numbers(df, ["key"], [F.col("ts"), F.col("id")], chunk)
+    numbered = row_numbers(df, ["key"], [F.col("ts"), F.col("id")])
     assert numbered.count() == 602
 
 
+def test_a_key_is_split_at_any_row(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key"),
+                                      F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"), "id")
+    parts = dealt(rows, ["key"], [F.col("ts"), F.col("id")]).groupBy("__chunk").count().collect()
+    assert len(parts) >= 6 and max(r["count"] for r in parts) <= 0.3 * 20_000
+    seq = {r["id"]: r["seq"] for r in row_numbers(rows, ["key"], [F.col("ts"), F.col("id")]).filter("key = 'hot'").collect()}
+    assert [seq[i] for i in sorted(seq)] == list(range(1, 18_001))
+
+
 @pytest.mark.parametrize("failures, hold_s, chunk_s", [(3, 1800, 3600), (1, 600, 600), (2, 7200, 7200), (1, 5400, 86400)])
 def test_gate_replay_matches_row_by_row(spark, failures, hold_s, chunk_s):
     rows = hot_log(500, failures * 7 + hold_s)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sitelore.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
 from sitelore.llm.common import documents, table
-from sitelore.session import ship_package
+from sitelore.session import cut_lineage, ship_package
 
 #: shingle words and percent of the near-duplicate stage
 WORDS, PERCENT = 5, 80
@@ -79,7 +79,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage keeps is written to the checkpoint folder and read again by the next one."""
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

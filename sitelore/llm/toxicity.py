@@ -13,7 +13,7 @@ likelier in toxic than in clean documents are taken as the toxic instances, the
 mining add the strings of clean documents that score highest. A document's score is a
 logistic function of its two highest string values, fitted on the same sample.
 
-The fit uses at most SAMPLE labelled documents per class, chosen by a hash of the id, and only those whose
+The fit uses at most SAMPLE labelled documents, chosen by a hash of the id, and only those whose
 crc32(doc_id) mod 5 is not 0. Scoring uses the text alone, whole.
 
 Defined cases: null and empty texts get the score of a text without a known string; null labels and null ids are not
@@ -40,8 +40,8 @@ DECAY, SPAN = 0.7, 3
 #: string values below it count as it
 FLOOR = -0.5
 LANDMARKS, POSITIVES, NEGATIVES, MINED, ROUNDS = 384, 800, 5000, 1500, 3
-#: labelled documents per class used for fitting
-SAMPLE = 6000
+#: labelled documents used for fitting
+SAMPLE = 4000
 #: strings are cut into overlapping pieces of at most this length
 LONGEST = 32
 _TABLE = 1 << 20
@@ -259,10 +259,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     import pickle
     known = (labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y")))
-    chosen = None
-    for y in (0, 1):  # at most SAMPLE ids each
-        part = known.filter(F.col("y") == y).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(SAMPLE)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    # at most SAMPLE ids, with the classes as frequent as among all labelled rows
+    chosen = known.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(SAMPLE)
     sample = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
                          .join(F.broadcast(chosen), "doc_id").select("text", "y"))
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
@@ -342,7 +340,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
             top = _model_of(key2).top_two(batch.column("text").to_pylist())
             yield pa.record_batch([batch.column("y"), pa.array(top[:, 0]), pa.array(top[:, 1])], ["y", "a", "b"])
 
-    # at most SAMPLE rows per class
+    # at most SAMPLE rows
     top = sample.mapInArrow(tops, "y int, a double, b double").toPandas()
     model.logistic = _logistic(top[["a", "b"]].to_numpy(), top["y"].to_numpy().astype(float))
     return model

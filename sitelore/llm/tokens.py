@@ -23,6 +23,18 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Cache(dict):
+    """Ids by piece; a piece it lacks is noted and counts as no ids."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.unknown: set[str] = set()
+
+    def __missing__(self, piece: str) -> bytes:
+        self.unknown.add(piece)
+        return b""
+
+
 class Encoder:
     """Ids as little-endian bytes: two bytes an id for vocabularies up to 65 536, else four."""
 
@@ -35,17 +47,8 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
         self.starts[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # the byte-level sign for a space
-        self.cache: dict[str, bytes] = {}
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        if "  " in text:
-            return _CUT.split(text)
-        parts = text.split(" ")
-        head = parts[0]
-        out = [" " + p for p in parts]
-        out[0] = head
-        return out
+        # pieces behind a space, without it; all other pieces
+        self.cache, self.heads = _Cache(), _Cache()
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece. Pieces that are a space and further characters are encoded as one text: every id whose
@@ -53,40 +56,53 @@ class Encoder:
         plain = [p for p in pieces if len(p) > 1 and p[0] == " " and " " not in p[1:]]
         done: dict[str, bytes] = {}
         if plain:
-            ids = np.array(self.tokenizer.encode("".join(plain), add_special_tokens=False).ids, self.kind)
+            found = self.tokenizer.encode_batch_fast(["".join(plain)], add_special_tokens=False)[0]  # without offsets
+            ids = np.array(found.ids, self.kind)
             at = np.flatnonzero(self.starts[ids])
             if len(at) == len(plain):
                 raw, size = ids.tobytes(), ids.itemsize
                 cuts = [*(at * size).tolist(), len(raw)]
                 done = {p: raw[a:b] for p, a, b in zip(plain, cuts, cuts[1:])}
         rest = [p for p in pieces if p not in done]
-        for p, x in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
+        for p, x in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             done[p] = np.array(x.ids, self.kind).tobytes()
         return [done[p] for p in pieces]
 
     def encode(self, texts: list[str | None], end: int | None = None) -> list[np.ndarray]:
         """Ids of each text, with the end id appended."""
-        cache, kind = self.cache, self.kind
+        kind = self.kind
         tail = b"" if end is None else np.array([end], kind).tobytes()
-        out = []
+        cache, heads = self.cache, self.heads
+        find, find_head = cache.__getitem__, heads.__getitem__
+
+        def join(text: str) -> bytes:
+            if "  " in text:
+                return b"".join(map(find_head, _CUT.split(text)))
+            head, *rest = text.split(" ")
+            return find_head(head) + b"".join(map(find, rest)) if head else b"".join(map(find, rest))
+
+        out: list[np.ndarray] = []
         for start in range(0, len(texts), 1024):
-            split = [self.pieces(t) if t else [] for t in texts[start:start + 1024]]
-            missing = {p for pieces in split for p in pieces if p not in cache}
-            extra: dict[str, bytes] = {}
-            if missing:
-                order = sorted(missing)
-                for k in range(0, len(order), 4096):
-                    part = order[k:k + 4096]
-                    short = dict(zip(part, self._encode(part)))
-                    extra.update(short)
-                    if len(cache) < CACHED:
-                        cache.update((p, b) for p, b in short.items() if len(p) < 40)
-            for pieces in split:
-                if extra:
-                    ids = b"".join([cache[p] if p in cache else extra[p] for p in pieces])
-                else:
-                    ids = b"".join([cache[p] for p in pieces])
-                out.append(np.frombuffer(ids + tail, kind))
+            some = [t or "" for t in texts[start:start + 1024]]
+            done = []
+            for t in some:
+                known = len(cache.unknown) + len(heads.unknown)
+                ids = join(t)
+                done.append(ids if len(cache.unknown) + len(heads.unknown) == known and known == 0 else None)
+            added = [(c, sorted(c.unknown), space) for c, space in ((cache, " "), (heads, ""))]
+            for c, pieces, space in added:
+                c.unknown.clear()
+                for k in range(0, len(pieces), 4096):
+                    part = pieces[k:k + 4096]
+                    c.update(zip(part, self._encode([space + p for p in part])))
+            for t, ids in zip(some, done):
+                out.append(np.frombuffer((join(t) if ids is None else ids) + tail, kind))
+            for c, pieces, _ in added:  # keep the first CACHED pieces, and no long ones
+                for p in pieces[max(0, CACHED - (len(c) - len(pieces))):]:
+                    del c[p]
+                for p in pieces:
+                    if len(p) >= 40:
+                        c.pop(p, None)
         return out
 
 

@@ -313,8 +313,11 @@ def layout(paragraphs: list[str], other: list[str], rng: np.random.Generator) ->
 
 def fit(pages: DataFrame, html: str = "html", row_id: str = "page_id") -> Crf:
     """Train on labelled pages made from a bounded sample."""
-    sample = (pages.filter(F.length(html).between(1, TRAIN_CHARS))
-              .orderBy(F.xxhash64(F.lit(9), row_id), row_id).limit(TRAIN_PAGES).select(html).collect())
+    # first the hashes alone, so that no task sends pages that are not chosen
+    usable = pages.filter(F.length(html).between(1, TRAIN_CHARS)).withColumn("__h", F.xxhash64(F.lit(9), row_id))
+    chosen = usable.select("__h").orderBy("__h").limit(TRAIN_PAGES).agg(F.max("__h")).first()[0]
+    sample = (usable.filter(F.col("__h") <= F.lit(chosen)).orderBy("__h", html).limit(TRAIN_PAGES).select(html).collect()
+              if chosen is not None else [])
     found = [blocks(r[0]) for r in sample]
     labels = [rule_labels(f) for f in found]
     texts = [[b.text for b, y in zip(f, l) if y] for f, l in zip(found, labels)]

@@ -5,9 +5,9 @@ vectors of its paragraphs, lane by lane modulo powers of two. So the order of pa
 or deleting a paragraph adds or subtracts its vector. The vector has two parts:
 
 * 32 lanes modulo 2^32, spread over all values, which decide equality;
-* 256 lanes modulo 2^16, each the sum of signs of the paragraph's 24-byte windows at word starts. The inner product of
-  two such parts estimates how many windows the documents share, and their cosine is the likeness (0 to 1, with a
-  standard error of about 0.06).
+* 256 lanes modulo 2^32, read as signed numbers, each the sum of signs of the paragraph's 24-byte windows at word
+  starts. No text below 2^31 equal windows can wrap them. The inner product of two such parts estimates how many
+  windows the documents share, and their cosine is the likeness (0 to 1, with a standard error of about 0.06).
 
 Defined cases: null and empty texts have the fingerprint of one empty paragraph; equal fingerprints have likeness 1, a
 text without windows has likeness 0 to any other; a null doc_id comes last in descending order; rows with equal doc_id
@@ -39,7 +39,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, 32) uint32 and (texts, 256) int16 sums."""
+    """(texts, 32) uint32 and (texts, 256) int32 sums."""
     joined = np.frombuffer(b"\n".join(texts) + b"\n" + bytes(WINDOW), np.uint8)
     size = len(joined) - WINDOW
     ends = np.flatnonzero(joined[:size] == 10)  # paragraph ends
@@ -61,7 +61,7 @@ def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lane = (h & np.uint64(LIKENESS_LANES - 1)).astype(np.int64)
     sign = ((h >> np.uint64(20)) & np.uint64(1)).astype(np.int64) * 2 - 1
     likeness = np.bincount(owner[paragraph] * LIKENESS_LANES + lane, sign, len(texts) * LIKENESS_LANES)
-    likeness = likeness.astype(np.int64).astype(np.int16).reshape(len(texts), LIKENESS_LANES)
+    likeness = likeness.astype(np.int64).astype(np.int32).reshape(len(texts), LIKENESS_LANES)
 
     # one cryptographic hash per paragraph, spread over the lanes
     view = memoryview(joined)
@@ -73,12 +73,12 @@ def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def join_vectors(equality: np.ndarray, likeness: np.ndarray) -> str:
-    return equality.astype("<u4").tobytes().hex() + likeness.astype("<i2").tobytes().hex()
+    return equality.astype("<u4").tobytes().hex() + likeness.astype("<i4").tobytes().hex()
 
 
 def _split(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(fingerprint)
-    return np.frombuffer(raw[:4 * EQUALITY_LANES], "<u4"), np.frombuffer(raw[4 * EQUALITY_LANES:], "<i2")
+    return np.frombuffer(raw[:4 * EQUALITY_LANES], "<u4"), np.frombuffer(raw[4 * EQUALITY_LANES:], "<i4")
 
 
 def fingerprint(text: str | None) -> str:

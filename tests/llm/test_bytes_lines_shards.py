@@ -211,6 +211,36 @@ def test_fingerprints_add_and_subtract():
     assert f(a) != f(b) and f("x\nx") != f("x")
 
 
+@pytest.mark.parametrize("n", [40_000, 100_000])
+def test_fingerprints_of_many_equal_windows(spark, n):
+    def lanes(text):
+        return np.array(fingerprints._split(fingerprints.fingerprint(text))[1], np.int64)
+
+    line = "one line of a log that comes again and again"
+    assert (lanes("\n".join([line] * n)) == n * lanes(line)).all()
+    assert fingerprints.add(fingerprints.fingerprint("\n".join([line] * n)), fingerprints.fingerprint(line), -1) == (
+        fingerprints.fingerprint("\n".join([line] * (n - 1))))
+
+    def windows(text):
+        raw = text.encode()
+        starts = [k for k in range(len(raw)) if raw[k] > 32 and (k == 0 or raw[k - 1] <= 32)]
+        return collections.Counter(raw[k:k + 24] for k in starts)
+
+    def cosine(a, b):
+        a, b = windows(a), windows(b)
+        norm = sum(x * x for x in a.values()) * sum(x * x for x in b.values())
+        return sum(a[w] * b[w] for w in a) / norm ** 0.5
+
+    text, other = "spam " * n, " ".join(f"w{k}" for k in range(300))
+    got = {r["doc_id"]: r for r in collected(fingerprints.op9_document_fingerprints(
+        frame(spark, [(2, text), (1, other)])))}
+    third = len(text) // 3
+    edited = text[:len(text) - third] + other[:third]
+    assert got[2]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+    assert got[2]["near_edited"] == pytest.approx(cosine(text, edited), abs=0.01)
+    assert got[2]["near_next"] < 0.3
+
+
 # token files and packing
 
 def ids_by_hand(texts):

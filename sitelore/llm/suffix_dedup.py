@@ -12,8 +12,10 @@ and only anchors, about one in 185 bytes, are sorted:
    string at distance d repeats when some other anchor shares d bytes to the left and LENGTH - d to the right.
 4. Repeated strings of an anchor cover one interval; intervals are united per document and cut out.
 
-An anchor hash with more than `HOT` occurrences is not gathered: equal surroundings are counted first (partial sums
-before the shuffle), and the strings of the different ones are compared by 128-bit hashes, again by counting.
+An anchor hash with more than `HOT` places, those of one document with equal surroundings taken as one, is not gathered:
+equal surroundings are counted first (partial sums before the shuffle), and the strings of the different ones are
+compared by 128-bit hashes, again by counting. A string holds the LENGTH / 2 bytes to the left of its anchor or those
+to the right, so surroundings that share neither half with others are left out of that.
 
 Defined cases: null text is empty; texts below LENGTH bytes lose nothing; a repeat within one document counts, also when
 it overlaps itself; rows equal in id and text repeat each other and so lose every byte that LENGTH covers; null ids are
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
@@ -262,21 +264,21 @@ def _merged(run, names: list[str], rows: int = 20_000):
     return merged
 
 
-_SURROUND = "key long, hash long, place long, first long, last long, lefts binary, rights binary, hot boolean"
+_SURROUND = "key long, hash long, place long, first long, last long, lefts binary, rights binary"
 
 
 def _surroundings(docs: DataFrame) -> DataFrame:
     """Rows of _SURROUND, and rows of hash null for intervals first to last that repeat within their own document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("place", pa.int64()), ("first", pa.int64()),
-                            ("last", pa.int64()), ("lefts", pa.binary()), ("rights", pa.binary()), ("hot", pa.bool_())])
+                            ("last", pa.int64()), ("lefts", pa.binary()), ("rights", pa.binary())])
         for batch in large(batches, "text", 2 << 20):
-            keys, wanted, hot = (batch.column(c).to_pylist() for c in ("key", "shared", "hot"))
+            keys, wanted = (batch.column(c).to_pylist() for c in ("key", "shared"))
             rows: list[tuple] = []
             for k, data in _documents(batch):
                 h, place, first, last = anchors(data)
                 chosen = np.flatnonzero(np.isin(h.view(np.int64), np.array(wanted[k], np.int64)))
-                raw, hots = data.tobytes(), set(hot[k])
+                raw = data.tobytes()
                 seen: dict[tuple[bytes, bytes], int] = {}
                 inner: list[tuple[int, int]] = []
                 for code, p, a, b in zip(h.view(np.int64)[chosen].tolist(), place[chosen].tolist(),
@@ -286,8 +288,8 @@ def _surroundings(docs: DataFrame) -> DataFrame:
                         inner += [(a, b + LENGTH), (seen[pair], seen[pair] + b - a + LENGTH)]
                         continue
                     seen[pair] = a
-                    rows.append((keys[k], code, p, a, b, *pair, code in hots))
-                rows += [(keys[k], None, None, a, b, None, None, False) for a, b in _united(inner)]
+                    rows.append((keys[k], code, p, a, b, *pair))
+                rows += [(keys[k], None, None, a, b, None, None) for a, b in _united(inner)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -338,19 +340,33 @@ def _counted_groups(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("c", F.sha2(F.concat(F.hex("lefts"), F.lit("|"), F.hex("rights")), 256))
     each = rows.groupBy("hash", "c").agg(F.count("*").alias("n"), F.min("lefts").alias("lefts"),
                                          F.min("rights").alias("rights"))
+    half = LENGTH // 2
+
+    def code(side: str, part: str) -> Column:  # a side too short for a half gets a code of its own
+        return F.when(F.octet_length(side) >= half, F.xxhash64("hash", F.expr(part))).otherwise(F.xxhash64("hash", "c"))
+
+    each = cut_lineage(each.withColumn("l", code("lefts", f"substring(lefts, -{half}, {half})"))
+                       .withColumn("r", code("rights", f"substring(rights, 1, {half})")))
+
+    def common(side: str) -> DataFrame:
+        return each.groupBy(side).agg(F.sum("n").alias("m")).filter("m > 1").select(side, F.lit(True).alias(f"by_{side}"))
+
+    halves = each.join(common("l"), "l", "left").join(common("r"), "r", "left").filter("by_l or by_r").select(
+        "hash", "c", "n", "lefts", "rights", "by_l", "by_r")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in large(batches, "rights", 1 << 16):
             out = []
-            for h, c, n, left, right in zip(*(col.to_pylist() for col in batch.columns)):
+            for h, c, n, left, right, by_left, by_right in zip(*(col.to_pylist() for col in batch.columns)):
                 raw = left + right
-                for d in range(LENGTH - len(right), len(left) + 1):
+                least, most = LENGTH - len(right), len(left)
+                for d in range(least if by_right else max(least, half), (most if by_left else min(most, half - 1)) + 1):
                     a = len(left) - d
                     out.append((h, c, min(n, 2), d, hashlib.blake2b(raw[a:a + LENGTH], digest_size=16).digest()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["hash", "c", "n", "d", "s"])
 
-    single = each.mapInArrow(strings, "hash long, c string, n long, d long, s binary")
+    single = halves.mapInArrow(strings, "hash long, c string, n long, d long, s binary")
     twice = single.groupBy("s").agg(F.sum("n").alias("m")).filter("m > 1").select("s")
     spans = single.join(twice, "s").groupBy("hash", "c").agg(F.min("d").alias("low"), F.max("d").alias("high"))
     return rows.select("hash", "c", "key", "place").join(spans, ["hash", "c"]).select(
@@ -367,17 +383,17 @@ def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text", hot: int
     hashes = _anchor_hashes(slim)
     ranges = hashes.repartitionByRange(partitions(docs), "hash", "rep").sortWithinPartitions("hash", "rep")
     shared = cut_lineage(_repeated(ranges))
-    frequent = shared.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > hot)
-    lists = (shared.join(frequent.select("hash", F.lit(True).alias("h")), "hash", "left")
-             .groupBy(F.col("rep").alias("key")).agg(
-                 F.collect_list("hash").alias("shared"),
-                 F.collect_list(F.when(F.col("h"), F.col("hash"))).alias("hot")))
+    lists = shared.groupBy(F.col("rep").alias("key")).agg(F.collect_list("hash").alias("shared"))
     sent = slim.dropDuplicates(["key"]) if twins.limit(1).count() else slim
-    rows = cut_lineage(_surroundings(sent.join(lists, "key").select("key", "text", "shared", "hot")))
-    found = _sorted_groups(rows.filter("hash is not null and not hot").repartition(partitions(docs), "hash")
-                           .sortWithinPartitions("hash", "key", "place"))
-    if frequent.limit(1).count():
-        found = found.unionByName(_counted_groups(rows.filter("hash is not null and hot")))
+    rows = cut_lineage(_surroundings(sent.join(lists, "key").select("key", "text", "shared")))
+    placed = rows.filter("hash is not null")
+    # places, not documents: one document can hold a hash at thousands of places
+    crowded = cut_lineage(placed.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("hash"))
+    counted = crowded.limit(1).count() > 0
+    few = placed.join(crowded, "hash", "left_anti") if counted else placed
+    found = _sorted_groups(few.repartition(partitions(docs), "hash").sortWithinPartitions("hash", "key", "place"))
+    if counted:
+        found = found.unionByName(_counted_groups(placed.join(crowded, "hash", "left_semi")))
     found = found.unionByName(rows.filter("hash is null").select("key", "first", "last"))
     spans = found.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("__spans"))
     joined = keyed.join(spans.withColumnRenamed("key", "__key"), "__key", "left").join(

@@ -58,6 +58,29 @@ def test_suffix_dedup_gives_the_same_when_every_group_is_counted(spark, sf_dir):
     assert a == b
 
 
+def test_suffix_dedup_counts_the_places_of_a_hash_not_its_documents(spark, monkeypatch):
+    rng = random.Random(5)
+    form = "".join(rng.choice("abcdefghij ") for _ in range(120))
+
+    def field(n):
+        return "".join(rng.choice("klmnopqrst") for _ in range(n))
+
+    texts = ["".join(form + field(rng.randint(100, 300)) for _ in range(60)) for _ in range(4)]
+    shared = field(350)
+    texts += ["".join(form + field(200) + form + shared for _ in range(8)), "".join([form, shared] * 2)]
+    gathered = []
+    sort = suffix_dedup._sorted_groups
+    monkeypatch.setattr(suffix_dedup, "_sorted_groups", lambda rows: gathered.append(rows) or sort(rows))
+    docs = frame(spark, list(enumerate(texts)))
+    cut = [{r["doc_id"]: bytes(r["__kept"]) for r in suffix_dedup.dedup(docs, hot=hot).collect()} for hot in (50, 20_000)]
+    most = [rows.groupBy("hash").count().agg({"count": "max"}).first()[0] for rows in gathered]
+    assert most[0] <= 50 < most[1]  # six documents hold the hash at more places than that
+    assert cut[0] == cut[1]
+    by_hand = cut_by_hand([t.encode() for t in texts], 400)
+    assert [hashlib.sha256(cut[0][d]).hexdigest() for d in range(len(texts))] == [x[3] for x in by_hand]
+    assert any(x[1] for x in by_hand)
+
+
 def test_deep_shallow_sort_and_distances():
     rng = random.Random(3)
     for _ in range(150):

@@ -3,7 +3,7 @@
 Two documents link when 100 * |intersection| >= percent * |union| of their shingle sets. Linked sets share at least
 T(n) = ceil(percent * n / 100) shingles for the size n of either one, which drives every step:
 
-1. Documents with equal sets become one class, named by its smallest id.
+1. Rows with equal sets become one class with a number of its own.
 2. Each class sends the n - T(n) + e(n) smallest of its shingle hashes, e(n) = max(1, 0.15 n). Linked classes share at
    least r(n) = e(T(n)) of them, for the size n of either one, so a class that shares fewer has no link and drops out;
    that is repeated as long as classes drop out, at most `PRUNINGS` times. Hashes are dealt by ranges of (hash, class),
@@ -15,7 +15,7 @@ T(n) = ceil(percent * n / 100) shingles for the size n of either one, which driv
    are merged and counted, classes that can still reach T are probed in the few long lists by binary search (DivideSkip),
    and the exact overlap decides. Classes that are connected already are not probed. Blocks above `UNIT` shingles are cut
    into parts, and every pair of parts is a unit of its own.
-5. Components of the links give the result.
+5. Components of the links, and of the ids whose rows are in several of them, give the result.
 
 Nothing is capped or sampled. Defined cases: null and empty texts have the empty set and link with nothing; texts with
 fewer words than a shingle are one shingle; rows with one doc_id are one document with the links of each; null doc_ids
@@ -63,12 +63,12 @@ def _sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
             sent = [s[:n - _needed(n, percent) + _extra(n)] for s, n in zip(sets, sizes)]
             flat = np.concatenate(sent).view(np.int64)
             yield pa.record_batch([
-                batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums.view(np.int64)[:, 0].copy()),
+                batch.column("doc_id"), batch.column("t"), pa.array(sizes, pa.int64()), pa.array(sums.view(np.int64)[:, 0].copy()),
                 pa.array(sums.view(np.int64)[:, 1].copy()),
                 pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in sent])], pa.int32()),
-                                         pa.array(flat))], ["doc_id", "n", "h1", "h2", "sent"])
+                                         pa.array(flat))], ["doc_id", "t", "n", "h1", "h2", "sent"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sent array<long>")
+    return docs.mapInArrow(run, "doc_id long, t long, n long, h1 long, h2 long, sent array<long>")
 
 
 def _repeated(sent: DataFrame) -> DataFrame:
@@ -220,14 +220,18 @@ def _units(rows: DataFrame, percent: int) -> DataFrame:
 
 def classes(docs: DataFrame, words: int = 4, percent: int = 85, unit: int = UNIT) -> DataFrame:
     """(doc_id, n_shingles, component_id, copies) for rows (doc_id, text); copies counts the rows of the id."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), "text",
+                       F.xxhash64("text").alias("t"))
     sketches = cut_lineage(_sketches(docs, words, percent))
-    equal = sketches.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    nodes = cut_lineage(sketches.select("doc_id", "n", "h1", "h2").join(equal, ["n", "h1", "h2"], "left")
-                        .select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
-    reps = nodes.filter("doc_id = rep and n > 0").groupBy("rep").agg(F.max("n").alias("n"))
-    sent = (sketches.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-            .select(F.explode("sent").alias("hash"), F.col("doc_id").alias("rep")))
+    # an id may have rows of different sets: classes have numbers, and (doc_id, t) finds the text of one row of each
+    equal = cut_lineage(sketches.filter("n > 0").groupBy("n", "h1", "h2").agg(
+        F.min("doc_id").alias("doc_id"), F.min_by("t", "doc_id").alias("t"))
+        .withColumn("rep", F.monotonically_increasing_id()))
+    nodes = cut_lineage(sketches.select("doc_id", "n", "h1", "h2").join(
+        equal.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"], "left").select("doc_id", "n", "rep"))
+    reps = equal.select("rep", "n")
+    sent = (sketches.join(equal, ["n", "h1", "h2", "doc_id", "t"])
+            .select(F.explode("sent").alias("hash"), "rep"))
     ranges = sent.repartitionByRange(partitions(docs), "hash", "rep").sortWithinPartitions("hash", "rep")
     shared = cut_lineage(_repeated(ranges))
 
@@ -258,26 +262,39 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85, unit: int = UNIT
     placed = (blocks.join(whole.select("component", cuts.alias("cuts")), "component")
               .withColumn("part", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
               .select("id", "component", "part", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
-              .select(F.col("id").alias("doc_id"), "part", (F.col("part") != F.col("other")).alias("across"), F.xxhash64(
+              .select(F.col("id").alias("rep"), "part", (F.col("part") != F.col("other")).alias("across"), F.xxhash64(
                   "component", F.least("part", "other"), F.greatest("part", "other")).alias("unit")))
-    routes = placed.groupBy("doc_id").agg(F.collect_list(F.struct("unit", "across", "part")).alias("routes"))
+    routes = placed.groupBy("rep").agg(F.collect_list(F.struct("unit", "across", "part")).alias("routes"))
+    routes = routes.join(equal.select("rep", "doc_id", "t"), "rep")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in large(batches, "text", 4 << 20):
             sets = [s.tobytes() for s in shingle_sets(_texts(batch), words)]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("routes"), pa.array(sets, pa.binary())],
-                                  ["doc_id", "routes", "shingles"])
+            yield pa.record_batch([batch.column("rep"), batch.column("routes"), pa.array(sets, pa.binary())],
+                                  ["rep", "routes", "shingles"])
 
     kind = "array<struct<unit:long,across:boolean,part:int>>"
-    sets = (docs.join(routes, "doc_id").select("doc_id", "routes", "text")
-            .mapInArrow(shingled, f"doc_id long, routes {kind}, shingles binary")
-            .select(F.inline("routes"), F.col("doc_id").alias("rep"), "shingles"))
+    sets = (docs.join(routes, ["doc_id", "t"]).select("rep", "routes", "text")
+            .mapInArrow(shingled, f"rep long, routes {kind}, shingles binary")
+            .select(F.inline("routes"), "rep", "shingles"))
     links = _units(sets.repartition(partitions(docs), "unit").sortWithinPartitions("unit", "rep"), percent)
     links = links.filter("id_a != id_b")
     found = connected_components(links).withColumnRenamed("id", "rep")
-    out = nodes.join(found, "rep", "left").groupBy("doc_id").agg(
-        F.max("n").alias("n_shingles"), F.min(F.coalesce("component", "rep")).alias("component_id"),
-        F.count("*").alias("copies"))
+    # a component is named by its smallest id; ids with rows in several components join them
+    grouped = (nodes.filter("rep is not null").join(found, "rep", "left")
+               .select("doc_id", "n", F.coalesce("component", "rep").alias("group")))
+    names = grouped.groupBy("group").agg(F.min("doc_id").alias("name"))
+    named = cut_lineage(grouped.join(names, "group").select("doc_id", "n", "name").unionByName(
+        nodes.filter("rep is null").select("doc_id", "n", F.lit(None).cast("long").alias("name"))))
+    out = cut_lineage(named.groupBy("doc_id").agg(
+        F.max("n").alias("n_shingles"), F.coalesce(F.min("name"), F.col("doc_id")).alias("component_id"),
+        F.count("*").alias("copies"), F.max("name").alias("other")))
+    several = out.filter("other > component_id")
+    if several.limit(1).count():
+        edges = (named.join(several.select("doc_id", "component_id"), "doc_id").filter("name > component_id")
+                 .select(F.col("component_id").alias("id_a"), F.col("name").alias("id_b")).distinct())
+        wider = connected_components(edges).select(F.col("id").alias("component_id"), "component")
+        out = out.join(wider, "component_id", "left").withColumn("component_id", F.coalesce("component", "component_id"))
     null = F.lit(_NULL)
     return out.select(F.nullif("doc_id", null).alias("doc_id"), "n_shingles",
                       F.nullif("component_id", null).alias("component_id"), "copies")

@@ -74,6 +74,19 @@ def test_ngram_join_chains_cuts_and_odd_rows(spark, odd, odd_rows, empty):
     assert ngram_join.op8_ngram_join(empty).count() == 0
 
 
+def test_ngram_join_rows_of_one_id_keep_the_links_of_each(spark):
+    def words(name, n):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    small, large, other = words("s", 23), words("l", 1003), words("o", 60)
+    rows = [(5, small), (5, large), (9, small + " end"), (None, words("a", 23)), (None, words("b", 1003)),
+            (20, words("a", 23) + " end"), (30, other), (31, other + " end"), (8, other + " stop"), (9, words("z", 50)),
+            (31, words("y", 40)), (40, words("y", 40) + " end"), (50, "alone here"), (51, None)]
+    got = found(ngram_join.classes(frame(spark, rows), 4, 85))
+    assert got == {5: (1000, 5), 9: (47, 5), None: (1000, None), 20: (21, None), 30: (57, 8), 31: (58, 8), 8: (58, 8),
+                   40: (38, 8), 50: (1, 50), 51: (0, 51)}
+
+
 @pytest.mark.parametrize("percent", [60, 80, 85])
 def test_search_finds_all_links(percent):
     rng = random.Random(percent)

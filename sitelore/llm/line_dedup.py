@@ -3,7 +3,7 @@ r"""Line de-duplication over levelled sorted runs of line hashes.
 A run is a table of (key hash, documents that hold the line, largest such doc_id), sorted by hash and unique per hash.
 `LineRuns` keeps runs in levels: every batch of documents is aggregated to a run of level 0, and when a level has
 `fan` runs they are merged to one run of the next level (counts add, the largest id wins). A lookup merges what is left.
-`dedup` feeds all documents in batches, then merge-anti-joins every line against the runs: a line goes if its key is
+`dedup` feeds all documents in batches, then joins every line once with the merged runs: a line goes if its key is
 frequent and a larger doc_id holds it too.
 
 A line's key is the line stripped of `[\x20\x09-\x0D]` at both ends with A-Z in lower case; two 64-bit hashes stand for

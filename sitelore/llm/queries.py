@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelore.llm import decontaminate, fingerprints, html_text, line_dedup, ngram_join, packing, sharding, suffix_dedup, token_files, toxicity
+from sitelore.llm import (decontaminate, fingerprints, html_text, importance, line_dedup, ngram_join, packing, sharding,
+                          suffix_dedup, token_files, toxicity)
 from sitelore.llm.common import documents, pages, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,8 @@ QUERIES: dict[str, Query] = {
     "op9_document_fingerprints":
         lambda spark, sf_dir: fingerprints.op9_document_fingerprints(documents(spark, sf_dir)),
     "op10_best_fit_packing": lambda spark, sf_dir: packing.op10_best_fit_packing(documents(spark, sf_dir)),
+    "op12_importance_resampling": lambda spark, sf_dir: importance.op12_importance_resampling(
+        documents(spark, sf_dir), table(spark, sf_dir, "benchmark")),
 }
 
 ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE}

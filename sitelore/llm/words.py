@@ -17,24 +17,66 @@ _BYTE[_SPACE] = 0
 _BARE = _BYTE.copy()
 _BARE[[c for c in range(33, 127) if not chr(c).isalnum()]] = 0
 _PLACE = mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+_NEAR = mix(np.zeros(1, np.uint64))[0] | np.uint64(1)
 _STEP = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x165667B19E3779F9)) | np.uint64(1)
 
 
+#: bytes hashed at a time; the temporaries take about 28 bytes for each
+_PIECE = 1 << 18
+
+
+def _weights(first: int, n: int) -> np.ndarray:
+    """Odd factors of the places first, first + 1, ... of a word, without a period."""
+    place = np.arange(first, first + n)
+    return _PLACE[place & 1023] * (mix((place >> 10).astype(np.uint64)) | np.uint64(1))
+
+
+def _sums(data: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The sum of byte value times place factor of the words that begin at `starts`; white space counts nothing."""
+    out = np.empty(len(starts), np.uint64)
+    ends = np.r_[starts[1:], len(data)]
+    k = 0
+    while k < len(starts):
+        begin = int(starts[k])
+        last = int(np.searchsorted(ends, begin + _PIECE, "right"))
+        if last > k:
+            own = starts[k:last]
+            part = table[data[begin:int(ends[last - 1])]]
+            place = np.arange(len(part)) - np.repeat(own - begin, ends[k:last] - own)
+            far = place >> 10
+            factor = _PLACE[place & 1023]
+            if far.any():
+                factor *= mix(far.astype(np.uint64)) | np.uint64(1)
+            else:
+                factor *= _NEAR
+            out[k:last] = np.add.reduceat(part * factor, own - begin)
+            k = last
+        else:  # one word, with the white space behind it, is longer than a piece
+            total = 0
+            for at in range(begin, int(ends[k]), _PIECE):
+                part = table[data[at:min(at + _PIECE, int(ends[k]))]]
+                total += int((part * _weights(at - begin, len(part))).sum(dtype=np.uint64))
+            out[k] = total % (1 << 64)
+            k += 1
+    return out
+
+
 def word_hashes(texts: list[bytes], bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): the words of text i are hashes[offsets[i]:offsets[i + 1]]. `bare` ignores ASCII punctuation
     at the end of words."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     space = _SPACE[data]
-    starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1  # words and white space take turns
+    if not space[0]:
+        edge = np.r_[0, edge]
+    starts, stops = edge[::2], edge[1::2]
     ends = np.cumsum([len(t) + 1 for t in texts])
     offsets = np.r_[0, np.searchsorted(starts, ends)]
     if not len(starts):
         return np.zeros(0, np.uint64), offsets
-    place = np.arange(len(data)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(data)]))
-    sums = np.add.reduceat((_BARE if bare else _BYTE)[data] * _PLACE[place & 1023], starts)
+    sums = _sums(data, starts, _BARE if bare else _BYTE)
     if bare:
         return mix(sums), offsets
-    stops = np.flatnonzero(space & np.r_[False, ~space[:-1]])
     return mix(sums + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), offsets
 
 

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelore.llm import (chosen_path, decontaminate, fingerprints, html_text, importance, line_dedup, ngram_join,
-                          packing, sharding, suffix_dedup, token_files, toxicity)
+from sitelore.llm import (chosen_path, decontaminate, fingerprints, hard_negatives, html_text, importance, line_dedup,
+                          ngram_join, packing, sharding, suffix_dedup, token_files, toxicity)
 from sitelore.llm.common import documents, pages, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,9 +26,10 @@ QUERIES: dict[str, Query] = {
     "op9_document_fingerprints":
         lambda spark, sf_dir: fingerprints.op9_document_fingerprints(documents(spark, sf_dir)),
     "op10_best_fit_packing": lambda spark, sf_dir: packing.op10_best_fit_packing(documents(spark, sf_dir)),
-    "op13_near_dedup": lambda spark, sf_dir: chosen_path.op13_near_dedup(documents(spark, sf_dir)),
+    "op11_hard_negatives": lambda spark, sf_dir: hard_negatives.op11_hard_negatives(table(spark, sf_dir, "embeddings")),
     "op12_importance_resampling": lambda spark, sf_dir: importance.op12_importance_resampling(
         documents(spark, sf_dir), table(spark, sf_dir, "benchmark")),
+    "op13_near_dedup": lambda spark, sf_dir: chosen_path.op13_near_dedup(documents(spark, sf_dir)),
 }
 
-ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE}

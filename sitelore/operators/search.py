@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sitelore.functions.chunked import top_per_key
 from sitelore.operators.assemble import by_score_confidence
 from sitelore.operators.search_text import build_postings, text_search
+from sitelore.operators.text_index import TextIndex, indexed_text_search
 from sitelore.operators.search_vector import cosine, vector_search
 
 DEFAULT_LIMIT = 20
@@ -33,20 +34,29 @@ class Filters:
         return entities
 
 
-def hybrid_search(entities: DataFrame, queries: DataFrame, postings: DataFrame | None = None,
+def _lexical(entities: DataFrame, queries: DataFrame, postings: DataFrame | TextIndex | None, filters: Filters, k: int,
+             analyzer: str, score: str) -> DataFrame:
+    kept = filters.apply(entities)
+    if isinstance(postings, TextIndex):
+        return indexed_text_search(kept, postings, queries, k, score, filters != Filters())
+    if postings is None:
+        postings = build_postings(kept, analyzer=analyzer)
+    return text_search(kept, postings, queries, k, analyzer, score)
+
+
+def hybrid_search(entities: DataFrame, queries: DataFrame, postings: DataFrame | TextIndex | None = None,
                   filters: Filters = Filters(), k: int = DEFAULT_LIMIT, rrf_k: int = 60, analyzer: str = "english",
                   score: str = "bm25") -> DataFrame:
     """H6: reciprocal rank fusion (Cormack et al. 2009) of the vector and the text branch, 3*k candidates each.
 
-    `queries` is (query_id, query, embedding). Both branches see the same filters; ties end with the id.
+    `queries` is (query_id, query, embedding). Both branches see the same filters; ties end with the id. `postings` is
+    the stored index of the entities, a table of postings, or nothing to build one for this call.
     """
     k = k or DEFAULT_LIMIT
     kept = filters.apply(entities)
-    if postings is None:
-        postings = build_postings(kept, analyzer=analyzer)
     nearest = vector_search(kept, queries, 3 * k).select(
         "query_id", "id", F.col("rank").alias("vector_rank"), F.col("similarity").alias("vector_similarity"))
-    lexical = text_search(kept, postings, queries, 3 * k, analyzer, score).select(
+    lexical = _lexical(entities, queries, postings, filters, 3 * k, analyzer, score).select(
         "query_id", "id", F.col("rank").alias("lexical_rank"))
     fused = nearest.join(lexical, ["query_id", "id"], "full_outer")
 
@@ -72,7 +82,7 @@ _RESULT = ("id", "category", "subcategory", "data", "domain", "confidence", "aie
 
 
 def search(entities: DataFrame, queries: DataFrame | None = None, mode: str = "hybrid", filters: Filters = Filters(),
-           k: int = DEFAULT_LIMIT, postings: DataFrame | None = None, analyzer: str = "english",
+           k: int = DEFAULT_LIMIT, postings: DataFrame | TextIndex | None = None, analyzer: str = "english",
            score: str = "bm25") -> DataFrame:
     """H9: one entry for all modes. Results carry the entity columns, without text and vector.
 
@@ -87,8 +97,7 @@ def search(entities: DataFrame, queries: DataFrame | None = None, mode: str = "h
         ranked = vector_search(kept, queries, k or DEFAULT_LIMIT).select(
             "query_id", "rank", "id", F.col("similarity").alias("vector_similarity"))
     elif mode == "text":
-        postings = postings if postings is not None else build_postings(kept, analyzer=analyzer)
-        ranked = text_search(kept, postings, queries, k or DEFAULT_LIMIT, analyzer, score).select(
+        ranked = _lexical(entities, queries, postings, filters, k or DEFAULT_LIMIT, analyzer, score).select(
             "query_id", "rank", "id", none)
     elif mode == "hybrid":
         ranked = hybrid_search(entities, queries, postings, filters, k, analyzer=analyzer, score=score).select(

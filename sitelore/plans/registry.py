@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sitelore import fixtures
+from sitelore.session import ensure_checkpoint_dir
 
 Plan = Callable[["Data"], DataFrame]
 
@@ -29,6 +31,21 @@ class Data:
     def sql(self, text: str) -> DataFrame:
         return fixtures.sql(self.spark, self.sf_dir, text)
 
+    def stored(self, name: str, build: Callable[[str], object]) -> str:
+        """The folder of an index over these tables. `build(folder)` writes it in the first call of an application;
+        later calls find it, unless the checkpoint folder has been emptied."""
+        context = self.spark.sparkContext
+        known = context.__dict__.setdefault("_sitelore_stored", {})
+        path = known.get((self.sf_dir, name))
+        if path is not None:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            if folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+                return path
+        path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/sitelore/{uuid.uuid4().hex}"
+        build(path)
+        known[(self.sf_dir, name)] = path
+        return path
+
 
 def query(name: str, views: str = "", oracle: str | None = None) -> Callable[[Plan], Plan]:
     """Register a plan. `oracle` is DuckDB SQL; `views` are the fixture CTEs placed in front of it."""

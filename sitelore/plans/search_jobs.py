@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitelore.operators import search, search_text, search_vector
+from sitelore.operators import search, search_text, search_vector, text_index, vector_index
 from sitelore.operators.entities import mean_pool
 from sitelore.operators.search import Filters
 from sitelore.plans.page_jobs import CENTROIDS
 from sitelore.plans.registry import Data, query
-from sitelore.session import cut_lineage
 
 # --- oracle parts -----------------------------------------------------------------------------------------
 
@@ -49,9 +48,10 @@ def _queries(d: Data):
     return _texts(d).withColumn("label", label).join(vectors, "label", "left").drop("label")
 
 
-def _stored(d: Data):
-    """The postings of the corpus, written once as a table; searches read it."""
-    return cut_lineage(search_text.build_postings(d.view("etext"), analyzer="plain"))
+def _stored(d: Data, analyzer: str = "plain"):
+    """The stored postings of the corpus."""
+    path = d.stored(f"text_{analyzer}", lambda folder: text_index.build_text_index(d.view("etext"), folder, analyzer))
+    return text_index.TextIndex(d.spark, path)
 
 
 # --- text -------------------------------------------------------------------------------------------------
@@ -73,7 +73,7 @@ def h1_english(d: Data):
 
 @query("h2_text_match", "etext", f", {_POSTINGS} SELECT query_id, id, tf FROM matched")
 def h2(d: Data):
-    return search_text.text_match(_stored(d), _texts(d), "plain")
+    return text_index.indexed_match(_stored(d), _texts(d))
 
 
 @query("h3_text_search_tf", "etext", f""", {_POSTINGS}
@@ -82,7 +82,7 @@ SELECT query_id, CAST(rank AS INT) AS rank, id, text_rank, aieo_score FROM (
     PARTITION BY query_id ORDER BY m.tf DESC, e.aieo_score DESC, m.id) AS rank FROM matched m JOIN etext e ON e.id = m.id)
 WHERE rank <= 20""")
 def h3_tf(d: Data):
-    return search_text.text_search(d.view("etext"), _stored(d), _texts(d), 20, "plain", "tf")
+    return text_index.indexed_text_search(d.view("etext"), _stored(d), _texts(d), 20, "tf", filtered=False)
 
 
 @query("h3_text_search_bm25", "etext", f""", {_POSTINGS},
@@ -98,10 +98,29 @@ r AS (SELECT query_id, s.id, round(s, 12) AS text_rank, e.aieo_score FROM scored
 SELECT query_id, CAST(rank AS INT) AS rank, id, round(text_rank, 6) AS text_rank, aieo_score FROM (SELECT *, row_number() OVER (
   PARTITION BY query_id ORDER BY text_rank DESC, aieo_score DESC, id) AS rank FROM r) WHERE rank <= 20""")
 def h3(d: Data):
-    out = search_text.text_search(d.view("etext"), _stored(d), _texts(d), 20, "plain")
+    out = text_index.indexed_text_search(d.view("etext"), _stored(d), _texts(d), 20, filtered=False)
     return out.withColumn("text_rank", F.round("text_rank", 6))
 
 
+_COMMON = "SELECT item_id AS query_id, regexp_extract(lower(text), '[a-z0-9]+', 0) AS query FROM {t}benchmark"
+
+
+@query("h3_rows_read", "etext", f""", {_POSTINGS}, one AS ({_COMMON.format(t='')}),
+df AS (SELECT token, count(*) AS df FROM post GROUP BY token)
+SELECT query_id, df AS stored, false AS read_too_much FROM one JOIN df ON token = query""")
+def h3_rows_read(d: Data):
+    """Postings stored for one-word queries, and whether the 20 best of a common word took a tenth of them or more."""
+    words = d.sql(_COMMON.format(t="@"))
+    _, read = text_index.indexed_scores(_stored(d), words, 20)
+    return read.select("query_id", "stored", ((F.col("stored") > 1000) & (F.col("read") * 10 > F.col("stored"))).alias(
+        "read_too_much"))
+
+
+@query("h3_text_search_english")
+def h3_english(d: Data):
+    return text_index.indexed_text_search(d.view("etext"), _stored(d, "english"), _texts(d), 20, filtered=False)
+
+
 # --- vectors ----------------------------------------------------------------------------------------------
 
 def _ranked(k: int) -> str:
@@ -126,6 +145,32 @@ def h5(d: Data):
     return search_vector.lsh_search(d.view("etext"), _centroids(d), 20)
 
 
+def _vector_index(d: Data):
+    path = d.stored("vectors", lambda folder: vector_index.build_vector_index(d.view("etext"), folder))
+    return vector_index.VectorIndex(d.spark, path)
+
+
+def _near(d: Data):
+    """20 hits per centroid: three quarters of the cells are looked up, as the vectors hardly cluster, and a twentieth of
+    the rows is compared."""
+    index = _vector_index(d)
+    return index, vector_index.indexed_search(index, _centroids(d), 20, 48, max(40, index.rows // 20))
+
+
+@query("h5_ivf_search")
+def h5_ivf(d: Data):
+    return _near(d)[1]
+
+
+@query("h5_ivf_recall", oracle="SELECT count(DISTINCT label) AS queries, true AS recall_reached, true AS compared_kept FROM embeddings")
+def h5_recall(d: Data):
+    """Recall at 20 of 0.9 against the exact search, with at most a tenth of the rows compared in full."""
+    index, near = _near(d)
+    report = vector_index.recall_report(search_vector.vector_search(d.view("etext"), _centroids(d), 20), near, index.rows)
+    return report.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("recall_reached"),
+                      (F.max("compared_share") <= 0.1).alias("compared_kept"))
+
+
 # --- fusion and entry point -------------------------------------------------------------------------------
 
 _FUSED = f""", {_POSTINGS}, {_VECTORS.format(source='etext')},

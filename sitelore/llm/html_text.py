@@ -7,10 +7,12 @@ trained on labelled pages and decoded by Viterbi over the blocks of a page.
 
 The pages have no labels, so labelled ones are made from a sample of at most TRAIN_PAGES pages (by hash of page_id, html
 up to TRAIN_CHARS characters): blocks inside article or main, but not inside elements that are never main text, count as
-main text of the page; and their paragraphs are laid out anew in LAYOUTS other page frames whose parts carry their label.
+main text of the page; and their first PARAGRAPHS paragraphs are laid out anew in LAYOUTS other page frames whose parts
+carry their label. These bounds concern the sample only.
 
 Defined cases: null or empty html gives the empty text; broken markup is read as far as it goes (a stray < is text, an
-unclosed script swallows the rest); character references decode once; null ids and urls stay; repeated rows are read one
+unclosed script swallows the rest; a tag whose quote stays open ends at the next >); attributes of a page never label it;
+time and memory are linear in a page's size, however deep its elements; character references decode once; null ids and urls stay; repeated rows are read one
 by one; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -29,6 +31,10 @@ from pyspark.sql import functions as F
 from sitelore.llm.common import large
 
 TRAIN_PAGES, TRAIN_CHARS, LAYOUTS, EPOCHS = 120, 60_000, 6, 10
+#: paragraphs of a sampled page that are laid out anew, and the length from which a paragraph does not fill frames
+PARAGRAPHS, FILLER_CHARS = 40, 600
+#: sampled pages with deeper elements are not trained on
+TRAIN_DEPTH = 200
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option "
@@ -45,32 +51,57 @@ _FENCE = frozenset("table td th button div article section main aside nav header
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']+|\"[^\"]*\"|'[^']*')*+)>"
                     r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|<[!?][^>]*>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_OPEN_COMMENT = re.compile(r"<!--.*\Z", re.S)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+class Element:
+    """An open element on the way to a block. `fresh` are its tag, class and id words that no element above it has, so a
+    deep path costs a block no more than its own element."""
+
+    __slots__ = ("above", "tag", "words", "fresh", "label", "depth")
+
+    def __init__(self, above: Element | None, tag: str, words: tuple[str, ...], fresh: tuple[str, ...], label: int | None):
+        self.above, self.tag, self.words, self.fresh, self.label = above, tag, words, fresh, label
+        self.depth = above.depth + 1 if above else 1
+
+
 class Block(NamedTuple):
     text: str
-    path: tuple[str, ...]  # of each ancestor: its tag, then its class and id words
+    element: Element | None
     linked: int  # characters inside links
-    label: int | None  # from data-y of the nearest ancestor that has it
+    label: int | None  # of the nearest ancestor that has one; in labelled pages only
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Of each ancestor: its tag, then its class and id words."""
+        out: list[tuple[str, ...]] = []
+        element = self.element
+        while element is not None:
+            out.append((f"<{element.tag}>", *element.words))
+            element = element.above
+        return tuple(w for words in reversed(out) for w in words)
 
-def _words(attributes: str) -> tuple[tuple[str, ...], int | None]:
+
+def _words(attributes: str, labelled: bool) -> tuple[tuple[str, ...], int | None]:
     words, label = [], None
     if "=" in attributes:
         for name, a, b, c in _NAMED.findall(attributes):
             value = a or b or c
-            if name.lower() == "data-y":
-                label = int(value)
-            else:
+            if name.lower() != "data-y":
                 words += [w.lower() for w in _PART.findall(value)]
+            elif labelled:
+                label = int(value)
     return tuple(words), label
 
 
-def blocks(page: str | None) -> list[Block]:
+def blocks(page: str | None, labelled: bool = False) -> list[Block]:
+    """The leaf blocks of a page, in time and memory linear in its size. `labelled` reads the labels of `layout`."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], int | None]] = []
+    stack: list[Element] = []
+    places: dict[str, list[int]] = {}  # of the open elements, by tag
+    seen: dict[str, int] = {}  # words of the open elements
     text: list[str] = []
     linked = dropped = 0
 
@@ -79,36 +110,53 @@ def blocks(page: str | None) -> list[Block]:
         if text:
             joined = " ".join(html_lib.unescape("".join(text)).split())
             if joined:
-                path = tuple(w for tag, words, _ in stack for w in (f"<{tag}>", *words))
-                label = next((y for _, _, y in reversed(stack) if y is not None), None)
-                out.append(Block(joined, path, linked, label))
+                last = stack[-1] if stack else None
+                out.append(Block(joined, last, linked, last.label if last else None))
             text.clear()
         linked = 0
 
+    def push(tag: str, attributes: str) -> None:
+        nonlocal dropped
+        words, label = _words(attributes, labelled)
+        own = tuple(dict.fromkeys((f"<{tag}>", *words)))
+        fresh = tuple(w for w in own if not seen.get(w))
+        for w in own:
+            seen[w] = seen.get(w, 0) + 1
+        above = stack[-1] if stack else None
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(Element(above, tag, words, fresh, label if label is not None or above is None else above.label))
+        dropped += tag in _DROP
+
     def pop(index: int) -> None:
         nonlocal dropped
         while len(stack) > index:
-            dropped -= stack.pop()[0] in _DROP
+            element = stack.pop()
+            places[element.tag].pop()
+            for w in {f"<{element.tag}>", *element.words}:
+                seen[w] -= 1
+            dropped -= element.tag in _DROP
+
+    def last(tags: tuple[str, ...] | frozenset) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
 
     def nearest(tags: tuple[str, ...] | frozenset, fence: frozenset) -> int | None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                return k
-            if stack[k][0] in fence:
-                return None
-        return None
-
-    at = 0
+        k = last(tags)
+        return k if k >= 0 and k >= last(fence) else None
+
+    at, end_of_tags = 0, page.rfind(">")
     while at < len(page):
-        token = _TOKEN.search(page, at)
+        # behind the last > nothing can be a tag, only an unclosed comment
+        token = _TOKEN.search(page, at) if at <= end_of_tags else _OPEN_COMMENT.search(page, at)
         piece = page[at:token.start()] if token else page[at:]
         if piece and not dropped:
             text.append(piece)
-            if any(t[0] == "a" for t in stack):
+            if places.get("a"):
                 linked += len(piece)
         if not token:
             break
         at = token.end()
+        if token.re is _OPEN_COMMENT:
+            continue
         tag = (token[2] or token[5] or "").lower()
         if not tag:
             continue
@@ -129,9 +177,7 @@ def blocks(page: str | None) -> list[Block]:
             pop(k)
         if tag in _VOID:
             continue
-        attributes = token[3] or token[6] or ""
-        stack.append((tag, *_words(attributes)))
-        dropped += tag in _DROP
+        push(tag, token[3] or token[6] or "")
         if tag in _RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             if tag == "title" and end and not dropped:
@@ -162,17 +208,32 @@ class Crf:
 
     def __init__(self, weights: dict[str, float], transition: np.ndarray, first: np.ndarray):
         self.weights, self.transition, self.first = weights, transition, first
-        self.by_path: dict[tuple[str, ...], float] = {}
 
     def score(self, found: list[Block]) -> list[float]:
-        out = []
+        weight = self.weights.get
+        inside: dict[int, float] = {}  # by element: the weights of all words on its path
+
+        def path(element: Element | None) -> float:
+            new = []
+            while element is not None and id(element) not in inside:
+                new.append(element)
+                element = element.above
+            total = inside[id(element)] if element is not None else 0.0
+            for one in reversed(new):
+                total += sum(weight("in " + w, 0.0) for w in one.fresh)
+                inside[id(one)] = total
+            return total
+
+        out, known = [], {}
         for k, b in enumerate(found):
-            path = self.by_path.get(b.path)
-            if path is None:
-                path = sum(self.weights.get(f, 0.0) for f in path_features(b.path))
-                if len(self.by_path) < 50_000:
-                    self.by_path[b.path] = path
-            out.append(path + sum(self.weights.get(f, 0.0) for f in text_features(b, k, len(found))))
+            value = known.get(id(b.element))
+            if value is None:
+                value = path(b.element)
+                own = f"<{b.element.tag}>" if b.element else ""
+                two = f"<{b.element.above.tag}> {own}" if b.element and b.element.above else own
+                value += weight("own " + own, 0.0) + weight("two " + two, 0.0)
+                known[id(b.element)] = value
+            out.append(value + sum(weight(f, 0.0) for f in text_features(b, k, len(found))))
         return out
 
     def decode(self, found: list[Block]) -> list[int]:
@@ -319,14 +380,15 @@ def fit(pages: DataFrame, html: str = "html", row_id: str = "page_id") -> Crf:
     sample = (usable.filter(F.col("__h") <= F.lit(chosen)).orderBy("__h", html).limit(TRAIN_PAGES).select(html).collect()
               if chosen is not None else [])
     found = [blocks(r[0]) for r in sample]
+    found = [f for f in found if all(b.element is None or b.element.depth <= TRAIN_DEPTH for b in f)]
     labels = [rule_labels(f) for f in found]
     texts = [[b.text for b, y in zip(f, l) if y] for f, l in zip(found, labels)]
     texts = [t for t in texts if t] or [["Some text, and more of it.", "It goes on here."]]
     rng = np.random.default_rng(17)
-    other = [t for one in texts for t in one if len(t) < 600]
+    other = [t for one in texts for t in one if len(t) < FILLER_CHARS]
     for one in texts:
         for _ in range(LAYOUTS):
-            made = blocks(layout(one[:40], other, rng))
+            made = blocks(layout(one[:PARAGRAPHS], other, rng), labelled=True)
             found.append(made)
             labels.append([b.label or 0 for b in made])
     return train(found, labels)

@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -195,13 +196,61 @@ def test_page_model_on_held_out_layouts(spark, sf_dir):
     other = [t for one in texts for t in one if len(t) < 400]
     wrong = total = 0
     for one in texts:
-        blocks = html_text.blocks(html_text.layout(one, other, rng))
+        blocks = html_text.blocks(html_text.layout(one, other, rng), labelled=True)
         labels = [b.label or 0 for b in blocks]
         wrong += sum(a != b for a, b in zip(labels, model.decode(blocks)))
         total += len(labels)
     assert wrong <= 0.03 * total
 
 
+def test_hostile_pages_are_read_in_linear_time(spark):
+    model = html_text.Crf({"in <div>": 1.0, "own <p>": 0.5}, np.zeros((2, 2)), np.zeros(2))
+    n = 50_000
+    pages = ["<div>x" * n, '<a "' * n, '<a "' * n + ">", "<a '\"" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<!" * n, "<" * n,
+             "".join(f"<div class=c{k}>t" for k in range(n)), "<!--" * n, "</p>" * n, "<p class=" * n, "&" * n,
+             "<li>a" * n, "<script>" * n, "<table><td>y" * (n // 2)]
+    begin = time.time()
+    found = [model.text(p) for p in pages]
+    assert time.time() - begin < 60
+    assert found[0].count("\n") == n - 1
+    rows = [(k, "u", p) for k, p in enumerate(pages + ["<div data-y='left'>text</div>", "<div data-y=''>a</div>", "<p data-y=1>b"])]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert html_text.op3_html_extraction(table).count() == len(rows)
+    assert html_text.blocks("<p data-y=1>b")[0].label is None
+
+
+#: frames that `layout` does not make: (page, its main text)
+FRAMES = [
+    ("<body><div class='wrapper'><div id='top-menu'><a href=/>Home</a> <a href=/n>News</a> <a href=/c>Contact</a></div>"
+     "<div class='article-body'><h1>{0}</h1><p>{1}</p><p>{2}</p></div><div class='footer-links'><a href=/i>Imprint</a> "
+     "<a href=/p>Privacy</a></div></div></body>", (0, 1, 2)),
+    ("<body><header><nav><a href=/a>Start</a><a href=/b>About us</a></nav></header><main><article><h1>{0}</h1><section>"
+     "<p>{1}</p><blockquote>{2}</blockquote></section></article></main><aside><h4>Read more</h4><ul><li><a href=/x>One</a>"
+     "<li><a href=/y>Two</a></ul></aside><footer>Copyright 2024</footer></body>", (0, 1, 2)),
+    ("<body><ul class='nav'><li><a href=/>Home</a></li><li><a href=/s>Shop</a></li></ul><div class='content'><p>{1}</p><p>{2}</p>"
+     "<div class='comments'><p>Nice one!</p><p>I disagree.</p></div></div><div class='cookie-notice'>We use cookies. <button>OK"
+     "</button></div></body>", (1, 2)),
+    ("<body><table><tr><td class='sidebar'><a href=/1>Archive</a><br><a href=/2>Tags</a></td><td class='post'><h2>{0}</h2><p>{1}"
+     "</p><p>{2}</p></td></tr></table><div id='footer'><p>All rights reserved.</p></div></body>", (0, 1, 2)),
+    ("<body><form class='search'><input name=q><button>Search</button></form><section class='story'><p>{1}</p><ul><li>{2}</li></ul>"
+     "</section><div class='ad-box'>Buy now!</div><div class='newsletter'>Sign up for our letter</div></body>", (1, 2)),
+]
+
+
+def test_page_model_on_frames_written_by_hand(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    model = html_text.fit(pages)
+    texts = [t for t in (text_by_hand(r["html"]).split("\n") for r in pages.limit(40).collect()) if len(t) >= 3]
+    wrong = total = 0
+    for one in texts:
+        for frame_, kept in FRAMES:
+            got = model.text(frame_.format(*(p.replace("&", "&amp;").replace("<", "&lt;") for p in one[:3]))).split("\n")
+            want = [" ".join(one[k].split()) for k in kept]
+            wrong += len(set(want) ^ set(got))
+            total += len(want)
+    assert total and wrong <= 0.1 * total, (wrong, total)
+
+
 def test_blocks_and_viterbi(spark):
     page = ("<HTML><head><title>no</title><script>var a = '<p>no</p>';</script></head><body><!-- <p>no --><div class='Main-Text'>"
             "one &amp; <b>two</b>\n three<br>four<p>five<p>six <a href='x>y'>seven</a></div>a < b &copy<ul><li>x<li>y</ul>"

@@ -150,3 +150,10 @@ ALERT_RULES = (  # metric, operator, threshold
 
 LEGAL_SUFFIXES = ("pty ltd", "pty limited", "proprietary limited", "ltd", "limited", "inc", "llc", "corp",
                   "corporation", "company", "co", "australia")
+
+#: fixed values: words of addresses and their usual short forms
+ADDRESS_WORDS = {
+    "avenue": "ave", "boulevard": "blvd", "building": "bldg", "court": "ct", "drive": "dr", "floor": "fl", "highway": "hwy",
+    "lane": "ln", "level": "lvl", "parade": "pde", "place": "pl", "road": "rd", "square": "sq", "street": "st", "suite": "ste",
+    "terrace": "tce",
+}

@@ -5,10 +5,10 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelore.constants import (ALERT_RULES, CATEGORIES, LEGAL_SUFFIXES, PAGE_TYPES, SUBMISSION_STATUSES)
+from sitelore.constants import (ADDRESS_WORDS, ALERT_RULES, CATEGORIES, LEGAL_SUFFIXES, PAGE_TYPES, SUBMISSION_STATUSES)
 from sitelore.functions.chunked import running
 from sitelore.functions.times import days_before
 from sitelore.session import cut_lineage, spread
@@ -22,125 +22,95 @@ def normal_name(name: Column) -> Column:
     return F.regexp_replace(plain, _SUFFIX, "")
 
 
-def name_groups(entities: DataFrame) -> DataFrame:
-    """(category, domain, name, rep, n): entities of equal normal name under their smallest id."""
-    named = entities.select("category", "domain", "id", normal_name(F.get_json_object("data", "$.name")).alias("name"))
-    return (named.filter(F.col("name") != "").groupBy("category", "domain", "name")
-            .agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+def normal_address(address: Column) -> Column:
+    """Lower-case letters and digits with single blanks; common words of streets and units in their short form."""
+    plain = F.trim(F.regexp_replace(F.lower(address), r"[^\p{L}\p{N}]+", " "))
+    for word, short in ADDRESS_WORDS.items():
+        plain = F.regexp_replace(plain, rf"\b{word}\b", short)
+    return plain
 
 
-def _piece_bounds(length: Column, k: Column, i: Column) -> tuple[Column, Column]:
-    """1-based start and size of piece i when a text of `length` is cut into k nearly equal pieces."""
-    size = F.floor(length / k)
-    short = k - length % k
-    start = i * size + F.greatest(F.lit(0), i - short) + 1
-    return start.cast("int"), (size + F.when(i >= short, 1).otherwise(0)).cast("int")
+def _named(entities: DataFrame, address: str | None) -> tuple[DataFrame, list[str]]:
+    """(category, domain[, address], id, name) and the columns that duplicates share."""
+    keys = ["category", "domain"]
+    name = normal_name(F.get_json_object("data", "$.name")).alias("name")
+    if address is None:
+        return entities.select(*keys, "id", name), keys
+    place = normal_address(F.get_json_object("data", address)).alias("address")
+    return entities.select(*keys, place, "id", name).filter(F.col("address") != ""), [*keys, "address"]
 
 
-def _indexes(only: Column | None) -> Column:
-    every = F.sequence(F.lit(0), F.col("k") - 1)
-    return every if only is None else F.when(only, every).otherwise(F.array(F.lit(-1)))
+def name_groups(entities: DataFrame, address: str | None = None) -> DataFrame:
+    """(category, domain[, address], name, rep, n): entities of equal normal name under their smallest id."""
+    named, keys = _named(entities, address)
+    return named.filter(F.col("name") != "").groupBy(*keys, "name").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
 
 
-def _cut(df: DataFrame, text: str, length: Column, suffix: str, only: Column | None = None) -> DataFrame:
-    """Explode `text` into its k pieces: adds i, piece and the rest of the text without the piece.
-
-    Rows outside `only` stay whole, with piece number -1.
-    """
-    i = f"i{suffix}"
-    df = df.select("*", F.explode(_indexes(only)).alias(i))
-    start, size = _piece_bounds(length, F.col("k"), F.col(i))
-    whole, cut = F.col(text), F.col(i) >= 0
-    return df.withColumn(f"piece{suffix}", F.when(cut, whole.substr(start, size)).otherwise("")).withColumn(
-        f"rest{suffix}", F.concat(whole.substr(F.lit(1), start - 1), whole.substr(start + size, F.length(text))))
-
-
-def _probe(df: DataFrame, text: str, length: Column, suffix: str, only: Column | None = None) -> DataFrame:
-    """Explode `text` into the substrings that a piece of a partner text of `length` may equal.
-
-    Needs b and a (both full lengths), d (most edits) and k. A piece untouched by at most d edits starts no further
-    from its own start than the bounds below allow.
-    """
-    i = f"i{suffix}"
-    df = df.select("*", F.explode(_indexes(only)).alias(i))
-    start, size = _piece_bounds(length, F.col("k"), F.col(i))
-    delta = F.col("b") - F.col("a")
-    low = -F.floor((F.col("d") - delta) / 2).cast("int")
-    high = F.floor((F.col("d") + delta) / 2).cast("int")
-    cut = F.col(i) >= 0
-    df = df.withColumn("__start", start).withColumn("__size", size)
-    df = df.select("*", F.explode(F.when(cut, F.sequence(low, high)).otherwise(F.array(F.lit(0)))).alias("__shift"))
-    at = F.col("__start") + F.col("__shift")
-    whole = F.col(text)
-    df = df.filter(~cut | ((at >= 1) & (at + F.col("__size") - 1 <= F.length(text))))
-    return df.withColumn(f"piece{suffix}", F.when(cut, whole.substr(at, F.col("__size"))).otherwise("")).withColumn(
-        f"rest{suffix}", F.concat(whole.substr(F.lit(1), at - 1), whole.substr(at + F.col("__size"), F.length(text)))
-    ).drop("__start", "__size", "__shift")
-
-
-def similar_names(groups: DataFrame, percent: int = 85, dense: int = 256) -> DataFrame:
+def similar_names(groups: DataFrame, percent: int = 85, q: int = 2, keys: list[str] | None = None) -> DataFrame:
     """Pairs of representatives in one (category, domain) whose name similarity 1 - distance/longest exceeds
     `percent`.
 
-    Exact and without comparing whole blocks. Partners of a name of length a differ by at most d edits, so of its d+1
-    pieces at least one occurs unchanged in the partner, hardly shifted. Pieces and possible substrings are joined by
-    equality and verified inside the join. Where more than `dense` names share a piece, the same holds for what is left
-    of both names, so those groups are joined on a second piece as well.
+    Exact, without comparing whole blocks. One edit changes at most q of a name's q-grams, so of the q * d + 1 rarest
+    q-grams of two names with at most d edits, one occurs in both, shifted by at most d (Xiao, Wang, Lin 2008). Only
+    those are joined, with bounds on the lengths and the shift, and verified inside the join. A name makes q * d + 1
+    rows, which is linear in its length. Rarity is counted in the block, so words that a whole block shares are not
+    joined. Names too short for q * d + 1 grams, which exist for a `percent` below 60 only, meet in a gram of their own.
     """
+    keys = keys or ["category", "domain"]
     gap = 100 - percent
 
     def edits(length: Column) -> Column:  # most edits d with d / length < gap / 100
         return F.floor((length * gap - 1) / 100).cast("int")
 
-    def pieces(length: Column) -> Column:  # one more than the edits of the longest possible partner
-        longest = F.ceil(length * 100 / percent).cast("int") - 1
-        return edits(F.greatest(longest, length)) + 1
-
-    base = groups.select("category", "domain", "name", "rep", F.length("name").alias("len")).filter("len > 0")
-    base = spread(base, "rep")
-    left = base.select("category", "domain", F.col("len").alias("a"), F.col("name").alias("name_a"),
-                       F.col("rep").alias("rep_a"), pieces(F.col("len")).alias("k"))
-    left = _cut(left, "name_a", F.col("a"), "")
-    right = base.select("category", "domain", F.col("len").alias("b"), F.col("name").alias("name_b"),
-                        F.col("rep").alias("rep_b"), edits(F.col("len")).alias("d"))
-    right = right.select("*", F.explode(F.sequence(F.greatest(F.lit(1), F.col("b") - F.col("d")), F.col("b"))).alias("a"))
-    right = _probe(right.withColumn("k", pieces(F.col("a"))), "name_b", F.col("a"), "")
-
-    keys = ["category", "domain", "a", "i", "piece"]
-    crowded = left.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > dense).select(
-        *keys, F.lit(True).alias("crowded"))
-    size = F.length("piece")
-    again = F.col("crowded").isNotNull()
-    left = _cut(left.join(crowded, keys, "left"), "rest", F.col("a") - size, "2", again)
-    right = _probe(right.join(crowded, keys, "left"), "rest", F.col("a") - size, "2", again)
-
-    on = [*keys, "i2", "piece2"]
-    x = left.select(*on, "name_a", "rep_a").alias("l")
-    y = right.select(*on, "name_b", "rep_b", "b", "d").alias("r")
+    base = groups.select(*keys, "name", "rep", F.length("name").alias("len")).filter("len > 0")
+    longest = F.greatest(F.ceil(F.col("len") * 100 / percent).cast("int") - 1, F.col("len"))  # of a partner
+    base = spread(base, "rep").withColumn("d", edits(longest))
+    pad = F.concat(F.lit("\u0001" * (q - 1)), "name", F.lit("\u0002" * (q - 1)))
+    count = F.col("len") + (q - 1)
+    rows = base.select("*", pad.alias("__pad"), count.alias("__count")).select(
+        *keys, "rep", "name", "len", "d", "__count", "__pad", F.explode(F.sequence(F.lit(1), F.col("__count"))).alias("pos"))
+    rows = rows.withColumn("gram", F.col("__pad").substr(F.col("pos"), F.lit(q))).drop("__pad")
+    common = rows.groupBy(*keys, "gram").agg(F.count("*").alias("df"))
+    rare = Window.partitionBy(*keys, "rep").orderBy("df", "gram", "pos")
+    prefix = rows.join(common, [*keys, "gram"]).withColumn("k", F.row_number().over(rare)).filter(
+        F.col("k") <= q * F.col("d") + 1)
+    prefix = prefix.select(*keys, "gram", "pos", "rep", "name", "len")
+    # the shortest partner of a name may have no more than q * d grams
+    partner = F.col("len") - edits(F.col("len"))
+    short = (count < q * F.col("d") + 1) | (partner + (q - 1) < q * edits(F.col("len")) + 1)
+    whole = base.filter(short).select(*keys, F.lit("").alias("gram"), F.lit(0).alias("pos"), "rep", "name", "len")
+    grams = cut_lineage(prefix.unionByName(whole))
+
+    on = [*keys, "gram"]
+    x = grams.select(*on, F.col("pos").alias("i"), F.col("name").alias("a"), F.col("rep").alias("rep_a"),
+                     F.col("len").alias("m")).alias("l")
+    y = grams.select(*on, F.col("pos").alias("j"), F.col("name").alias("b"), F.col("rep").alias("rep_b"),
+                     F.col("len").alias("n")).alias("r")
     same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on]
-    once = (F.col("r.b") > F.col("l.a")) | (F.col("l.name_a") < F.col("r.name_b"))
-    distance = F.levenshtein("l.name_a", "r.name_b")
-    close = (distance <= F.col("r.d")) & (F.col("l.name_a") != F.col("r.name_b"))
-    pairs = x.join(y, reduce(lambda p, q: p & q, [*same, once, close])).select(
-        F.col("l.category").alias("category"), F.col("l.domain").alias("domain"),
-        F.least("l.rep_a", "r.rep_b").alias("id_a"), F.greatest("l.rep_a", "r.rep_b").alias("id_b"),
-        (1 - distance / F.col("r.b")).alias("similarity"))
+    once = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") < F.col("b")))
+    most = edits(F.col("n"))
+    near = (F.col("n") - F.col("m") <= most) & (F.abs(F.col("i") - F.col("j")) <= most)
+    pairs = x.join(y, reduce(lambda s, t: s & t, [*same, once, near, F.levenshtein("a", "b") <= most])).select(
+        *[F.col(f"l.{c}").alias(c) for c in keys], F.least("rep_a", "rep_b").alias("id_a"),
+        F.greatest("rep_a", "rep_b").alias("id_b"), (1 - F.levenshtein("a", "b") / F.col("n")).alias("similarity"))
     return pairs.dropDuplicates(["id_a", "id_b"])
 
 
-def find_duplicates(entities: DataFrame, percent: int = 85) -> DataFrame:
+def find_duplicates(entities: DataFrame, percent: int = 85, address: str | None = None) -> DataFrame:
     """L1: (id_a, id_b, similarity) of probable duplicates in one category and domain.
 
-    Entities of equal normal name are linked to the smallest id of their group (one row per entity, never all pairs);
-    similar names are linked between those representatives.
+    With `address`, a JSON path of the payload such as "$.address", they must have the same normal address too;
+    entities without one have no duplicates. Entities of equal normal name are linked to the smallest id of their group
+    (one row per entity, never all pairs); similar names are linked between those representatives.
     """
-    groups = name_groups(entities)
-    members = entities.select("category", "domain", "id", normal_name(F.get_json_object("data", "$.name")).alias("name"))
-    repeated = groups.filter("n > 1").select("category", "domain", "name", "rep")
-    copies = (members.join(repeated, ["category", "domain", "name"]).filter(F.col("id") != F.col("rep"))
+    members, keys = _named(entities, address)
+    groups = name_groups(entities, address)
+    repeated = groups.filter("n > 1").select(*keys, "name", "rep")
+    copies = (members.join(repeated, [*keys, "name"]).filter(F.col("id") != F.col("rep"))
               .select("category", "domain", F.col("rep").alias("id_a"), F.col("id").alias("id_b"),
                       F.lit(1.0).alias("similarity")))
-    return copies.unionByName(similar_names(groups, percent))
+    found = similar_names(groups, percent, keys=keys)
+    return copies.unionByName(found.select("category", "domain", "id_a", "id_b", "similarity"))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

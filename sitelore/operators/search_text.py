@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelore.functions.chunked import top_per_key
@@ -121,19 +121,56 @@ def text_search(entities: DataFrame, postings: DataFrame, queries: DataFrame, k:
     return top_per_key(joined, ["query_id"], order, k).select("query_id", "rank", "id", "text_rank", "aieo_score")
 
 
+def _grams(df: DataFrame, key: str, text: Column, size: str) -> DataFrame:
+    found = df.select(key, trigrams(F.coalesce(text, F.lit(""))).alias("g"))
+    return found.select(key, F.size("g").alias(size), F.explode("g").alias("gram"))
+
+
+def _prefixes(grams: DataFrame, keys: DataFrame, key: str, size: str, threshold: float) -> DataFrame:
+    """(key, size, pos, gram): the n - ceil(t n) + 1 first grams of each text by (rarity, gram). Grams that only one side
+    has come first; they take places and need not be looked up."""
+    order = Window.partitionBy(key).orderBy("rarity", "gram")
+    known = grams.join(keys, "gram")
+    placed = known.withColumn("k", F.row_number().over(order)).withColumn(
+        "known", F.count("*").over(Window.partitionBy(key)))
+    at = F.col(size) - F.col("known") + F.col("k")
+    last = F.col(size) - F.ceil(F.col(size) * threshold - 1e-9) + 1
+    return placed.withColumn("pos", at).filter(F.col("pos") <= last).select(key, size, "pos", "gram")
+
+
+def trigram_candidates(docs: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
+    """(query_id, id) of the pairs that prefix, size and position leave of rows (id, n_doc, gram), (query_id, n_query, gram).
+
+    Texts of similarity t share one of their n - ceil(t n) + 1 rarest grams, their sizes differ by no more than t, and
+    from the first shared gram on enough grams are left on both sides.
+    """
+    frequency = docs.groupBy("gram").agg(F.count("*").alias("df"))
+    keys = cut_lineage(asked.groupBy("gram").agg(F.count("*").alias("qf")).join(frequency, "gram").select(
+        "gram", (F.col("qf") * F.col("df")).alias("rarity")))
+    left = _prefixes(docs, keys, "id", "n_doc", threshold)
+    right = _prefixes(asked, keys, "query_id", "n_query", threshold).withColumnRenamed("pos", "at")
+    a, b = F.col("n_doc"), F.col("n_query")
+    size = (F.least(a, b) >= F.greatest(a, b) * threshold - 1e-9)
+    need = F.ceil((a + b) * (threshold / (1 + threshold)) - 1e-9)
+    place = 1 + F.least(a - F.col("pos"), b - F.col("at")) >= need
+    return left.join(right, "gram").filter(size & place).select("query_id", "id", "n_query", "n_doc").distinct()
+
+
 def trigram_search(df: DataFrame, queries: DataFrame, threshold: float = 0.3, k: int | None = None,
                    id_col: str = "id", text_col: str = "data") -> DataFrame:
     """(query_id, id, similarity) of texts whose trigram Jaccard similarity reaches `threshold`.
 
-    Only trigrams that occur in a query leave the scan, and shared ones are counted by an aggregate that combines
-    inside each task.
+    Candidates come from the rarest grams only (see `trigram_candidates`); the shared grams of a candidate are counted
+    by joining both texts' grams that occur on the other side at all.
     """
-    grams = trigrams(F.coalesce(text_col, F.lit("")))
-    docs = df.select(F.col(id_col).alias("id"), grams.alias("g"))
-    docs = docs.select("id", F.size("g").alias("n_doc"), F.explode("g").alias("gram"))
-    asked = queries.select("query_id", trigrams(F.col("query")).alias("g"))
-    asked = asked.select("query_id", F.size("g").alias("n_query"), F.explode("g").alias("gram"))
-    shared = docs.join(asked, "gram").groupBy("query_id", "id", "n_doc", "n_query").agg(F.count("*").alias("n"))
+    docs = _grams(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")), "id", F.col("__text"), "n_doc")
+    asked = cut_lineage(_grams(queries, "query_id", F.col("query"), "n_query"))
+    docs = cut_lineage(docs.join(asked.select("gram").distinct(), "gram", "left_semi"))
+    pairs = cut_lineage(trigram_candidates(docs, asked, threshold))
+    texts = docs.join(pairs.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_list("gram").alias("g"))
+    sought = asked.groupBy("query_id").agg(F.collect_list("gram").alias("h"))
+    n = F.size(F.array_intersect("g", "h"))
+    shared = pairs.join(texts, "id").join(sought, "query_id").withColumn("n", n)
     similarity: Column = F.col("n") / (F.col("n_doc") + F.col("n_query") - F.col("n"))
     out = shared.select("query_id", "id", similarity.alias("similarity")).filter(F.col("similarity") >= threshold)
     if k is None:

@@ -42,12 +42,18 @@ def merge_json(old: Column, new: Column) -> Column:
 def upsert_pages(pages: DataFrame, batch: DataFrame, now: datetime) -> DataFrame:
     """Insert new urls and update known ones.
 
-    `batch` holds at most one row per url (see `dedupe_pages`) with the columns it brings; missing ones count as null.
+    `batch` holds at most one row per url (see `dedupe_pages`) with the columns it brings; missing ones count as null. Rows
+    of `fold_page_batches` count as all the batches that they stand for.
     """
     current = schemas.conform(pages, "pages")
-    new = schemas.conform(batch, "pages")
-    incoming = new.select(F.col("url"), *[F.col(c).alias(f"n_{c}") for c in new.columns if c != "url"],
-                          F.lit(True).alias("__new"))
+    columns = [c for c in current.columns if c != "url"]
+    new = schemas.conform(batch, "pages") if "batches" not in batch.columns else batch.select(
+        *schemas.conform(batch, "pages").columns, "batches", "first_hash", "varied")
+    incoming = new.select(
+        "url", *[F.col(c).alias(f"n_{c}") for c in columns],
+        *([F.col(c).alias(f"n_{c}") for c in ("batches", "first_hash", "varied")] if "batches" in new.columns else
+          [F.lit(1).alias("n_batches"), F.col("content_hash").alias("n_first_hash"), F.lit(False).alias("n_varied")]),
+        F.lit(True).alias("__new"))
     joined = current.withColumn("__old", F.lit(True)).join(incoming, "url", "full_outer")
     moment = at(now).cast("timestamp")
     is_new, is_old = F.col("__new").isNotNull(), F.col("__old").isNotNull()
@@ -58,7 +64,8 @@ def upsert_pages(pages: DataFrame, batch: DataFrame, now: datetime) -> DataFrame
     def overwrite(name: str) -> Column:
         return F.when(is_new, F.col(f"n_{name}")).otherwise(F.col(name))
 
-    changed = is_new & ~(is_old & F.col("n_content_hash").eqNullSafe(F.col("content_hash")))
+    same = is_old & F.col("n_first_hash").eqNullSafe(F.col("content_hash")) & ~F.col("n_varied")
+    changed = is_new & ~same
     values = {
         "id": F.coalesce("id", "n_id", F.sha2("url", 256)),
         "url": F.col("url"),
@@ -70,7 +77,7 @@ def upsert_pages(pages: DataFrame, batch: DataFrame, now: datetime) -> DataFrame
         "last_crawled": F.when(is_new, moment).otherwise(F.col("last_crawled")),
         "last_changed": F.when(changed, moment).otherwise(F.col("last_changed")),
         "crawl_frequency": F.coalesce("crawl_frequency", "n_crawl_frequency", F.lit("monthly")),
-        "version": F.when(~is_new, F.col("version")).when(is_old, F.col("version") + 1).otherwise(F.lit(1)),
+        "version": F.when(is_new, F.coalesce("version", F.lit(0)) + F.col("n_batches")).otherwise(F.col("version")),
         "requires_js": F.when(is_new, F.coalesce("n_requires_js", F.lit(False))).otherwise(F.col("requires_js")),
         "cms_detected": fill("cms_detected"),
         "meta": F.when(is_new & is_old, merge_json(F.col("meta"), F.col("n_meta")))
@@ -82,6 +89,32 @@ def upsert_pages(pages: DataFrame, batch: DataFrame, now: datetime) -> DataFrame
     return joined.select(*[values[c].cast(types[c]).alias(c) for c in current.columns])
 
 
+def fold_page_batches(batches: DataFrame) -> DataFrame:
+    """One row per url of rows (batch, url, ...) with one row per url and batch, for `upsert_pages`: folded rows have the
+    effect of all their batches one after the other.
+
+    The newest batch decides most columns; the first one domain and frequency; types and marks come from the newest that
+    has one; `meta` is merged in order. Added are the number of batches, the first hash and whether hashes differ.
+    """
+    columns = [c for c in batches.columns if c not in ("batch", "url")]
+    first = {"domain", "crawl_frequency"}
+    filled = {"page_type", "page_type_confidence", "cms_detected"}
+
+    def pick(name: str) -> Column:
+        if name == "domain":
+            return F.min_by(name, F.when(F.col(name).isNotNull(), F.col("batch")))
+        if name in first:
+            return F.min_by(name, "batch")
+        return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("batch")) if name in filled else F.col("batch"))
+
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("batch", "meta"))), lambda x: x["meta"])
+    meta = F.aggregate(F.slice(parts, 2, 1 << 30), parts[0], merge_json)
+    digest = F.coalesce("content_hash", F.lit(""))
+    return batches.groupBy("url").agg(
+        *[(meta if c == "meta" else pick(c)).alias(c) for c in columns], F.count("*").cast("int").alias("batches"),
+        F.min_by("content_hash", "batch").alias("first_hash"), (F.min(digest) != F.max(digest)).alias("varied"))
+
+
 def patch_pages(pages: DataFrame, patch: DataFrame, now: datetime) -> DataFrame:
     """C4: set page_type and confidence and merge `meta` for the ids in `patch` (id, page_type,
     page_type_confidence, meta)."""

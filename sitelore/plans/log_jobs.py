@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 from sitelore.functions import urls
 from sitelore.operators import analytics, extract, frontier, quality
 from sitelore.plans.registry import Data, query
-from sitelore.streaming import windows
+from sitelore.session import ensure_checkpoint_dir
+from sitelore.sources.logs import LogStore
+from sitelore.streaming import pages, windows
 
 NOW = datetime(2024, 2, 1)
 
@@ -350,6 +353,32 @@ def l1(d: Data):
     return quality.find_duplicates(d.view("dup")).withColumn("similarity", F.round("similarity", 6))
 
 
+_PLACES = """SELECT id, category, domain, '{{"name":"' || json_name || '","address":"' || place || '"}}' AS data FROM (
+  SELECT 'o-' || CAST(c_custkey AS STRING) AS id, 'organisation' AS category,
+    'd' || CAST(CAST(floor(c_custkey / 60) AS BIGINT) AS STRING) || '.example.com' AS domain,
+    c_mktsegment || ' Works' || CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' Pty Ltd' ELSE 's Inc.' END AS json_name,
+    CASE WHEN c_custkey % 11 = 0 THEN '' ELSE CAST(CAST(floor(c_custkey / 4) AS BIGINT) % 5 AS STRING)
+      || CASE c_custkey % 2 WHEN 0 THEN ' High Street, Perth' ELSE ' high st  PERTH' END END AS place FROM {t}customer)"""
+
+
+@query("l1_same_address", oracle=f"""
+WITH dup AS ({_PLACES.format(t='')}),
+n AS (SELECT category, domain, id, regexp_replace(trim(regexp_replace(regexp_replace(lower(json_extract_string(data, '$.address')),
+    '[^a-z0-9]+', ' ', 'g'), 'street', 'st')), ' +', ' ', 'g') AS place, {_NORMAL} AS name FROM dup),
+k AS (SELECT * FROM n WHERE place <> ''),
+g AS (SELECT category, domain, place, name, min(id) AS rep FROM k GROUP BY 1, 2, 3, 4)
+SELECT k.category, k.domain, g.rep AS id_a, k.id AS id_b, 1.0::DOUBLE AS similarity FROM k JOIN g
+  ON g.category = k.category AND g.domain = k.domain AND g.place = k.place AND g.name = k.name WHERE k.id <> g.rep
+UNION ALL
+SELECT a.category, a.domain, least(a.rep, b.rep), greatest(a.rep, b.rep),
+  round(1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)), 6)
+FROM g a JOIN g b ON a.category = b.category AND a.domain = b.domain AND a.place = b.place AND a.name < b.name
+WHERE levenshtein(a.name, b.name) * 100 < 15 * greatest(length(a.name), length(b.name))""")
+def l1_address(d: Data):
+    pairs = quality.find_duplicates(d.sql(_PLACES.format(t="@")), address="$.address")
+    return pairs.withColumn("similarity", F.round("similarity", 6))
+
+
 _EDGES = """SELECT 'org-' || CAST(l_suppkey AS STRING) AS from_entity_id, 'o-' || CAST(l_partkey % 1500 AS STRING) AS to_entity_id,
   'offers' AS relationship_type FROM {t}lineitem"""
 
@@ -427,6 +456,83 @@ def l6(d: Data):
     return quality.apply_retention(d.sql(_OPS.format(t="@")), datetime(2024, 2, 11))
 
 
+def _log_store(d: Data) -> LogStore:
+    """The log, stored by day; one day came first with other rows and was written again."""
+    store = LogStore(d.spark, f"{ensure_checkpoint_dir(d.spark).rstrip('/')}/sitelore/{uuid.uuid4().hex}")
+    log = d.sql(_OPS.format(t="@"))
+    store.write("ops_log", log.withColumn("level", F.when(F.to_date("ts") == "2024-01-15", "lost").otherwise(F.col("level"))))
+    store.write("ops_log", log.filter(F.to_date("ts") == "2024-01-15"))
+    return store
+
+
+_LOG_SCHEMA = "id long, ts timestamp_ntz, level string, component string"
+
+
+@query("l6_retention_by_day", oracle=f"SELECT id, ts, level, component FROM ({_OPS.format(t='')}) WHERE ts >= TIMESTAMP '2024-01-12 06:00:00'")
+def l6_days(d: Data):
+    """Days before the limit are removed, the limit's own day is read in part."""
+    store = _log_store(d)
+    store.retain("ops_log", 30, datetime(2024, 2, 11, 6))
+    return store.read("ops_log", _LOG_SCHEMA, since=datetime(2024, 1, 12, 6))
+
+
+@query("j8_log_windows_of_days", oracle=f"""
+SELECT component, time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS rows, count(*) FILTER (WHERE level = 'error') AS errors,
+       count(*) FILTER (WHERE level = 'warn') AS warnings, count(*) FILTER (WHERE level = 'error') / count(*) AS error_rate
+FROM ({_OPS.format(t='')}) WHERE ts >= TIMESTAMP '2024-01-14' AND ts < TIMESTAMP '2024-01-17' GROUP BY 1, 2""")
+def j8_days(d: Data):
+    rows = _log_store(d).read("ops_log", _LOG_SCHEMA, datetime(2024, 1, 14), datetime(2024, 1, 17))
+    return windows.log_windows(rows).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# every event is fetched; three in four are answered, one in four of those too late
+_ANSWERS = """SELECT event_id AS page_id, 'so {{"page_type":"' || event_type || '","confidence":0.' || CAST(event_id % 9 AS STRING) || '}}' AS raw,
+  ts + INTERVAL 25 MINUTE * (event_id % 7) AS answered_at FROM {t}events WHERE event_id % 4 <> 0"""
+
+
+@query("j1_late_labels", "crawl", f"""
+SELECT f.event_id AS page_id, f.url, f.ts AS fetched_at, CASE WHEN late THEN NULL ELSE event_type END AS page_type,
+  CASE WHEN late THEN NULL ELSE (event_id % 9)::DOUBLE / 10 END AS page_type_confidence, NOT late AS answered
+FROM (SELECT c.event_id, c.url, c.ts, e.event_type, e.event_id % 4 = 0 OR e.event_id % 7 >= 5 AS late
+      FROM crawl c JOIN events e ON e.event_id = c.event_id) f""")
+def j1_labels(d: Data):
+    fetched = d.view("crawl").select(F.col("event_id").alias("page_id"), "url", F.col("ts").cast("timestamp").alias("fetched_at"))
+    answers = d.sql(_ANSWERS.format(t="@")).withColumn("answered_at", F.col("answered_at").cast("timestamp"))
+    out = pages.late_labels(fetched, answers)
+    return out.withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
+
+
+_SKETCH = """, g AS (SELECT domain, CAST(ceil(ln(fetch_ms::DOUBLE) / ln(1.01::DOUBLE / 0.99::DOUBLE)) AS INT) AS bucket, count(*) AS n FROM crawl GROUP BY 1, 2)"""
+_MIDDLE = "2 * pow(1.01::DOUBLE / 0.99::DOUBLE, b) / (1.01::DOUBLE / 0.99::DOUBLE + 1)"
+
+
+def _latencies(d: Data):
+    """Sketches of the fetch times by domain and day."""
+    return windows.latency_sketch(d.view("crawl"), "fetch_ms", [F.to_date("ts").alias("day"), F.col("domain")])
+
+
+@query("j8_latency_p95", "crawl", f"""{_SKETCH},
+c AS (SELECT *, sum(n) OVER (PARTITION BY domain ORDER BY bucket) AS up_to, sum(n) OVER (PARTITION BY domain) AS total FROM g),
+q AS (SELECT domain, CAST(total AS BIGINT) AS n, min(bucket) AS b FROM c WHERE up_to >= ceil(total * 0.95::DOUBLE) GROUP BY 1, 2)
+SELECT domain, n, round({_MIDDLE}, 6) AS value, true AS within_error FROM q""")
+def j8_latency(d: Data):
+    """P95 of each domain from the sketches of its days, and whether it is within 1 % of the exact one."""
+    exact = d.view("crawl").groupBy("domain").agg(F.expr("percentile_disc(0.95) within group (order by fetch_ms)").alias("exact"))
+    return windows.sketch_quantile(_latencies(d), 0.95, ["domain"]).join(exact, "domain").select(
+        "domain", "n", F.round("value", 6).alias("value"),
+        (F.abs(F.col("value") - F.col("exact")) <= 0.0100001 * F.col("exact")).alias("within_error"))
+
+
+@query("l7_latency_alert", "crawl", f"""{_SKETCH}, a AS (SELECT bucket, sum(n) AS n FROM g GROUP BY bucket),
+c AS (SELECT bucket AS b, sum(n) OVER (ORDER BY bucket) AS up_to, sum(n) OVER () AS total FROM a),
+q AS (SELECT min(b) AS b FROM c WHERE up_to >= ceil(total * 0.95::DOUBLE))
+SELECT 'query_latency_p95_ms' AS metric, round({_MIDDLE}, 6) AS value, '>' AS op, 500::DOUBLE AS threshold, {_MIDDLE} > 500 AS alert FROM q""")
+def l7_latency(d: Data):
+    p95 = windows.sketch_quantile(_latencies(d), 0.95, [])
+    rows = p95.select(F.lit("query_latency_p95_ms").alias("metric"), "value")
+    return quality.evaluate_alerts(rows).withColumn("value", F.round("value", 6))
+
+
 @query("l6_filter_log", oracle=f"""
 SELECT * FROM ({_OPS.format(t='')}) WHERE level = 'error' AND component = 'crawler' ORDER BY ts DESC, id""")
 def l6_filter(d: Data):

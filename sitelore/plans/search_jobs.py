@@ -240,18 +240,22 @@ def _grams(table: str, key: str, text: str) -> str:
     SELECT {key}, unnest({_GRAMS.format(text)}) AS w FROM {table}))"""
 
 
+# what a user types who looks for a payload: the beginning of a product's
+_PAYLOADS = """SELECT DISTINCT '{"name":"' || p_name || '","provider":"' || p_brand || '","productType":"' || p_type || '"' AS query"""
+
+
+def _payload_queries(d: Data):
+    return d.sql(f"{_PAYLOADS} FROM @part").withColumn("query_id", F.col("query"))
+
+
 @query("h10_trigram_search", "ent", f"""
-, prod AS (SELECT id, searchable_text FROM ent WHERE category = 'product'),
-q AS (SELECT DISTINCT p_name AS query FROM part),
-dg AS ({_grams('prod', 'id', 'searchable_text')}), qg AS ({_grams('q', 'query', 'query')}),
+, q AS ({_PAYLOADS} FROM part), dg AS ({_grams('ent', 'id', 'data')}), qg AS ({_grams('q', 'query', 'query')}),
 dn AS (SELECT id, count(*) AS n FROM dg GROUP BY id), qn AS (SELECT query, count(*) AS n FROM qg GROUP BY query),
 s AS (SELECT query AS query_id, id, count(*) AS c FROM dg JOIN qg USING (gram) GROUP BY query, id)
 SELECT query_id, s.id, round(c / (dn.n + qn.n - c), 9) AS similarity FROM s JOIN dn ON dn.id = s.id JOIN qn ON qn.query = query_id
-WHERE c / (dn.n + qn.n - c) >= 0.4""")
+WHERE c / (dn.n + qn.n - c) >= 0.45""")
 def h10(d: Data):
-    products = d.view("ent").filter("category = 'product'")
-    queries = d.table("part").select(F.col("p_name").alias("query")).distinct().withColumn("query_id", F.col("query"))
-    out = search_text.trigram_search(products, queries, 0.4, text_col="searchable_text")
+    out = search_text.trigram_search(d.view("ent"), _payload_queries(d), 0.45)
     return out.withColumn("similarity", F.round("similarity", 9))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -59,3 +59,28 @@ def start_heartbeat(jobs: DataFrame, path: str, checkpoint: str, every: str = "6
     """Write the interval metrics as they close."""
     return (pipeline_metrics(jobs, every).writeStream.outputMode("append").format("parquet")
             .option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every).start())
+
+
+def latency_sketch(log: DataFrame, value: str, by: list[Column], error: float = 0.01) -> DataFrame:
+    """Counts of logarithmic buckets of a latency, per window or other keys `by`.
+
+    A bucket's values differ from its middle by a share of `error` at most (the DDSketch of Masson, Rim and Lee 2019), so
+    sums of counts over windows, days or batches stay a sketch of the whole with the same error. Values of 0 and below
+    share the lowest bucket, -2^31; null values are not counted.
+    """
+    base = F.log(F.lit((1 + error) / (1 - error)))
+    bucket = F.when(F.col(value) > 0, F.ceil(F.log(F.col(value).cast("double")) / base).cast("int")).otherwise(-(1 << 31))
+    return log.filter(F.col(value).isNotNull()).groupBy(*by, bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def sketch_quantile(sketch: DataFrame, share: float, by: list[str], error: float = 0.01) -> DataFrame:
+    """(by, n, value): the quantile of merged sketches; the number of buckets bounds what one key orders."""
+    growth = (1 + error) / (1 - error)
+    merged = sketch.groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
+    key = Window.partitionBy(*by)
+    up_to = F.sum("n").over(key.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    placed = merged.withColumn("__up_to", up_to).withColumn("__all", F.sum("n").over(key))
+    found = placed.filter(F.col("__up_to") >= F.ceil(F.col("__all") * F.lit(share))).groupBy(*by, F.col("__all").alias("n")).agg(
+        F.min("bucket").alias("__b"))
+    middle = F.when(F.col("__b") > -(1 << 31), 2 * F.pow(F.lit(growth), F.col("__b")) / (growth + 1)).otherwise(0.0)
+    return found.select(*by, "n", middle.alias("value"))

@@ -1,6 +1,7 @@
 """Chunked and iterative operators against brute force on small random inputs with hot keys."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -75,8 +76,8 @@ def _levenshtein(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("percent, dense", [(85, 256), (85, 1), (70, 3)])
-def test_similar_names_match_brute_force(spark, percent, dense):
+@pytest.mark.parametrize("percent, q", [(85, 2), (85, 3), (70, 2), (55, 2), (35, 1)])
+def test_similar_names_match_brute_force(spark, percent, q):
     rng = random.Random(percent)
     names = set()
     while len(names) < 120:
@@ -91,7 +92,7 @@ def test_similar_names_match_brute_force(spark, percent, dense):
     names.discard("")
     rows = [("c", "d", n, f"id{i:03d}") for i, n in enumerate(sorted(names))]
     groups = spark.createDataFrame(rows, "category string, domain string, name string, rep string").withColumn("n", F.lit(1))
-    got = {(r.id_a, r.id_b): round(r.similarity, 9) for r in quality.similar_names(groups, percent, dense).collect()}
+    got = {(r.id_a, r.id_b): round(r.similarity, 9) for r in quality.similar_names(groups, percent, q).collect()}
     expected = {}
     for i, (_, _, a, ia) in enumerate(rows):
         for _, _, b, ib in rows[i + 1:]:
@@ -101,6 +102,50 @@ def test_similar_names_match_brute_force(spark, percent, dense):
     assert got == expected and expected
 
 
+def test_same_address_is_asked_for(spark):
+    rows = [("a", "Acme", "1 High Street, Perth"), ("b", "Acme Pty Ltd", "1 high st perth"), ("c", "ACME", "2 High St Perth"),
+            ("d", "Acmee Group", "1 High St. PERTH"), ("e", "Acmes Group", "1 HIGH STREET Perth"), ("f", "Acme", None)]
+    data = [(i, "organisation", "d", f'{{"name":"{n}"' + (f',"address":"{p}"' if p else "") + "}") for i, n, p in rows]
+    ent = spark.createDataFrame(data, "id string, category string, domain string, data string")
+    assert {(r.id_a, r.id_b) for r in quality.find_duplicates(ent, address="$.address").collect()} == {("a", "b"), ("d", "e")}
+    found = {(r.id_a, r.id_b) for r in quality.find_duplicates(ent).collect()}
+    assert found == {("a", "b"), ("a", "c"), ("a", "f"), ("d", "e")}
+
+
+def test_name_rows_are_linear(spark):
+    """A block whose names share most of their text is joined on its rare grams only."""
+    rows = [("c", "d", f"international holdings group number {k:05d}", f"id{k:05d}") for k in range(2000)]
+    groups = spark.createDataFrame(rows, "category string, domain string, name string, rep string").withColumn("n", F.lit(1))
+    got = quality.similar_names(groups, 99)
+    assert got.count() == 0
+
+
+def test_trigram_search_matches_brute_force_with_few_candidates(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 8))) for _ in range(300)]
+
+    def grams(text):
+        runs = re.findall(r"[^\W_]+", (text or "").lower())
+        return {f"  {w} "[k:k + 3] for w in runs for k in range(len(w) + 1)}
+
+    docs = [(k, "payload name " + " ".join(rng.choices(words, k=rng.randrange(0, 12)))) for k in range(900)] + [(900, None), (901, "")]
+    asked = [(k, " ".join(docs[rng.randrange(900)][1].split()[rng.randrange(2):])) for k in range(40)] + [(90, ""), (91, "payload name")]
+    left = spark.createDataFrame(docs, "id long, data string")
+    right = spark.createDataFrame(asked, "query_id long, query string")
+    for t in (0.25, 0.5, 0.8, 1.0):
+        want = {}
+        for q, text in asked:
+            for i, data in docs:
+                a, b = grams(text), grams(data)
+                if a & b and len(a & b) / len(a | b) >= t:
+                    want[q, i] = round(len(a & b) / len(a | b), 9)
+        got = {(r.query_id, r.id): round(r.similarity, 9) for r in search_text.trigram_search(left, right, t).collect()}
+        assert got == want
+    d = search_text._grams(left, "id", F.col("data"), "n_doc")
+    q = search_text._grams(right, "query_id", F.col("query"), "n_query")
+    assert search_text.trigram_candidates(d, q, 0.8).count() <= 20 * len(want)  # 37 758 pairs share a gram
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(3)
     edges = [(f"n{rng.randrange(300):03d}", f"n{rng.randrange(300):03d}") for _ in range(220)]

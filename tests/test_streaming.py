@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitelore.operators import frontier, trust
+from sitelore.operators.upsert import fold_page_batches, upsert_pages
 from sitelore.sources.tables import TableStore
 from sitelore.streaming import gates, pages, windows
 
@@ -116,3 +117,62 @@ def test_indexing_is_idempotent_and_compacts(spark, tmp_path, sf_dir):
     pages.compact(store, root, [0, 1], datetime(2024, 3, 2))
     assert store.read("entities").count() == 2 and store.read("pages").count() == 3
     assert ent.filter("domain = 'a.com'").first().aieo_score == 18.0 + round(0.3 * (25 / 3 + 5 + 25 + 25) + 0.25 * 25 / 15, 1)
+
+
+def test_folded_batches_have_the_effect_of_each_in_turn(spark):
+    rng = random.Random(8)
+    schema = pages.BATCH_PAGE + ", batch long"
+    rows = []
+    for batch in range(5):
+        for u in rng.sample(range(12), 8):
+            rows.append((f"https://x.com/{u}", rng.choice([None, "x.com"]), rng.choice(["h1", "h2", None]), rng.choice([None, "faq_page", "homepage"]),
+                         rng.choice([None, 0.5]), rng.choice([None, 200, 404]), rng.choice([None, True, False]), rng.choice([None, "wix"]),
+                         rng.choice([None, "{}", '{"a":1}', '{"b":2,"a":[3]}']), batch))
+    batches = spark.createDataFrame(rows, schema)
+    stored = upsert_pages(spark.createDataFrame([], "url string"), batches.filter("batch = 0").drop("batch"), START)
+    one_by_one = stored
+    for batch in (1, 2, 3, 4):
+        one_by_one = upsert_pages(one_by_one, batches.filter(f"batch = {batch}").drop("batch"), datetime(2024, 5, 1))
+    at_once = upsert_pages(stored, fold_page_batches(batches.filter("batch > 0")), datetime(2024, 5, 1))
+    order = lambda r: r.url
+    assert sorted(at_once.collect(), key=order) == sorted(one_by_one.collect(), key=order)
+
+
+def test_late_labels_out_of_order(spark, tmp_path):
+    start = START
+    fetched = [(k, f"https://x.com/{k % 20}", start + timedelta(minutes=7 * k)) for k in range(80)]
+    answers = [(k, '{"page_type":"faq_page","confidence":0.7}' if k % 3 else "none", start + timedelta(minutes=7 * k + 50 * (k % 4)))
+               for k in range(80) if k % 5]
+    last = start + timedelta(days=9)
+    p_schema, r_schema = "page_id long, url string, fetched_at timestamp", "page_id long, raw string, answered_at timestamp"
+    batch = pages.late_labels(spark.createDataFrame(fetched, p_schema), spark.createDataFrame(answers, r_schema))
+    want = sorted(tuple(r) for r in batch.collect())
+    assert len(want) == 80 and 0 < sum(r[5] for r in want) < 80
+    rng = random.Random(1)
+    for rows in (fetched, answers):  # within the allowed delay, rows come in any order
+        rows.sort(key=lambda r: r[2] + timedelta(minutes=rng.randrange(9)))
+    (tmp_path / "p").mkdir()
+    (tmp_path / "r").mkdir()
+    left = feed(spark, tmp_path / "p", fetched + [(-1, "end", last), (-2, "end", last + timedelta(days=1))], p_schema, 4, ts=None)
+    right = feed(spark, tmp_path / "r", answers + [(-1, "{}", last), (-2, "{}", last + timedelta(days=1))], r_schema, 5, ts=None)
+    out = drain(pages.late_labels(left, right), "labelled", tmp_path)
+    assert sorted(tuple(r) for r in out.filter("page_id >= 0").collect()) == want
+
+    store = TableStore(spark, str(tmp_path / "tables"))
+    known = spark.createDataFrame([(f"https://x.com/{k}",) for k in range(20)], "url string")
+    store.write("pages", upsert_pages(store.read("pages"), known, START))
+    pages.start_labelling(left, right, str(tmp_path / "labels"), str(tmp_path / "cp2")).awaitTermination(300)
+    pages.apply_labels(store, str(tmp_path / "labels"), START)
+    labelled = {r.url: r.page_type for r in store.read("pages").collect()}
+    newest = {}
+    for page_id, url, _, kind, _, answered in want:
+        if answered:
+            newest[url] = max(newest.get(url, (-1, "")), (page_id, kind))
+    assert {u: t for u, t in labelled.items() if t} == {u: t for u, (_, t) in newest.items()}
+
+
+def test_script_marks_are_carried_through(spark):
+    rows = [(1, "https://a.com/1", "<p>x</p>", True), (2, "https://a.com/2", "<p>x</p>", None), (3, "https://a.com/3", "", False)]
+    found, _, records = pages.index_pages(spark.createDataFrame(rows, "page_id long, url string, html string, requires_js boolean"))
+    assert {r.url[-1]: r.requires_js for r in found.collect()} == {"1": True, "2": False, "3": False}
+    records.unpersist()

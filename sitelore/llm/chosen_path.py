@@ -2,15 +2,16 @@
 
 1. Rows with equal shingle sets become one class. A class has `MINS` minwise tokens, the smallest shingle under as many
    hash functions.
-2. `TREES` independent trees branch the classes. The root chooses two of the minwise tokens, every other node one or two
-   (a hash of the node decides which), and classes with the same token go to the same child; classes of Jaccard
-   similarity s stay together with probability s a branch. Children of one class end their path. A node of at most
-   `SMALL` classes is not branched further, nor is one of depth `DEPTH`.
+2. `TREES` independent trees branch the classes. The root chooses two of the minwise tokens, its children one, every
+   other node one or two (a hash of the node decides which), and classes with the same token go to the same child;
+   classes of Jaccard similarity s stay together with probability s a branch. The first two levels are branched at once.
+   Children of one class end their path. A node of at most `SMALL` classes is not branched further, nor is one of depth
+   `DEPTH` + 1. A larger node is first compared with one of its classes, which settles nodes of near copies at once.
 3. The classes of a node are compared exhaustively by their minwise tokens. Pairs that agree in `percent` less `MARGIN`
    percent of them are candidates (a pair at the threshold is below that with a probability of about 5e-6); a node
    yields only candidates that connect classes it has not connected before. Small nodes with the same classes are
-   compared once. A pair of similarity 0.8 meets in no node with probability 0.2^16 where its nodes are small and about
-   1e-4 where all of them need the full depth.
+   compared once. A pair of similarity 0.8 meets in no node with a probability of 0.36^16 < 1e-7 where its nodes are small
+   and about 1e-4 where all of them need the full depth.
 4. Components of the candidates are blocks. In a block all pairs of classes that are candidates and not yet connected are
    compared on the full shingle sets, and those that reach `percent` link.
 5. Components of the links, and of ids whose rows are in several of them, give the result.
@@ -28,6 +29,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +37,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelore.llm.common import cut_lineage, large, partitions
+from sitelore.llm.components import components
 from sitelore.llm.fingerprints import mix
 from sitelore.llm.words import shingle_sets
-from sitelore.operators.quality import connected_components
 
-MINS, TREES, DEPTH, SMALL, MARGIN = 64, 8, 4, 256, 24
+MINS, TREES, DEPTH, SMALL, MARGIN, CLOSE = 64, 8, 3, 256, 24, 59
 #: classes of a node, and shingles of a block, that one task holds
-NODE_UNIT, BLOCK_UNIT = 50_000, 4_000_000
+NODE_UNIT, BLOCK_UNIT = 10_000, 4_000_000
 PIVOTS = 4
 _NULL = -(1 << 63)
 _SALT = mix(np.arange(1, 2 * MINS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -83,12 +85,14 @@ def _children(nodes: np.ndarray, mins: np.ndarray, choice: np.ndarray) -> np.nda
 
 
 def _roots(classes: DataFrame) -> DataFrame:
+    """The nodes of depth two, which are branched without a look at the nodes between."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mins = _mins(batch.column("mins"))
             for k in range(2 * TREES):
                 tree = np.full(len(mins), k // 2 + 1, np.uint64)
-                nodes = _children(mix(tree), mins, np.full(len(mins), k))
+                nodes = _children(mix(tree), mins, np.full(len(mins), k)).view(np.uint64)
+                nodes = _children(nodes, mins, np.full(len(mins), 2 * TREES + k))
                 yield pa.record_batch([pa.array(nodes), batch.column("rep")], ["node", "rep"])
 
     return classes.select("rep", "mins").mapInArrow(run, "node long, rep long")
@@ -119,19 +123,55 @@ def _shared(rows: DataFrame) -> DataFrame:
     return cut_lineage(rows.join(once, "node"))
 
 
-def _nodes(classes: DataFrame) -> DataFrame:
-    """(node, rep) of the nodes to compare."""
+def _pivoted(wide: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (node, rep, mins): candidates of wide nodes' pivots, and the rows left, of small nodes and of wide ones.
+
+    Every class of a node is compared with one of them, the pivot. A node whose classes are all candidates of the pivot
+    is done, as they are in one block. Otherwise, classes that agree with the pivot in `CLOSE` tokens leave: what links
+    with them is near enough to the pivot to be its candidate.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            agree = (_mins(batch.column("mins")) == _mins(batch.column("own"))).sum(axis=1)
+            yield pa.record_batch([batch.column("node"), batch.column("rep"), batch.column("pivot"), pa.array(agree, pa.int32()),
+                                   batch.column("mins")], ["node", "rep", "pivot", "agree", "mins"])
+
+    pivots = wide.groupBy("node").agg(F.min_by(F.struct("rep", "mins"), F.xxhash64("node", "rep")).alias("p")).select(
+        "node", F.col("p.rep").alias("pivot"), F.col("p.mins").alias("own"))
+    compared = cut_lineage(wide.join(pivots, "node").select("node", "rep", "pivot", "mins", "own").mapInArrow(
+        run, "node long, rep long, pivot long, agree int, mins binary"))
+    need = MINS * (percent - MARGIN) // 100
+    found = compared.filter((F.col("agree") >= need) & (F.col("rep") != F.col("pivot"))).select(
+        F.col("pivot").alias("id_a"), F.col("rep").alias("id_b"))
+    left = compared.filter(F.col("agree") < CLOSE)
+    sizes = left.groupBy("node").agg(F.count("*").alias("m"), F.count_if(F.col("agree") < need).alias("apart"))
+    open_ = cut_lineage(sizes.filter("apart > 0 and m > 1").select("node", "m"))
+    rows = left.select("node", "rep", "mins")
+    return (found, rows.join(open_.filter(F.col("m") <= SMALL), "node", "left_semi"),
+            rows.join(open_.filter(F.col("m") > SMALL), "node", "left_semi"))
+
+
+def _nodes(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, rep) of the nodes to compare, and candidates found on the way."""
     mins = classes.select("rep", "mins")
-    level, done = _shared(_roots(classes)), None
+    level = _shared(_roots(classes))
+    nodes, found = [], []
     for depth in range(DEPTH):
+        nodes.append(level.filter(F.col("m") <= SMALL))
         wide = level.filter(F.col("m") > SMALL)
-        last = depth + 1 == DEPTH or not wide.limit(1).count()
-        closed = (level if last else level.filter(F.col("m") <= SMALL)).select("node", "rep")
-        done = closed if done is None else done.unionByName(closed)
-        if last:
+        if not wide.limit(1).count():
             break
-        level = _shared(_branches(wide.join(mins, "rep")))
-    return done
+        near, small, wide = _pivoted(cut_lineage(wide.select("node", "rep").join(mins, "rep")), percent)
+        found.append(near)
+        nodes.append(small)
+        if depth + 1 == DEPTH:
+            nodes.append(wide)
+        else:
+            level = _shared(_branches(wide))
+    none = classes.limit(0).select(F.col("rep").alias("id_a"), F.col("rep").alias("id_b"))
+    both = [reduce(DataFrame.unionByName, parts) for parts in (
+        [n.select("node", "rep") for n in nodes], [none, *found])]
+    return both[0], both[1]
 
 
 class Members:
@@ -222,7 +262,7 @@ def _linked(rows: DataFrame, weight: str, unit: int, percent: int,
     parts = parted.unionByName(pivots).distinct().withColumn("unit", F.xxhash64("group", "part"))
     links = cut_lineage(_compared(load(whole.unionByName(parts.select(*whole.columns))), percent))
 
-    found = connected_components(links).select(F.col("id").alias("rep"), F.col("component").alias("found"))
+    found = components(links).select(F.col("id").alias("rep"), F.col("component").alias("found"))
     known = parted.join(found, "rep", "left").withColumn("comp", F.coalesce("found", "rep")).drop("found")
     known = cut_lineage(known)
     sizes = known.groupBy("group", "comp").agg(F.count("*").alias("c"), F.sum(weight).alias("w"))
@@ -256,11 +296,11 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 80, node_unit: int =
 
     tokens = equal.select("rep", "mins")
     sizes = equal.select("rep", "n")
-    asked = cut_lineage(_nodes(equal).withColumnRenamed("node", "group").join(sizes, "rep")
-                        .withColumn("one", F.lit(1)))
+    compared, found = _nodes(equal, percent)
+    asked = cut_lineage(compared.withColumnRenamed("node", "group").join(sizes, "rep").withColumn("one", F.lit(1)))
     candidates = _linked(asked, "one", node_unit, percent, lambda u: u.join(tokens, "rep").withColumn(
         "shingles", F.lit(None).cast("binary")))
-    blocks = connected_components(candidates).select(F.col("id").alias("rep"), F.col("component").alias("group"))
+    blocks = components(candidates.unionByName(found)).select(F.col("id").alias("rep"), F.col("component").alias("group"))
     blocks = cut_lineage(blocks.join(sizes, "rep"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +323,7 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 80, node_unit: int =
     links = _linked(blocks, "n", block_unit, percent, lambda u: u.join(tokens, "rep").join(sets, "rep"))
 
     # a component is named by its smallest id; ids with rows in several components join them
-    found = connected_components(links).select(F.col("id").alias("rep"), "component")
+    found = components(links).select(F.col("id").alias("rep"), "component")
     held = cut_lineage(nodes.join(found, "rep", "left").select(
         "doc_id", "n", F.coalesce("component", "rep").alias("group")))
     names = held.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("name"))
@@ -294,7 +334,7 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 80, node_unit: int =
     if several.limit(1).count():
         edges = named.join(several, "doc_id").filter("name > component_id").select(
             F.col("component_id").alias("id_a"), F.col("name").alias("id_b")).distinct()
-        wider = connected_components(edges).select(F.col("id").alias("component_id"), "component")
+        wider = components(edges).select(F.col("id").alias("component_id"), "component")
         out = out.join(wider, "component_id", "left").withColumn("component_id", F.coalesce("component", "component_id"))
     null = F.lit(_NULL)
     return out.select(F.nullif("doc_id", null).alias("doc_id"), "n_shingles",

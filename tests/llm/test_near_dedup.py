@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from sitelore.llm import chosen_path, queries
+from sitelore.llm import chosen_path, components, queries
 from sitelore.llm.words import shingle_sets, word_hashes
 
 from .conftest import frame
@@ -90,3 +90,26 @@ def test_word_hashes_of_long_words():
     other = bytearray(long)
     other[3], other[3 + (1 << 18)] = other[3 + (1 << 18)] + 1, other[3]
     assert word_hashes([bytes(other)])[0][0] != h[2]
+
+
+def test_components_match_union_find(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)]
+    edges += [(1000, 1001 + k) for k in range(300)] + [(5000 - k, 2000 + k) for k in range(300)]  # hubs, small and large
+    edges += [(6000 + k, 6001 + k) for k in range(200)] + [(9000, 7000 + k) for k in range(200)] + edges[:50] + [(-5, -9), (-9, -5)]
+    up = {}
+
+    def find(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+    table = spark.createDataFrame(edges, "id_a long, id_b long").repartition(7)
+    assert {r.id: r.component for r in components.components(table).collect()} == {x: find(x) for x in up}
+    assert components.components(table.limit(0)).count() == 0

@@ -146,7 +146,7 @@ def encode_documents(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
         squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in large(batches, "text", 4 << 20):
+        for batch in large(batches, "text", 4 << 20, "tokens"):
             found = tokens.encode(batch.column("text").to_pylist(), end)
             wide = [x.astype("<u4").tobytes() for x in found]
             yield pa.record_batch([

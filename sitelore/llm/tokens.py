@@ -12,8 +12,10 @@ import re
 
 import numpy as np
 
-#: pieces whose ids a worker keeps
-CACHED = 400_000
+from sitelore.llm.common import hold
+
+#: pieces whose ids a worker keeps, and texts whose pieces are looked up at a time
+CACHED, BATCH = 400_000, 512
 _CUT = re.compile(r"(?<=\S)(?= )")
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -23,18 +25,6 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Cache(dict):
-    """Ids by piece; a piece it lacks is noted and counts as no ids."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.unknown: set[str] = set()
-
-    def __missing__(self, piece: str) -> bytes:
-        self.unknown.add(piece)
-        return b""
-
-
 class Encoder:
     """Ids as little-endian bytes: two bytes an id for vocabularies up to 65 536, else four."""
 
@@ -48,7 +38,8 @@ class Encoder:
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
         self.starts[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # the byte-level sign for a space
         # pieces behind a space, without it; all other pieces
-        self.cache, self.heads = _Cache(), _Cache()
+        self.cache: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece. Pieces that are a space and further characters are encoded as one text: every id whose
@@ -68,45 +59,46 @@ class Encoder:
             done[p] = np.array(x.ids, self.kind).tobytes()
         return [done[p] for p in pieces]
 
+    def _add(self, cache: dict[str, bytes], asked: set[str], space: str) -> list[str]:
+        """Encode the asked pieces that the cache lacks; what has to leave it after this batch."""
+        new = list(asked.difference(cache))
+        room = max(0, CACHED - len(cache))
+        for k in range(0, len(new), 4096):
+            part = new[k:k + 4096]
+            cache.update(zip(part, self._encode([space + p for p in part])))
+        return [p for k, p in enumerate(new) if k >= room or len(p) >= 40]
+
     def encode(self, texts: list[str | None], end: int | None = None) -> list[np.ndarray]:
         """Ids of each text, with the end id appended."""
-        kind = self.kind
-        tail = b"" if end is None else np.array([end], kind).tobytes()
+        tail = b"" if end is None else np.array([end], self.kind).tobytes()
         cache, heads = self.cache, self.heads
         find, find_head = cache.__getitem__, heads.__getitem__
-
-        def join(text: str) -> bytes:
-            if "  " in text:
-                return b"".join(map(find_head, _CUT.split(text)))
-            head, *rest = text.split(" ")
-            return find_head(head) + b"".join(map(find, rest)) if head else b"".join(map(find, rest))
-
         out: list[np.ndarray] = []
-        for start in range(0, len(texts), 1024):
-            some = [t or "" for t in texts[start:start + 1024]]
-            done = []
-            for t in some:
-                known = len(cache.unknown) + len(heads.unknown)
-                ids = join(t)
-                done.append(ids if len(cache.unknown) + len(heads.unknown) == known and known == 0 else None)
-            added = [(c, sorted(c.unknown), space) for c, space in ((cache, " "), (heads, ""))]
-            for c, pieces, space in added:
-                c.unknown.clear()
-                for k in range(0, len(pieces), 4096):
-                    part = pieces[k:k + 4096]
-                    c.update(zip(part, self._encode([space + p for p in part])))
-            for t, ids in zip(some, done):
-                out.append(np.frombuffer((join(t) if ids is None else ids) + tail, kind))
-            for c, pieces, _ in added:  # keep the first CACHED pieces, and no long ones
-                for p in pieces[max(0, CACHED - (len(c) - len(pieces))):]:
-                    del c[p]
+        for start in range(0, len(texts), BATCH):
+            cut, words, firsts = [], set(), set()
+            for t in texts[start:start + BATCH]:
+                t = t or ""
+                if "  " in t:
+                    first, rest = _CUT.split(t), []
+                    firsts.update(first)
+                else:
+                    rest = t.split(" ")
+                    first = [rest[0]] if rest[0] else []
+                    del rest[0]
+                    firsts.update(first)
+                    words.update(rest)
+                cut.append((first, rest))
+            leaving = [(c, self._add(c, asked, space)) for c, asked, space in ((cache, words, " "), (heads, firsts, ""))]
+            for first, rest in cut:
+                out.append(np.frombuffer(b"".join((*map(find_head, first), *map(find, rest), tail)), self.kind))
+            for c, pieces in leaving:
                 for p in pieces:
-                    if len(p) >= 40:
-                        c.pop(p, None)
+                    del c[p]
         return out
 
 
 def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    hold("tokens", _ENCODERS.clear)
     return _ENCODERS[path]

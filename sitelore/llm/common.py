@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,20 @@ def before(df: DataFrame, by: list[str], order: list[str], value: str, name: str
     return df.withColumn(name, F.coalesce(F.sum(value).over(window), F.lit(0).cast("long")))
 
 
+def ranked(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """`rows`, a written table, with their place from 1 in the whole table's order. No task holds more than a range of the
+    order, which should end in a unique column, so that rows equal in the others can be split."""
+    dealt = rows.repartitionByRange(partitions(rows), *order).sortWithinPartitions(*order)
+    placed = cut_lineage(dealt.withColumn("__m", F.monotonically_increasing_id()))
+    part, at = F.shiftright("__m", _AT), F.col("__m").bitwiseAND(F.lit((1 << _AT) - 1))
+    placed = placed.withColumn("__part", part).withColumn("__at", at)
+    # one row per partition
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    front = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__front"))
+    return placed.join(F.broadcast(front), "__part").withColumn(
+        name, F.col("__front") + F.col("__at") + 1).drop("__m", "__part", "__at", "__front")
+
+
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary Arrow array without copying the data; nulls count as empty."""
     if array.null_count:
@@ -70,8 +86,31 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def large(batches: Iterable[pa.RecordBatch], column: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut at about `size` bytes of the text `column`, so one task holds few long texts at a time."""
+_AT = 33  # bits of the place inside a partition in monotonically_increasing_id
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, drop: Callable[[], None]) -> None:
+    """Tell that this worker keeps something for the tasks of operator `name`, and how to let it go."""
+    _HELD[name] = drop
+
+
+def release(keep: str = "") -> None:
+    """Let go of what this worker keeps for other operators: a worker that goes on to the next stage starts afresh."""
+    dropped = [n for n in _HELD if n != keep]
+    for name in dropped:
+        _HELD.pop(name)()
+    if dropped:
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library otherwise keeps freed memory
+        if trim is not None:
+            trim(0)
+
+
+def large(batches: Iterable[pa.RecordBatch], column: str, size: int = 8 << 20, keep: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches cut at about `size` bytes of the text `column`, so one task holds few long texts at a time. What the
+    worker keeps for operators other than `keep` is released first."""
+    release(keep)
     for batch in batches:
         if not batch.num_rows:
             continue

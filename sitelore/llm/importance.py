@@ -28,15 +28,14 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelore.llm.common import cut_lineage, large, partitions
+from sitelore.llm.common import cut_lineage, large, ranked
 
 PIECE = 4 << 20
 _WORD = {*range(48, 58), *range(97, 123), *range(128, 256)}
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c in _WORD else 32 for c in range(256))
-_AT = 33  # bits of the place inside a partition in monotonically_increasing_id
 
 
 def _patterns(most: int) -> list:
@@ -141,19 +140,6 @@ def _scored(rows: DataFrame, gains: np.ndarray, seed: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, words long, n_features long, weight long, score long")
 
 
-def ranked(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:
-    """`rows` with their place from 1 in the whole table's order, without a global sort in one task."""
-    dealt = rows.repartitionByRange(partitions(rows), *order).sortWithinPartitions(*order)
-    placed = cut_lineage(dealt.withColumn("__m", F.monotonically_increasing_id()))
-    part, at = F.shiftright("__m", _AT), F.col("__m").bitwiseAND(F.lit((1 << _AT) - 1))
-    placed = placed.withColumn("__part", part).withColumn("__at", at)
-    # one row per partition
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
-    front = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__front"))
-    return placed.join(F.broadcast(front), "__part").withColumn(
-        name, F.col("__front") + F.col("__at") + 1).drop("__m", "__part", "__at", "__front")
-
-
 def resample(docs: DataFrame, target: DataFrame, percent: int = 25, least_words: int = 20, buckets: int = 10_000,
              most: int = 2, seed: int = 7) -> DataFrame:
     """(doc_id, words, n_features, weight, score, rank): `percent` of the rows with `least_words` words or more are

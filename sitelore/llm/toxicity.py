@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sitelore.llm.common import cut_lineage, large
+from sitelore.llm.common import cut_lineage, hold, large
 from sitelore.llm.fingerprints import mix
 
 DECAY, SPAN = 0.7, 3
@@ -226,6 +226,7 @@ def _model_of(key: bytes) -> Model:
     if key not in _MODELS:
         _MODELS.clear()
         _MODELS[key] = pickle.loads(key)
+    hold("toxicity", _MODELS.clear)
     return _MODELS[key]
 
 
@@ -268,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         return None
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in large(batches, "text", 2 << 20):
+        for batch in large(batches, "text", 2 << 20, "toxicity"):
             found = [sorted(strings_of(t)) if t else [] for t in batch.column("text").to_pylist()]
             y = np.repeat(np.array(batch.column("y").to_pylist(), np.int32), [len(f) for f in found])
             yield pa.record_batch([pa.array([w for f in found for w in f], pa.string()), pa.array(y)], ["w", "y"])
@@ -336,7 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     key2 = pickle.dumps(model)
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in large(batches, "text", 2 << 20):
+        for batch in large(batches, "text", 2 << 20, "toxicity"):
             top = _model_of(key2).top_two(batch.column("text").to_pylist())
             yield pa.record_batch([batch.column("y"), pa.array(top[:, 0]), pa.array(top[:, 1])], ["y", "a", "b"])
 
@@ -354,7 +355,7 @@ def score(docs: DataFrame, model: Model | None, row_id: str = "doc_id", text: st
     key = pickle.dumps(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in large(batches, text, 2 << 20):
+        for batch in large(batches, text, 2 << 20, "toxicity"):
             got = _model_of(key).scores(batch.column(batch.schema.get_field_index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], [*batch.schema.names, "__score"])
 

@@ -6,7 +6,8 @@ that diagonal and the longest stretch in which at least 80 % of the words agree
 by the item if the stretch has `min_words` agreeing words, or 80 % of an item too short for that.
 
 Words are runs without `[\x20\x09-\x0D]`, in lower case and without ASCII punctuation at their end. Items of five to
-nine words are sought whole; shorter ones name nothing and are ignored.
+eleven words are cut into one part more than words of them may differ, and their parts are the seeds; from twelve words on
+the masks meet every pattern that the rule admits. Items of fewer than five words name nothing and are ignored.
 
 The benchmark is split into blocks of about BLOCK_WORDS words by a hash of the item id; each block is one read-only
 table that goes to every task, and documents pass the blocks one after the other without a shuffle.
@@ -31,7 +32,7 @@ from sitelore.llm.words import combine, word_hashes
 MASKS = ((0, 1, 3, 6, 7), (0, 2, 3, 4, 8), (0, 1, 2, 5, 9))
 BLOCK_WORDS = 1_000_000
 HITS = "array<struct<item_id:long,matched:int,words:int,start:int>>"
-_SHORT, _LEAST = 10, 5
+_SHORT, _LEAST = 12, 5
 
 
 class Seeds:
@@ -42,20 +43,27 @@ class Seeds:
         self.min_words, self.percent = min_words, percent
         hashes, offsets = word_hashes([t.lower().encode() for _, t in items], bare=True)
         self.words = [hashes[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-        groups: dict[tuple[int, ...], list[int]] = {m: [] for m in MASKS}
+        groups: dict[tuple[int, ...], list[tuple[int, range]]] = {m: [] for m in MASKS}
         for k, w in enumerate(self.words):
-            if len(w) >= _SHORT:
+            n = len(w)
+            if n >= _SHORT:
                 for m in MASKS:
-                    groups[m].append(k)
-            elif len(w) >= _LEAST:
-                groups.setdefault(tuple(range(len(w))), []).append(k)
+                    groups[m].append((k, range(n - m[-1])))
+            elif n >= _LEAST:  # one part more than words that may differ: one of them is whole
+                parts = n - self._wanted(n) + 1
+                for i in range(parts):
+                    first, end = i * n // parts, (i + 1) * n // parts
+                    groups.setdefault(tuple(range(end - first)), []).append((k, range(first, first + 1)))
         self.tables = [(m, *self._table(m, found)) for m, found in groups.items() if found]
 
-    def _table(self, mask: tuple[int, ...], found: list[int]) -> tuple[np.ndarray, ...]:
-        parts = [combine(self.words[k], list(mask)) for k in found]
-        seed = np.concatenate(parts)
-        item = np.repeat(found, [len(p) for p in parts])
-        place = np.concatenate([np.arange(len(p)) for p in parts])
+    def _wanted(self, n: int) -> int:
+        """Agreeing words that an item of n words asks for."""
+        return min(self.min_words, -(-self.percent * n // 100))
+
+    def _table(self, mask: tuple[int, ...], found: list[tuple[int, range]]) -> tuple[np.ndarray, ...]:
+        seed = np.concatenate([combine(self.words[k], list(mask))[places.start:places.stop] for k, places in found])
+        item = np.repeat([k for k, _ in found], [len(places) for _, places in found])
+        place = np.concatenate([np.arange(places.start, places.stop) for _, places in found])
         order = np.argsort(seed, kind="stable")
         bits = max(16, int(len(seed) * 16).bit_length())
         seen = np.zeros(1 << bits, bool)
@@ -94,7 +102,7 @@ class Seeds:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for d, k, diagonal in np.unique(np.vstack(found), axis=0).tolist():
             got = self._overlap(hashes[offsets[d]:offsets[d + 1]], self.words[k], diagonal)
-            if got[0] >= min(self.min_words, -(-self.percent * len(self.words[k]) // 100)):
+            if got[0] >= self._wanted(len(self.words[k])):
                 best[d, k] = max(best.get((d, k), (0, 0, 0)), got)
         for (d, k), (matched, words, start) in sorted(best.items()):
             out[d].append({"item_id": self.ids[k], "matched": matched, "words": words, "start": start})
@@ -126,7 +134,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, percent
         shared = docs.sparkSession.sparkContext.broadcast(seeds)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in large(batches, text, 4 << 20):
+            for batch in large(batches, text, 2 << 20):
                 hits = shared.value.find(batch.column(batch.schema.get_field_index(text)).to_pylist())
                 if drop:
                     yield batch.filter(pa.array([not h for h in hits]))

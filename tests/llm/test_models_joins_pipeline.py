@@ -203,6 +203,24 @@ def test_page_model_on_held_out_layouts(spark, sf_dir):
     assert wrong <= 0.03 * total
 
 
+@pytest.mark.parametrize("n", range(5, 18))
+def test_seeds_meet_every_pattern_of_substitutions(n):
+    item = [f"i{k}" for k in range(n)]
+    seeds = decontaminate.Seeds([(7, " ".join(item))])
+    wanted = min(13, -(-80 * n // 100))
+    texts, right = [], []
+    for count in range(0, 4):
+        for places in itertools.combinations(range(n), count):
+            words = [f"x{k}" if k in places else w for k, w in enumerate(item)]
+            texts.append("before it " + " ".join(words) + " and after")
+            # the longest stretch with 80 % agreement, by all of them
+            same = [k not in places for k in range(n)]
+            best = max((sum(same[a:b]) for a in range(n) for b in range(a + 1, n + 1) if 100 * sum(same[a:b]) >= 80 * (b - a)), default=0)
+            right.append(best >= wanted)
+    found = [bool(hits) for hits in seeds.find(texts)]
+    assert found == right and any(right)
+
+
 def test_hostile_pages_are_read_in_linear_time(spark):
     model = html_text.Crf({"in <div>": 1.0, "own <p>": 0.5}, np.zeros((2, 2)), np.zeros(2))
     n = 50_000

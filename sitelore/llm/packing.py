@@ -5,9 +5,9 @@ tightest bin that takes a piece is the lowest set bit at or above its length. A
 all are in use, the fullest (the lowest set bit) closes first. Only documents longer than a sequence are cut: all their
 pieces but the first are full sequences.
 
-Documents are dealt to packers by a hash of their id, about `per_packer` documents to each, so a packer's state and
-rows are bounded and packers run side by side; rows carry lengths and checksums, never ids. A packer is fed its longest
-first pieces first.
+Documents are dealt to packers by their place in the order of a hash of id and checksums, at most `per_packer` documents to
+each, however many are equal, so a packer's state and rows are bounded and packers run side by side; rows carry lengths
+and checksums, never ids. A packer is fed its longest first pieces first.
 
 Defined cases: a null or empty text is its end id alone, one piece; a null doc_id is a document like any other; equal
 rows are packed one by one; an empty table gives an empty result; other columns are ignored.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelore.llm.common import large
+from sitelore.llm.common import cut_lineage, large, ranked
 from sitelore.llm.tokens import default_path, encoder
 
 CAPACITY = 1024
@@ -77,7 +77,7 @@ def pieces(docs: DataFrame, path: str, end: int, capacity: int) -> DataFrame:
     """(doc_id, h, n, crcs) per document, crcs with one checksum per piece."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
-        for batch in large(batches, "text", 4 << 20):
+        for batch in large(batches, "text", 4 << 20, "tokens"):
             found = [x.astype("<u4") for x in tokens.encode(batch.column("text").to_pylist(), end)]
             yield pa.record_batch([
                 batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()),
@@ -91,9 +91,10 @@ def pieces(docs: DataFrame, path: str, end: int, capacity: int) -> DataFrame:
 def pack(docs: DataFrame, path: str | None = None, end: int = 2, capacity: int = CAPACITY,
          open_bins: int = OPEN_BINS, per_packer: int = PER_PACKER) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece."""
-    packers = docs.count() // per_packer + 1
-    rows = pieces(docs, path or default_path(), end, capacity).withColumn(
-        "packer", F.pmod(F.xxhash64("doc_id", "crcs"), F.lit(packers)).cast("long"))
+    rows = cut_lineage(pieces(docs, path or default_path(), end, capacity).withColumn(
+        "h", F.xxhash64("doc_id", "crcs")).withColumn("row", F.monotonically_increasing_id()))
+    share = -(-rows.count() // (rows.count() // per_packer + 1)) or 1
+    rows = ranked(rows, ["h", "row"], "place").withColumn("packer", F.expr(f"(place - 1) div {share}")).drop("h", "row", "place")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         fit = BestFit(capacity, open_bins)

@@ -4,52 +4,41 @@ Rows of each source are put in a seeded random order and numbered; the number ov
 fractional rank. All rows sorted by that rank mix the sources evenly everywhere, so contiguous cuts of equal length give
 shards that all hold the mixture. Law `rows`: shard sizes in rows differ by at most one.
 
-No key is numbered in one task: the random order is cut into `BUCKETS` ranges of the hash, and the final order into as
-many ranges of the fractional rank; numbers run inside a range and the counts of the ranges in front are added.
+No key is numbered in one task: both orders are cut into ranges at any row; numbers run inside a range and the counts of the
+ranges in front are added. The random order is a hash of id, checksum and size, and ends in the row's number, so rows that
+share a null id, or are equal, are spread or split like others.
 
 Defined cases: a null source is a source of its own; a null text has size 8 and checksum 0; a null or repeated doc_id is
-a row like any other (equal ids lie next to each other in their source's order); an empty table gives an empty result;
+a row like any other; an empty table gives an empty result;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelore.llm.common import cut_lineage
-
-#: ranges of the random order and of the fractional rank; rows per range are rows / BUCKETS
-BUCKETS = 4096
+from sitelore.llm.common import cut_lineage, ranked
 
 
 def interleave(docs: DataFrame, shards: int = 24, seed: int = 20, stratum: str = "source", row_id: str = "doc_id",
                text: str = "text") -> DataFrame:
     """(doc_id, stratum, size, text_crc32, fraction, shard, slot): slots count from 0 within a shard."""
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(row_id)), 1)
     rows = docs.select(
         F.col(row_id).cast("long").alias("doc_id"),
         F.coalesce(F.col(stratum).cast("string"), F.lit("\0null")).alias("stratum"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("text_crc32"), h.alias("h"))
-    rows = rows.withColumn("bucket", F.shiftright("h", 51).cast("int"))
-    counts = rows.groupBy("stratum", "bucket").agg(F.count("*").alias("n"))
-    ordered = Window.partitionBy("stratum").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("stratum", "bucket", F.coalesce(F.sum("n").over(ordered), F.lit(0)).alias("ahead"),
-                           F.sum("n").over(Window.partitionBy("stratum")).alias("total"))
-    inside = Window.partitionBy("stratum", "bucket").orderBy("h", "doc_id", "text_crc32", "size")
-    ranked = (rows.join(counts, ["stratum", "bucket"])
-              .withColumn("fraction", (F.col("ahead") + F.row_number().over(inside) - 0.5) / F.col("total")))
-    ranked = cut_lineage(ranked.select("doc_id", "stratum", "size", "text_crc32", "h", "fraction", F.least(
-        F.floor(F.col("fraction") * BUCKETS), F.lit(BUCKETS - 1)).cast("int").alias("part")))
-    # at most BUCKETS rows
-    parts = ranked.groupBy("part").agg(F.count("*").alias("n"))
-    parts = parts.select("part", F.coalesce(F.sum("n").over(
-        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"),
-        F.sum("n").over(Window.partitionBy()).alias("total"))
-    inside = Window.partitionBy("part").orderBy("fraction", "h", "stratum", "doc_id", "text_crc32", "size")
-    placed = ranked.join(F.broadcast(parts), "part").withColumn(
-        "place", F.col("ahead") + F.row_number().over(inside) - 1)
+        F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("text_crc32"))
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"))
+    rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))
+    own = ["h", "doc_id", "text_crc32", "size", "row"]
+    # the number in the order of (source, random order), less the rows of the sources in front
+    numbered = ranked(rows, ["stratum", *own], "number")
+    totals = numbered.groupBy("stratum").agg(F.count("*").alias("total"), F.min("number").alias("first"))
+    fraction = (F.col("number") - F.col("first") + 0.5) / F.col("total")
+    mixed = cut_lineage(numbered.join(totals, "stratum").withColumn("fraction", fraction).drop("number", "total", "first"))
+    placed = ranked(mixed, ["fraction", "h", "stratum", "doc_id", "text_crc32", "size", "row"], "place")
+    placed = placed.withColumn("place", F.col("place") - 1).withColumn("total", F.lit(mixed.count()))
     # the first `total mod shards` shards take one row more
     small, extra = F.expr(f"total div {shards}"), F.col("total") % shards
     edge = extra * (small + 1)

@@ -8,7 +8,10 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from sitelore.llm import fingerprints, line_dedup, packing, queries, sharding, suffix_dedup, token_files, tokens
+from sitelore.llm.common import cut_lineage, ranked
 
 from .conftest import frame
 
@@ -175,6 +178,27 @@ def test_sharding(spark, sf_dir, documents, odd, odd_rows, empty):
     assert sorted(map(str, rows)) == sorted(map(str, collected(queries.QUERIES["op6_sharding"](spark, sf_dir))))
 
 
+def largest_share(df, key):
+    """The largest share of rows that one value of `key` has."""
+    counts = [r["count"] for r in df.groupBy(key).count().collect()]
+    return max(counts) / sum(counts)
+
+
+def test_null_and_equal_ids_are_dealt_to_many(spark, tmp_path):
+    rows = spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one").alias("source"),
+                                      F.when(F.col("id") % 2 == 0, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    placed = cut_lineage(rows.withColumn("h", F.xxhash64("doc_id")).withColumn("row", F.monotonically_increasing_id()))
+    numbered = ranked(placed, ["h", "row"])
+    assert numbered.agg(F.min("rank"), F.max("rank"), F.countDistinct("rank")).first() == (1, 60_000, 60_000)
+    n = 8  # shuffle partitions of the session
+    dealt = placed.repartitionByRange(n, "h", "row").withColumn("p", F.spark_partition_id())
+    assert largest_share(dealt, "p") < 2 / n
+    shards = sharding.interleave(rows, 24)
+    assert shards.groupBy("shard").count().agg(F.min("count"), F.max("count")).first() == (2500, 2500)
+    packed = packing.pack(rows, per_packer=1000)
+    assert largest_share(packed.withColumn("packer", F.shiftright("sequence_id", 40)), "packer") < 0.03
+
+
 def test_every_shard_holds_the_mixture(spark):
     docs = frame(spark, [(k, "t", "big" if k % 3 else f"s{k % 5}") for k in range(2400)])
     total = collections.Counter(r["source"] for r in docs.select("source").collect())

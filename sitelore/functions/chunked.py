@@ -80,3 +80,19 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, ran
     """First k rows per key. Spark keeps only k rows per key in every task before the shuffle."""
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col(rank) <= k)
+
+
+def page_of(df: DataFrame, order: list[Column], offset: int, limit: int, place: str = "place") -> DataFrame:
+    """Rows `offset` + 1 to `offset` + `limit` in the whole order, with their place.
+
+    Counts per range locate the page, and only the ranges that it touches are sorted, each in a task of its own, so an
+    offset of millions gathers no more rows than a small one.
+    """
+    rows = dealt(df, [], order)
+    sizes = rows.groupBy(_CHUNK).agg(F.count("*").alias("__n"))  # one row per range
+    ahead = F.coalesce(F.sum("__n").over(Window.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hit = sizes.withColumn("__ahead", ahead).filter(
+        (F.col("__ahead") < offset + limit) & (F.col("__ahead") + F.col("__n") > offset)).drop("__n")
+    inside = F.row_number().over(Window.partitionBy(_CHUNK).orderBy(*order))
+    found = rows.join(F.broadcast(hit), _CHUNK).withColumn(place, F.col("__ahead") + inside)
+    return found.filter((F.col(place) > offset) & (F.col(place) <= offset + limit)).drop(_CHUNK, "__ahead")

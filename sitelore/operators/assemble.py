@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelore.functions.chunked import page_of
+
 _ITEM = ("id", "data", "domain", "confidence", "aieo_score")
 
 
@@ -109,13 +111,20 @@ def compare_fields(entities: DataFrame, ids: list[str]) -> DataFrame:
     return flat.groupBy("category", "field").pivot("id", ids).agg(F.first("value"))
 
 
+#: rows up to which a page is taken from the front of the order by one task
+DEEP = 10_000
+
+
 def list_entities(entities: DataFrame, category: str | None = None, domain: str | None = None, limit: int = 50,
-                  offset: int = 0) -> DataFrame:
-    """one page of the listing."""
+                  offset: int = 0, deep: int = DEEP) -> DataFrame:
+    """one page of the listing. A page that ends beyond `deep` rows is located by counts (ids must be unique)."""
     kept = _where(entities, [category] if category else None, domain)
     columns = [c for c in ("id", "category", "subcategory", "data", "domain", "confidence", "aieo_score", "created_at")
                if c in entities.columns]
-    return kept.orderBy(*by_score()).offset(offset).limit(limit).select(*columns)
+    if offset + limit <= deep:
+        return kept.orderBy(*by_score()).offset(offset).limit(limit).select(*columns)
+    page = page_of(kept.select("id", "aieo_score"), by_score(), offset, limit, "__place").select("id", "__place")
+    return page.join(kept.select(*columns), "id").orderBy("__place").select(*columns)
 
 
 def count_entities(entities: DataFrame, category: str | None = None, domain: str | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelore.operators.analytics import domain_summary
+from sitelore.session import cut_lineage
+from sitelore.sources.keyed import KeyedTable
 from sitelore.sources.tables import TableStore
 
 _COMMON = ("id", "domain", "page_id", "confidence", "aieo_score", "searchable_text", "is_verified", "created_at",
@@ -123,3 +125,62 @@ def refresh_views(store: TableStore, root: str, changed_domains: DataFrame | Non
         out.write.mode("overwrite").parquet(path)
         written[name] = path
     return written
+
+
+def changed_rows(old: DataFrame, new: DataFrame, key: str = "id", keep: tuple[str, ...] = ("domain",)) -> DataFrame:
+    """(key, old_<keep>, new_<keep>, change) of the rows that two versions of a table do not share; change is inserted,
+    updated or deleted. Only keys, kept columns and row hashes are moved."""
+    def hashed(df: DataFrame, side: str) -> DataFrame:
+        return df.select(key, *[F.col(c).alias(f"{side}_{c}") for c in keep], F.xxhash64(*old.columns).alias(f"{side}_hash"))
+
+    both = hashed(old, "old").join(hashed(new.select(*old.columns), "new"), key, "full_outer")
+    change = F.when(F.col("old_hash").isNull(), "inserted").when(F.col("new_hash").isNull(), "deleted").otherwise("updated")
+    return both.filter(~F.col("old_hash").eqNullSafe(F.col("new_hash"))).withColumn("change", change).drop("old_hash", "new_hash")
+
+
+class MaintainedViews:
+    """the views as tables by key that follow the entities, rewriting only folders in which rows change."""
+
+    def __init__(self, store: TableStore, root: str, names: tuple[str, ...] = tuple(VIEWS), parts: int = 16):
+        self.store, self.names = store, names
+        empty = store.read("entities").limit(0)
+        self.tables = {}
+        for name in names:
+            schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in VIEWS[name](empty).schema)
+            self.tables[name] = KeyedTable(store.spark, f"{root.rstrip('/')}/{name}", schema, self.key(name), parts)
+
+    @staticmethod
+    def key(name: str) -> str:
+        return "domain" if name == "domain_summary" else "id"
+
+    def read(self, name: str) -> DataFrame:
+        return self.tables[name].read()
+
+    def build(self, version: int | None = None) -> None:
+        """Fill the views from all entities."""
+        entities = self.store.read("entities", version)
+        for name, table in self.tables.items():
+            table.write(VIEWS[name](entities))
+
+    def follow(self, before: int, after: int) -> dict[str, list[int]]:
+        """Bring the views from one version of the entities to another; the rewritten folders of each view.
+
+        Views of single entities take the rows of changed ids; the summary takes the domains that they are or were in.
+        """
+        entities = self.store.read("entities", after)
+        changes = cut_lineage(changed_rows(self.store.read("entities", before), entities))
+        ids = changes.select("id").distinct()
+        domains = changes.select(F.explode(F.array("old_domain", "new_domain")).alias("domain")).dropna().distinct()
+        written = {}
+        for name, table in self.tables.items():
+            key = self.key(name)
+            touched = ids if key == "id" else domains
+            fresh = VIEWS[name](entities.join(touched, key, "left_semi"))
+            batch = touched.join(fresh.withColumn("__held", F.lit(True)), key, "left")
+
+            def merge(stored: DataFrame, new: DataFrame, key: str = key) -> DataFrame:
+                return stored.join(new.select(key), key, "left_anti").unionByName(
+                    new.filter("__held").select(*stored.columns))
+
+            written[name] = table.upsert(cut_lineage(batch), merge)
+        return written

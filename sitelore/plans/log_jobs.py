@@ -502,6 +502,12 @@ def j1_labels(d: Data):
     return out.withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
 
 
+@query("j7_first_submissions", "crawl", """
+SELECT url, min(ts) AS ts, arg_min(event_id, row(ts, event_id)) AS id FROM crawl GROUP BY url""")
+def j7(d: Data):
+    return pages.first_submissions(d.view("crawl").select("url", "ts", F.col("event_id").alias("id")))
+
+
 _SKETCH = """, g AS (SELECT domain, CAST(ceil(ln(fetch_ms::DOUBLE) / ln(1.01::DOUBLE / 0.99::DOUBLE)) AS INT) AS bucket, count(*) AS n FROM crawl GROUP BY 1, 2)"""
 _MIDDLE = "2 * pow(1.01::DOUBLE / 0.99::DOUBLE, b) / (1.01::DOUBLE / 0.99::DOUBLE + 1)"
 

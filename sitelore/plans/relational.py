@@ -217,6 +217,12 @@ def f11(d: Data):
     return assemble.list_entities(d.view("ent"), "product", offset=50)
 
 
+@query("f11_deep_page", "ent", """
+SELECT id, category, data, domain, confidence, aieo_score FROM ent ORDER BY aieo_score DESC, id LIMIT 60 OFFSET 1200""")
+def f11_deep(d: Data):
+    return assemble.list_entities(d.view("ent"), limit=60, offset=1200, deep=100)
+
+
 @query("f11_total", "ent", "SELECT count(*) AS total FROM ent WHERE category = 'product'")
 def f11_total(d: Data):
     return assemble.count_entities(d.view("ent"), "product")

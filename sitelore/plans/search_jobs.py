@@ -48,7 +48,7 @@ def _queries(d: Data):
     return _texts(d).withColumn("label", label).join(vectors, "label", "left").drop("label")
 
 
-def _stored(d: Data, analyzer: str = "plain"):
+def stored_postings(d: Data, analyzer: str = "plain"):
     """The stored postings of the corpus."""
     path = d.stored(f"text_{analyzer}", lambda folder: text_index.build_text_index(d.view("etext"), folder, analyzer))
     return text_index.TextIndex(d.spark, path)
@@ -73,7 +73,7 @@ def h1_english(d: Data):
 
 @query("h2_text_match", "etext", f", {_POSTINGS} SELECT query_id, id, tf FROM matched")
 def h2(d: Data):
-    return text_index.indexed_match(_stored(d), _texts(d))
+    return text_index.indexed_match(stored_postings(d), _texts(d))
 
 
 @query("h3_text_search_tf", "etext", f""", {_POSTINGS}
@@ -82,7 +82,7 @@ SELECT query_id, CAST(rank AS INT) AS rank, id, text_rank, aieo_score FROM (
     PARTITION BY query_id ORDER BY m.tf DESC, e.aieo_score DESC, m.id) AS rank FROM matched m JOIN etext e ON e.id = m.id)
 WHERE rank <= 20""")
 def h3_tf(d: Data):
-    return text_index.indexed_text_search(d.view("etext"), _stored(d), _texts(d), 20, "tf", filtered=False)
+    return text_index.indexed_text_search(d.view("etext"), stored_postings(d), _texts(d), 20, "tf", filtered=False)
 
 
 @query("h3_text_search_bm25", "etext", f""", {_POSTINGS},
@@ -98,7 +98,7 @@ r AS (SELECT query_id, s.id, round(s, 12) AS text_rank, e.aieo_score FROM scored
 SELECT query_id, CAST(rank AS INT) AS rank, id, round(text_rank, 6) AS text_rank, aieo_score FROM (SELECT *, row_number() OVER (
   PARTITION BY query_id ORDER BY text_rank DESC, aieo_score DESC, id) AS rank FROM r) WHERE rank <= 20""")
 def h3(d: Data):
-    out = text_index.indexed_text_search(d.view("etext"), _stored(d), _texts(d), 20, filtered=False)
+    out = text_index.indexed_text_search(d.view("etext"), stored_postings(d), _texts(d), 20, filtered=False)
     return out.withColumn("text_rank", F.round("text_rank", 6))
 
 
@@ -111,14 +111,14 @@ SELECT query_id, df AS stored, false AS read_too_much FROM one JOIN df ON token
 def h3_rows_read(d: Data):
     """Postings stored for one-word queries, and whether the 20 best of a common word took a tenth of them or more."""
     words = d.sql(_COMMON.format(t="@"))
-    _, read = text_index.indexed_scores(_stored(d), words, 20)
+    _, read = text_index.indexed_scores(stored_postings(d), words, 20)
     return read.select("query_id", "stored", ((F.col("stored") > 1000) & (F.col("read") * 10 > F.col("stored"))).alias(
         "read_too_much"))
 
 
 @query("h3_text_search_english")
 def h3_english(d: Data):
-    return text_index.indexed_text_search(d.view("etext"), _stored(d, "english"), _texts(d), 20, filtered=False)
+    return text_index.indexed_text_search(d.view("etext"), stored_postings(d, "english"), _texts(d), 20, filtered=False)
 
 
 # --- vectors ----------------------------------------------------------------------------------------------
@@ -145,7 +145,7 @@ def h5(d: Data):
     return search_vector.lsh_search(d.view("etext"), _centroids(d), 20)
 
 
-def _vector_index(d: Data):
+def stored_vectors(d: Data):
     path = d.stored("vectors", lambda folder: vector_index.build_vector_index(d.view("etext"), folder))
     return vector_index.VectorIndex(d.spark, path)
 
@@ -153,7 +153,7 @@ def _vector_index(d: Data):
 def _near(d: Data):
     """20 hits per centroid: three quarters of the cells are looked up, as the vectors hardly cluster, and a twentieth of
     the rows is compared."""
-    index = _vector_index(d)
+    index = stored_vectors(d)
     return index, vector_index.indexed_search(index, _centroids(d), 20, 48, max(40, index.rows // 20))
 
 
@@ -190,7 +190,7 @@ SELECT query_id, CAST(rank AS INT) AS rank, f.id, round(rrf, 9) AS rrf_score, CA
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS rank FROM fused) f
 LEFT JOIN sims ON sims.label = f.query_id % 10 AND sims.id = f.id WHERE rank <= 20""")
 def h6(d: Data):
-    out = search.hybrid_search(d.view("etext"), _queries(d), _stored(d), k=20, analyzer="plain", score="tf")
+    out = search.hybrid_search(d.view("etext"), _queries(d), stored_postings(d), k=20, analyzer="plain", score="tf")
     return out.withColumn("rrf_score", F.round("rrf_score", 9))
 
 
@@ -206,7 +206,7 @@ r AS (SELECT query_id, m.id, row_number() OVER (PARTITION BY query_id ORDER BY m
 SELECT query_id, CAST(rank AS INT) AS rank, e.id, e.category, e.domain, e.confidence, e.aieo_score,
        CAST(NULL AS DOUBLE) AS vector_similarity FROM r JOIN etext e ON e.id = r.id WHERE rank <= 10""")
 def h9(d: Data):
-    return search.search(d.view("etext"), _texts(d), "text", Filters(min_confidence=0.2), 10, _stored(d), analyzer="plain", score="tf")
+    return search.search(d.view("etext"), _texts(d), "text", Filters(min_confidence=0.2), 10, stored_postings(d), analyzer="plain", score="tf")
 
 
 @query("h9_search_vector", "etext", f", {_VECTORS.format(source='etext')}, " + f"""
@@ -221,7 +221,7 @@ def h9_vector(d: Data):
   LEFT JOIN sims ON sims.label = f.query_id % 10 AND sims.id = f.id WHERE rank <= 20)
 SELECT query_id, rank, e.id, category, domain, confidence, aieo_score, vector_similarity FROM best JOIN etext e ON e.id = best.id""")
 def h9_hybrid(d: Data):
-    return search.search(d.view("etext"), _queries(d), "hybrid", k=20, postings=_stored(d), analyzer="plain", score="tf")
+    return search.search(d.view("etext"), _queries(d), "hybrid", k=20, postings=stored_postings(d), analyzer="plain", score="tf")
 
 
 @query("h9_search_browse", "ent", """

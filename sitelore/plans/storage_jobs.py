@@ -85,4 +85,20 @@ def f14(d: Data):
     return d.spark.read.parquet(path).select(*relational.f1c(d).columns)
 
 
+@query("f14_maintained_products_view")
+def f14_maintained(d: Data):
+    """The view follows the entities from a version with other, missing and further rows."""
+    store = TableStore(d.spark, _folder(d))
+    ent = d.view("ent")
+    number = F.regexp_extract("id", "([0-9]+)$", 1).cast("long")
+    other = ent.filter(number % 10 != 3).withColumn("confidence", F.when(number % 7 == 1, 0.1).otherwise(F.col("confidence")))
+    store.write("entities", other.unionByName(ent.filter(number % 5 == 2).withColumn("id", F.concat(F.lit("gone-"), "id"))))
+    store.write("entities", ent)
+    maintained = views.MaintainedViews(store, _folder(d), ("products_view",))
+    maintained.build(1)
+    maintained.follow(1, 2)
+    return maintained.read("products_view").select(*relational.f1c(d).columns)
+
+
+ORACLES["f14_maintained_products_view"] = ORACLES["f1c_products_view"]
 ORACLES["f14_refreshed_products_view"] = ORACLES["f1c_products_view"]

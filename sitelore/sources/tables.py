@@ -38,8 +38,9 @@ class TableStore:
         versions = self._versions(name)
         return f"{self.root}/{name}/v={versions[-1]}" if versions else None
 
-    def read(self, name: str) -> DataFrame:
-        path = self.path(name)
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        """The newest version, or the one asked for."""
+        path = self.path(name) if version is None else f"{self.root}/{name}/v={version}"
         if path is None:
             return self.spark.createDataFrame([], schemas.TABLES[name])
         columns = schemas.struct(schemas.TABLES[name]).names

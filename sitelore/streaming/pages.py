@@ -122,6 +122,11 @@ def batch_rows(spark: SparkSession, root: str, batches: list[int]) -> tuple[Data
     return fold_page_batches(read("page_batches", BATCH_PAGE)), last
 
 
+def first_submissions(submitted: DataFrame, ts: str = "ts", tie: str = "id") -> DataFrame:
+    """J7 on a table: the first row of each url (ties by `tie`), as `dedupe_stream` with a watermark over the whole table."""
+    return submitted.groupBy("url").agg(F.min_by(F.struct(*submitted.columns), F.struct(ts, tie)).alias("r")).select("r.*")
+
+
 def dedupe_stream(submitted: DataFrame, watermark: str = "1 hour", ts: str = "ts") -> DataFrame:
     """The first submission of each url within the watermark."""
     return submitted.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["url"])

@@ -1,5 +1,6 @@
 """Hand-worked rows for the rules that come from code rather than SQL."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -193,3 +194,26 @@ def test_stored_entities_are_updated(spark):
     got = {r["id"]: r for r in upsert.append_entities(old, new, datetime(2024, 2, 1)).collect()}
     assert {k: (r["searchable_text"], r["aieo_score"], r["created_at"].month, r["updated_at"].month) for k, r in got.items()} == {
         "a": ("x2", 2.0, 1, 2), "b": ("y", 1.0, 1, 1), "c": ("z", 3.0, 2, 2)}
+
+
+def test_host_authority_is_weighted_pagerank(spark):
+    rng = random.Random(6)
+    weights = {}
+    for _ in range(260):
+        a, b = rng.randrange(60), int(rng.paretovariate(1)) % 60
+        weights[a, b] = weights.get((a, b), 0) + rng.randrange(1, 9)
+    edges = spark.createDataFrame([(f"h{a}", f"h{b}", w) for (a, b), w in weights.items()], "src string, dst string, weight long")
+    links = {(a, b): w for (a, b), w in weights.items() if a != b}
+    hosts = sorted({h for pair in links for h in pair})
+    out = {h: sum(w for (a, _), w in links.items() if a == h) for h in hosts}
+    rank = {h: 1 / len(hosts) for h in hosts}
+    for _ in range(500):
+        loose = sum(r for h, r in rank.items() if not out[h])
+        new = {h: 0.15 / len(hosts) + 0.85 * loose / len(hosts) for h in hosts}
+        for (a, b), w in links.items():
+            new[b] += 0.85 * rank[a] * w / out[a]
+        rank = new
+    best = max(rank.values())
+    got = {r.host: r.authority for r in analytics.host_authority(edges, tolerance=1e-9).collect()}
+    assert got.keys() == {f"h{h}" for h in hosts}
+    assert all(abs(got[f"h{h}"] - 100 * r / best) < 1e-4 for h, r in rank.items())

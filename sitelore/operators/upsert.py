@@ -47,11 +47,11 @@ def upsert_pages(pages: DataFrame, batch: DataFrame, now: datetime) -> DataFrame
     """
     current = schemas.conform(pages, "pages")
     columns = [c for c in current.columns if c != "url"]
-    new = schemas.conform(batch, "pages") if "batches" not in batch.columns else batch.select(
-        *schemas.conform(batch, "pages").columns, "batches", "first_hash", "varied")
+    folded = ("batches", "first_hash", "varied") if "batches" in batch.columns else ()
+    new = schemas.conform(batch, "pages", folded)
     incoming = new.select(
         "url", *[F.col(c).alias(f"n_{c}") for c in columns],
-        *([F.col(c).alias(f"n_{c}") for c in ("batches", "first_hash", "varied")] if "batches" in new.columns else
+        *([F.col(c).alias(f"n_{c}") for c in folded] if folded else
           [F.lit(1).alias("n_batches"), F.col("content_hash").alias("n_first_hash"), F.lit(False).alias("n_varied")]),
         F.lit(True).alias("__new"))
     joined = current.withColumn("__old", F.lit(True)).join(incoming, "url", "full_outer")

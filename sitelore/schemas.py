@@ -107,8 +107,8 @@ ENTITY_DATA = {
 }
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
-    """Project to the columns of `table` in order: cast, add missing ones as their default or null."""
+def conform(df: DataFrame, table: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Project to the columns of `table` in order, and `extra`: cast, add missing ones as their default or null."""
     have = set(df.columns)
     defaults = DEFAULTS.get(table, {})
     columns = []
@@ -118,4 +118,4 @@ def conform(df: DataFrame, table: str) -> DataFrame:
         else:
             column = F.lit(defaults.get(field.name)).cast(field.dataType)
         columns.append(column.alias(field.name))
-    return df.select(*columns)
+    return df.select(*columns, *extra)

@@ -534,8 +534,10 @@ c AS (SELECT bucket AS b, sum(n) OVER (ORDER BY bucket) AS up_to, sum(n) OVER ()
 q AS (SELECT min(b) AS b FROM c WHERE up_to >= ceil(total * 0.95::DOUBLE))
 SELECT 'query_latency_p95_ms' AS metric, round({_MIDDLE}, 6) AS value, '>' AS op, 500::DOUBLE AS threshold, {_MIDDLE} > 500 AS alert FROM q""")
 def l7_latency(d: Data):
-    p95 = windows.sketch_quantile(_latencies(d), 0.95, [])
-    rows = p95.select(F.lit("query_latency_p95_ms").alias("metric"), "value")
+    sketch = _latencies(d)
+    rows = [windows.sketch_quantile(sketch, share / 100, []).select(F.lit(f"query_latency_p{share}_ms").alias("metric"), "value")
+            for share in (50, 95)]
+    rows = rows[0].unionByName(rows[1])  # the median has no rule
     return quality.evaluate_alerts(rows).withColumn("value", F.round("value", 6))
 
 

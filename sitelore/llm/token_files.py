@@ -145,7 +145,7 @@ def encode_documents(docs: DataFrame, path: str, end: int) -> DataFrame:
     """(chunk, doc_id, n, crc, ids): ids are compressed for the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in large(batches, "text", 4 << 20, "tokens"):
             found = tokens.encode(batch.column("text").to_pylist(), end)
             wide = [x.astype("<u4").tobytes() for x in found]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from math import ceil, log
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -194,8 +195,11 @@ def host_authority(edges: DataFrame, rounds: int = 200, damping: float = 0.85, t
 
     Where the value comes from is left open by the described model. Contributions are combined map-side per target;
     hosts without outgoing links spread their rank evenly. Every round is written to the checkpoint folder; only its
-    two totals (rank of hosts without links, movement) come to the driver.
+    two totals (rank of hosts without links, movement) come to the driver. The first movement is at most 2 and each
+    next one at most `damping` times the one before, so a graph that takes more than `rounds` goes on for as many as
+    any graph can need.
     """
+    rounds = max(rounds, 1 + ceil(log(tolerance / 2) / log(damping)))
     edges = edges.filter(F.col("src") != F.col("dst"))
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     shares = cut_lineage(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelore.functions.chunked import top_per_key
 from sitelore.functions.text import STOP_WORDS, stem_column, tokens, trigrams, words
-from sitelore.session import cut_lineage
+from sitelore.session import cut_lineage, spread, task_count
+
+SIZE_STEP = 1.02  # sizes of one class differ by less
+MARKS = 4  # words of 64 bits that sum up a text's grams
 
 
 def _analysed(text: Column, analyzer: str, positions: bool = False) -> Column:
@@ -27,10 +32,11 @@ def build_postings(entities: DataFrame, id_col: str = "id", text_col: str = "sea
     """H1: (token, id, tf, length[, positions]); `length` is the text's number of tokens.
 
     Texts are hashed by their id, which is less to move than their postings would be; counting (id, token) then needs
-    no further shuffle. Stems are taken after counting, once per distinct token of a batch, by one Arrow function.
+    no further shuffle. The number of tasks follows the input, so that a task's counts do not grow with it. Stems are taken after counting, once per distinct token of a batch, by one Arrow function.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = entities.select(F.col(id_col).alias("id"), text.alias("text")).repartition("id")
+    docs = entities.select(F.col(id_col).alias("id"), text.alias("text"))
+    docs = docs.repartition(task_count(docs), "id")
     docs = docs.select("id", _analysed(F.col("text"), analyzer, positions).alias("tokens"))
     flat = F.inline("tokens") if positions else F.explode("tokens").alias("token")
     terms = docs.select("id", F.size("tokens").cast("bigint").alias("length"), flat)
@@ -127,33 +133,48 @@ def _grams(df: DataFrame, key: str, text: Column, size: str) -> DataFrame:
 
 
 def _prefixes(grams: DataFrame, keys: DataFrame, key: str, size: str, threshold: float) -> DataFrame:
-    """(key, size, pos, gram): the n - ceil(t n) + 1 first grams of each text by (rarity, gram). Grams that only one side
+    """(key, size, pos, gram, known, marks): the n - ceil(t n) + 1 first grams of each text by (rarity, gram). Grams that only one side
     has come first; they take places and need not be looked up."""
     order = Window.partitionBy(key).orderBy("rarity", "gram")
-    known = grams.join(keys, "gram")
+    # many rows in few bytes: the planner would put them into one task
+    known = grams.join(keys, "gram").repartition(task_count(grams), key)
+    whole = Window.partitionBy(key)
+    marks = [F.coalesce(F.bit_or(F.expr(f"CASE WHEN pmod(xxhash64(gram), {MARKS}) = {i} THEN shiftleft(1L, CAST(pmod(hash(gram), 64) AS INT)) END"))
+                        .over(whole), F.lit(0)) for i in range(MARKS)]
     placed = known.withColumn("k", F.row_number().over(order)).withColumn(
-        "known", F.count("*").over(Window.partitionBy(key)))
+        "known", F.count("*").over(whole)).withColumn("marks", F.array(*marks))
     at = F.col(size) - F.col("known") + F.col("k")
     last = F.col(size) - F.ceil(F.col(size) * threshold - 1e-9) + 1
-    return placed.withColumn("pos", at).filter(F.col("pos") <= last).select(key, size, "pos", "gram")
+    return placed.withColumn("pos", at).filter(F.col("pos") <= last).select(key, size, "pos", "gram", "known", "marks")
 
 
 def trigram_candidates(docs: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
     """(query_id, id) of the pairs that prefix, size and position leave of rows (id, n_doc, gram), (query_id, n_query, gram).
 
     Texts of similarity t share one of their n - ceil(t n) + 1 rarest grams, their sizes differ by no more than t, and
-    from the first shared gram on enough grams are left on both sides.
+    from the first shared gram on enough grams are left on both sides. Texts meet by (gram, class of n_doc): a query's gram
+    goes only to the classes it can reach from its place, which are a bounded number.
     """
     frequency = docs.groupBy("gram").agg(F.count("*").alias("df"))
     keys = cut_lineage(asked.groupBy("gram").agg(F.count("*").alias("qf")).join(frequency, "gram").select(
         "gram", (F.col("qf") * F.col("df")).alias("rarity")))
-    left = _prefixes(docs, keys, "id", "n_doc", threshold)
-    right = _prefixes(asked, keys, "query_id", "n_query", threshold).withColumnRenamed("pos", "at")
     a, b = F.col("n_doc"), F.col("n_query")
+    left = cut_lineage(_prefixes(docs, keys, "id", "n_doc", threshold).withColumn(
+        "class", F.floor(F.log(a) / log(SIZE_STEP))))
+    right = _prefixes(asked, keys, "query_id", "n_query", threshold).withColumnsRenamed({"pos": "at", "known": "sought", "marks": "others"})
+    # a text may be as long as this, times the threshold, and have enough grams from here on
+    reach = F.col("n_doc") - (F.col("pos") - 1) * (1 + threshold)
+    sizes = left.groupBy("gram", "class").agg(F.min("n_doc").alias("shortest"), F.max(reach).alias("reach"))
+    right = right.join(sizes, "gram").filter(
+        (F.col("shortest") * threshold <= b - (F.col("at") - 1) * (1 + threshold) + 1e-6)
+        & (b * threshold <= F.col("reach") + 1e-6)).drop("shortest", "reach")
     size = (F.least(a, b) >= F.greatest(a, b) * threshold - 1e-9)
     need = F.ceil((a + b) * (threshold / (1 + threshold)) - 1e-9)
     place = 1 + F.least(a - F.col("pos"), b - F.col("at")) >= need
-    return left.join(right, "gram").filter(size & place).select("query_id", "id", "n_query", "n_doc").distinct()
+    # a bit that only one side has is a gram that only one side has
+    apart = sum((F.bit_count(F.element_at("marks", i + 1).bitwiseXOR(F.element_at("others", i + 1))) for i in range(MARKS)), F.lit(0))
+    near = apart <= F.col("known") + F.col("sought") - 2 * need
+    return left.join(right, ["gram", "class"]).filter(size & place & near).select("query_id", "id", "n_query", "n_doc").distinct()
 
 
 def trigram_search(df: DataFrame, queries: DataFrame, threshold: float = 0.3, k: int | None = None,
@@ -163,8 +184,9 @@ def trigram_search(df: DataFrame, queries: DataFrame, threshold: float = 0.3, k:
     Candidates come from the rarest grams only (see `trigram_candidates`); the shared grams of a candidate are counted
     by joining both texts' grams that occur on the other side at all.
     """
-    docs = _grams(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")), "id", F.col("__text"), "n_doc")
-    asked = cut_lineage(_grams(queries, "query_id", F.col("query"), "n_query"))
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"))
+    docs = _grams(spread(texts, "id"), "id", F.col("__text"), "n_doc")
+    asked = cut_lineage(_grams(spread(queries, "query_id"), "query_id", F.col("query"), "n_query"))
     docs = cut_lineage(docs.join(asked.select("gram").distinct(), "gram", "left_semi"))
     pairs = cut_lineage(trigram_candidates(docs, asked, threshold))
     texts = docs.join(pairs.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_list("gram").alias("g"))

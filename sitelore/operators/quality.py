@@ -178,13 +178,15 @@ def stale_entities(entities: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def orphan_relationships(rels: DataFrame, entities: DataFrame) -> DataFrame:
-    """L4: edges with a missing end, and which end it is."""
-    ids = entities.select("id")
-    no_from = (rels.join(ids.withColumnRenamed("id", "from_entity_id"), "from_entity_id", "left_anti")
-               .select("from_entity_id", "to_entity_id", "relationship_type", F.lit("from").alias("missing")))
-    no_to = (rels.join(ids.withColumnRenamed("id", "to_entity_id"), "to_entity_id", "left_anti")
-             .select("from_entity_id", "to_entity_id", "relationship_type", F.lit("to").alias("missing")))
-    return no_from.unionByName(no_to)
+    """L4: edges with a missing end, and which end it is. The edges are read once and marked at both ends."""
+    edge = ["from_entity_id", "to_entity_id", "relationship_type"]
+    ids = entities.select("id").distinct()
+    marked = rels.select(*edge)
+    for end in edge[:2]:
+        marked = marked.join(ids.select(F.col("id").alias(end), F.lit(True).alias(f"__{end}")), end, "left")
+    missing = F.array_compact(F.array(F.when(F.col("__from_entity_id").isNull(), "from"),
+                                      F.when(F.col("__to_entity_id").isNull(), "to")))
+    return marked.select(*edge, F.explode(missing).alias("missing"))
 
 
 _REQUIRED = {  # payload fields whose absence is reported

@@ -19,15 +19,23 @@ contributions of their slots cannot reach it or a token has no slot there. Resul
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelore.functions.chunked import top_per_key
 from sitelore.operators.search_text import build_postings, query_terms
-from sitelore.session import cut_lineage
+from sitelore.session import cut_lineage, ensure_checkpoint_dir, task_count
 
-SLOT_ROWS, BLOCK_ROWS = 8, 128
+SLOT_ROWS, BLOCK_ROWS = 32, 128
+#: shares of a common token's postings, and the part of the texts from which a token is common
+SALTS, COMMON = 8, 64
+#: tasks whose postings are packed together
+PACKED_TASKS = 4
 STEPS = 8  # impact levels for each halving of what a contribution lacks to its limit
 K1, B = 1.2, 0.75
 #: postings of the rarest token that the first wave reads, for each result wanted
@@ -38,6 +46,10 @@ def _slot(slots: Column) -> Column:
     return F.xxhash64("id").bitwiseAND(slots - 1)
 
 
+def _salt(key: str | Column) -> Column:
+    return F.xxhash64(key).bitwiseAND(F.lit(SALTS - 1)).cast("int")
+
+
 class TextIndex:
     """The stored postings of one folder. The slots get a name in this session's catalog, so that joins on (token, slot)
     read their buckets as they are."""
@@ -69,47 +81,105 @@ def _bm25(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+def _packs(postings: DataFrame) -> DataFrame:
+    """(token, salt, ids, tfs, lengths): the postings of a token in one task, packed for the shuffle. Where they are many
+    they are cut by salt, the low bits of the id's hash; else the salt is null."""
+    rows = postings.select("token", _salt("id").alias("salt"), "id", F.col("tf").cast("int"), F.col("length").cast("int"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, salt = batch.column("token"), batch.column("salt").to_numpy()
+            first = np.append(True, pc.not_equal(token[1:], token[:-1]).to_numpy(zero_copy_only=False))
+            many = (np.diff(np.flatnonzero(first), append=len(salt)) >= 4 * SALTS)[np.cumsum(first) - 1]
+            starts = np.flatnonzero(first | (many & np.append(True, salt[1:] != salt[:-1])))
+            ends = pa.array(np.append(starts, len(salt)), pa.int32())
+            yield pa.record_batch(
+                [token.take(pa.array(starts)), pa.array(salt[starts], pa.int32(), mask=~many[starts])]
+                + [pa.ListArray.from_arrays(ends, batch.column(name)) for name in ("id", "tf", "length")],
+                ["token", "salt", "ids", "tfs", "lengths"])
+
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, task_count(postings) // PACKED_TASKS)
+    return rows.coalesce(tasks).sortWithinPartitions("token", "salt", "id").mapInArrow(
+        pack, f"token string, salt int, ids array<{kind}>, tfs array<int>, lengths array<int>")
+
+
+def _power(wanted: Column) -> Column:
+    """The power of two from `wanted` on."""
+    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), wanted)))).cast("long")
+
+
 def build_text_index(entities: DataFrame, path: str, analyzer: str = "english", id_col: str = "id",
                      text_col: str = "searchable_text", buckets: int | None = None) -> TextIndex:
     """Write the index of all texts to the folder `path`. Texts without tokens are not in it.
 
-    A common token is spread over its slots, so no row or task holds more than about SLOT_ROWS of its postings.
+    Postings are shuffled in packs of one token. Tokens that many texts hold are dealt by (token, salt), the others by
+    token, so the number of broadcast tokens has a limit and no task gets the whole of a common one. Slots and parts are
+    finer than the salts, so both are grouped where the packs arrive. The number of tasks follows the input.
     """
     spark = entities.sparkSession
-    postings = cut_lineage(build_postings(entities, id_col, text_col, analyzer))
-    lengths = postings.groupBy("id").agg(F.max("length").alias("length"))
+    packs = cut_lineage(_packs(build_postings(entities, id_col, text_col, analyzer)))
+    lengths = packs.select(F.inline(F.arrays_zip("ids", "lengths"))).groupBy("ids").agg(F.max("lengths").alias("length"))
     n, mean = lengths.agg(F.count("*"), F.avg("length")).first()
     mean = float(mean or 1.0)
-    terms = postings.groupBy("token").agg(
-        F.count("*").alias("df"), F.max("tf").alias("top_tf"),
-        F.max(_bm25(F.col("tf"), F.col("length"), F.lit(mean))).alias("top_bm25"))
-    wanted = F.greatest(F.lit(1.0), F.col("df") / SLOT_ROWS)
-    terms = terms.withColumn("slots", F.pow(F.lit(2.0), F.ceil(F.log2(wanted))).cast("long"))
-    terms.sortWithinPartitions("token").write.parquet(f"{path}/terms")
-    stored = spark.read.parquet(f"{path}/terms")
-    part = _bm25(F.col("tf"), F.col("length"), F.lit(mean))
-    rows = postings.join(stored.select("token", "slots", "df"), "token").withColumn("bm25", part)
-    slots = _packed(rows.withColumn("slot", _slot(F.col("slots"))), ["token", "slot"])
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"slots_{uuid.uuid4().hex}"
-    dealt = slots.repartition(buckets, "token", "slot")
-    dealt.write.bucketBy(buckets, "token", "slot").sortBy("token", "slot").option("path", f"{path}/slots").saveAsTable(name)
-    spark.sql(f"DROP TABLE {name}")  # the files stay; each session names them anew
+    terms = packs.groupBy("token").agg(
+        F.sum(F.size("ids")).alias("df"), F.max(F.array_max("tfs")).cast("long").alias("top_tf"), F.max(_best(mean)).alias("top_bm25"))
+    terms = terms.withColumn("slots", _power(F.col("df") / SLOT_ROWS))
+    terms.sortWithinPartitions("token").write.option("compression", "zstd").parquet(f"{path}/terms")
+    # no more than COMMON times the tokens of an average text
+    common = spark.read.parquet(f"{path}/terms").filter(F.col("df") > max(n / COMMON, BLOCK_ROWS * 8 * SALTS))
+    dealt = packs.join(F.broadcast(common.select("token", "df")), "token", "left")
+    one = F.transform(F.arrays_zip("ids", "tfs", "lengths"), lambda p: F.struct(
+        _salt(p["ids"]).alias("salt"), F.array(p["ids"]).alias("ids"), F.array(p["tfs"]).alias("tfs"), F.array(p["lengths"]).alias("lengths")))
+    whole = F.array(F.struct(F.when(F.col("df").isNull(), 0).otherwise(F.col("salt")).alias("salt"), "ids", "tfs", "lengths"))
+    dealt = dealt.select("token", "df", F.inline(F.when(F.col("df").isNotNull() & F.col("salt").isNull(), one).otherwise(whole)))
+    tasks = task_count(packs)
+    # all postings of a token that is not common come together
+    held = F.sum(F.size("ids")).over(Window.partitionBy("token", "salt"))
+    dealt = dealt.repartition(tasks, "token", "salt").withColumn("df", F.coalesce("df", held))
+    name = f"packs_{uuid.uuid4().hex}"
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sitelore/{uuid.uuid4().hex}"
+    _bucketed(dealt, ["token", "salt"], tasks, name, folder)  # read twice as it was dealt
+    rows = spark.table(name).select("token", "salt", "df", F.inline(F.arrays_zip("ids", "tfs", "lengths"))).withColumnsRenamed(
+        {"ids": "id", "tfs": "tf", "lengths": "length"})
+    rows = rows.withColumn("bm25", _bm25(F.col("tf"), F.col("length"), F.lit(mean)))
+    slots = _packed(rows.withColumn("slot", _slot(_power(F.col("df") / SLOT_ROWS))), ["token", "slot"])
+    buckets = buckets or tasks
+    slots, table = _topped(slots.repartition(buckets, "token", "slot"), mean), f"slots_{uuid.uuid4().hex}"
+    _bucketed(slots, ["token", "slot"], buckets, table, f"{path}/slots")
+    spark.sql(f"DROP TABLE {table}")  # the files stay; each session names them anew
     level = F.floor(-STEPS * F.log2(1 - F.col("bm25") / (K1 + 1))).cast("int")
-    parts = F.ceil(F.col("df") / (BLOCK_ROWS * 8))  # a level of a common token is cut into parts
-    levelled = rows.withColumn("level", level).withColumn("part", F.pmod(F.xxhash64("id"), parts))
-    _packed(levelled, ["token", "level", "part"]).sortWithinPartitions("token", F.desc("level")).write.parquet(f"{path}/impacts")
+    levelled = rows.withColumn("level", level).withColumn("part", _slot(_power(F.col("df") / (BLOCK_ROWS * 8))))
+    impacts = _topped(_packed(levelled, ["token", "level", "part"]), mean)
+    impacts.sortWithinPartitions("token", F.desc("level")).write.option("compression", "zstd").parquet(f"{path}/impacts")
+    spark.sql(f"DROP TABLE {name}")
     spark.createDataFrame([(n, mean, analyzer, buckets, entities.schema[id_col].dataType.simpleString())],
                           "n long, mean double, analyzer string, buckets int, id string").coalesce(1).write.json(f"{path}/stats")
     return TextIndex(spark, path)
 
 
+def _bucketed(rows: DataFrame, keys: list[str], buckets: int, name: str, path: str) -> None:
+    rows.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).option("compression", "zstd").saveAsTable(name)
+
+
 def _packed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    packed = rows.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("id", "tf", "length"))).alias("p"), F.max("tf").alias("top_tf"),
-        F.max("bm25").alias("top_bm25"))
-    return packed.select(*keys, F.size("p").alias("n"), "top_tf", "top_bm25", F.col("p.id").alias("ids"),
-                         F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"))
+    """One row per key, whose postings share the salt that dealt them."""
+    packed = rows.groupBy("salt", *keys).agg(F.array_sort(F.collect_list(F.struct("id", "tf", "length"))).alias("p"))
+    return packed.select(*keys, F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"))
+
+
+def _best(mean: float) -> Column:
+    """The greatest part of a pack's contributions."""
+    return F.array_max(F.zip_with("tfs", "lengths", lambda tf, length: _bm25(tf, length, F.lit(mean))))
+
+
+def _topped(packed: DataFrame, mean: float) -> DataFrame:
+    keys = [name for name in packed.columns if name not in ("ids", "tfs", "lengths")]
+    return packed.select(*keys, F.size("ids").alias("n"), F.array_max("tfs").cast("long").alias("top_tf"), _best(mean).alias("top_bm25"),
+                         "ids", F.col("tfs").cast("array<long>").alias("tfs"), F.col("lengths").cast("array<long>").alias("lengths"))
 
 
 def _asked(index: TextIndex, queries: DataFrame, score: str) -> DataFrame:

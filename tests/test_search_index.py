@@ -119,3 +119,23 @@ def test_vector_index_reads_probed_cells(spark, tmp_path):
     empty = vector_index.build_vector_index(entities.limit(0), f"{tmp_path}/e")
     asked = spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<double>")
     assert empty.rows == 0 and vector_index.indexed_search(empty, asked).count() == 0
+
+
+def test_postings_move_in_packs_and_common_tokens_are_dealt(spark, tmp_path, monkeypatch):
+    docs = corpus(spark, 800, 5)
+    postings = search_text.build_postings(docs, analyzer="plain").coalesce(2)
+    packs = text_index._packs(postings)
+    assert rows(packs.select("token", F.inline(F.arrays_zip("ids", "tfs", "lengths")))) == rows(postings)
+    assert packs.count() * 4 < postings.count()
+    # tokens of more than 16 texts are dealt by salt
+    monkeypatch.setattr(text_index, "COMMON", 1e9)
+    monkeypatch.setattr(text_index, "BLOCK_ROWS", 0.25)
+    monkeypatch.setattr(text_index, "SLOT_ROWS", 2)
+    index = text_index.build_text_index(docs, f"{tmp_path}/text", "plain", buckets=3)
+    for table, keys in ((index.slots(), ["token", "slot"]), (index.impacts(), ["token", "level", "part"])):
+        assert table.count() == table.select(*keys).distinct().count()
+        assert rows(table.select("token", F.inline(F.arrays_zip("ids", "tfs", "lengths")))) == rows(postings)
+    asked = spark.createDataFrame(QUERIES, "query_id long, query string")
+    for score in ("bm25", "tf"):
+        want = rows(search_text.text_search(docs, postings, asked, 3, "plain", score))
+        assert rows(text_index.indexed_text_search(docs, index, asked, 3, score, filtered=False)) == want

@@ -141,11 +141,20 @@ def _any_in(text: Column, needles: tuple[str, ...]) -> Column:
 
 
 def detect_flows(records: DataFrame) -> DataFrame:
-    """E5 over (page_id, url, cleaned_dom, forms): one row per multi-step flow."""
+    """E5 over (page_id, url, cleaned_dom, forms): one row per multi-step flow.
+
+    The records are read once: a page's login flow is one more element behind its forms.
+    """
     calendar = _any_in(F.coalesce("cleaned_dom", F.lit("")), ("calendly", "acuity", "booking"))
-    pages = records.select("page_id", "url", calendar.alias("calendar"), "forms")
-    forms = pages.select("page_id", "url", "calendar", F.posexplode("forms").alias("ord", "f"))
-    forms = forms.filter(F.size("f.fields") >= 2)
+    password = F.exists("forms", lambda f: F.exists(
+        f["fields"], lambda x: (x["type"] == "password") | F.lower(x["name"]).contains("password")))
+    found = F.transform("forms", lambda f: F.struct(F.lit(False).alias("login"), f.alias("f")))
+    nothing = F.lit(None).cast(records.schema["forms"].dataType.elementType)
+    login = F.array(F.struct(F.lit(True).alias("login"), nothing.alias("f")))
+    found = F.when(password, F.concat(found, login)).otherwise(found)
+    pages = records.select("page_id", "url", calendar.alias("calendar"), F.posexplode(found).alias("ord", "p"))
+    forms = pages.select("page_id", "url", "calendar", "ord", "p.login", "p.f")
+    forms = forms.filter(F.col("login") | (F.size("f.fields") >= 2))
     label = F.lower(F.coalesce("f.submit_label", F.lit("")))
     action = F.coalesce("f.action", F.lit(""))
     lowered = F.lower(action)
@@ -163,16 +172,12 @@ def detect_flows(records: DataFrame) -> DataFrame:
         F.when(_any_in(action, ("thank", "confirm", "success")), _step(3, "confirmation_page", page=action)),
         F.when(F.col("calendar"), _step(0, "booking_calendar", contains="calendar_embed"))))
     steps = F.transform(steps, lambda s, i: s.withField("step", (i + 1).cast("int")))
-    flows = forms.select("page_id", "url", "ord", name.alias("name"), F.lit(False).alias("requires_auth"),
-                         steps.cast(f"array<{_STEP}>").alias("steps"))
-    password = F.exists("forms", lambda f: F.exists(
-        f["fields"], lambda x: (x["type"] == "password") | F.lower(x["name"]).contains("password")))
     login_steps = F.array(_step(1, "fill_credentials", page=F.col("url")),
                           _step(2, "submit_login", expects=F.lit("redirect_to_dashboard")))
-    login = pages.filter(password).select(
-        "page_id", "url", F.size("forms").alias("ord"), F.lit("login_flow").alias("name"),
-        F.lit(True).alias("requires_auth"), login_steps.cast(f"array<{_STEP}>").alias("steps"))
-    return flows.unionByName(login)
+    is_login = F.col("login")
+    return forms.select(
+        "page_id", "url", "ord", F.when(is_login, "login_flow").otherwise(name).alias("name"), is_login.alias("requires_auth"),
+        F.when(is_login, login_steps.cast(f"array<{_STEP}>")).otherwise(steps.cast(f"array<{_STEP}>")).alias("steps"))
 
 
 def apply_page_score(entities: DataFrame, scores: DataFrame) -> DataFrame:

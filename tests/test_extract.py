@@ -111,3 +111,14 @@ def test_flows_and_challenges(spark):
         "cloudflare_challenge", 1.0, ["cf_chl_opt", r"hcaptcha\.com"])
     assert (flags[3].type, flags[3].needs_service, flags[3].confidence) == ("generic_captcha", True, 0.5)
     assert (flags[4].type, flags[4].detected, flags[4].confidence) == ("none", False, 0.0)
+
+
+def test_flows_parse_a_page_once(spark):
+    pages = spark.createDataFrame([
+        (1, "https://a.example.com/", "<form><input name=u><input name=p type=password></form><form><input name=q></form>"),
+        (2, "https://b.example.com/", "<form><input name=a><input name=b></form>"), (3, "https://c.example.com/", None)],
+        "page_id long, url string, html string")
+    flows = score.detect_flows(extract.extract_pages(pages, ["clean", "forms"]))
+    assert flows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = [(r.page_id, r.ord, r.name, r.requires_auth, len(r.steps)) for r in flows.orderBy("page_id", "ord").collect()]
+    assert got == [(1, 0, "general_form_flow", False, 2), (1, 2, "login_flow", True, 2), (2, 0, "general_form_flow", False, 2)]

@@ -15,7 +15,7 @@ import numpy as np
 from sitelore.llm.common import hold
 
 #: pieces whose ids a worker keeps, and texts whose pieces are looked up at a time
-CACHED, BATCH = 400_000, 512
+CACHED, BATCH = 800_000, 512
 _CUT = re.compile(r"(?<=\S)(?= )")
 _ENCODERS: dict[str, "Encoder"] = {}
 

@@ -377,3 +377,12 @@ def test_best_fit_closes_the_fullest():
 
 def test_packing_empty(empty):
     assert packing.op10_best_fit_packing(empty).count() == 0
+
+
+def test_encoder_keeps_the_pieces_of_half_a_million_words():
+    from sitelore.llm import tokens
+    coder = tokens.Encoder(tokens.default_path())
+    text = " ".join(f"w{k}" for k in range(500_000))
+    first, again = coder.encode([text, text], 2)
+    assert len(coder.cache) == 499_999 and (first == again).all()
+    assert first[:-1].tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids

@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelore.llm.common import cut_lineage, large, ranked
+from sitelore.llm.common import cut_lineage, large, ranked, small_batches
 from sitelore.llm.tokens import default_path, encoder
 
 CAPACITY = 1024
 OPEN_BINS = 65_536
 PER_PACKER = 50_000
+#: pieces of text whose ids a worker keeps, fewer than by default: the stages before have grown the executor
+CACHED = 400_000
 
 
 class BestFit:
@@ -76,7 +78,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, path: str, end: int, capacity: int) -> DataFrame:
     """(doc_id, h, n, crcs) per document, crcs with one checksum per piece."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(path)
+        tokens = encoder(path, CACHED)
         for batch in large(batches, "text", 4 << 20, "tokens"):
             found = [x.astype("<u4") for x in tokens.encode(batch.column("text").to_pylist(), end)]
             yield pa.record_batch([
@@ -91,8 +93,9 @@ def pieces(docs: DataFrame, path: str, end: int, capacity: int) -> DataFrame:
 def pack(docs: DataFrame, path: str | None = None, end: int = 2, capacity: int = CAPACITY,
          open_bins: int = OPEN_BINS, per_packer: int = PER_PACKER) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece."""
-    rows = cut_lineage(pieces(docs, path or default_path(), end, capacity).withColumn(
-        "h", F.xxhash64("doc_id", "crcs")).withColumn("row", F.monotonically_increasing_id()))
+    with small_batches(docs.sparkSession):
+        rows = cut_lineage(pieces(docs, path or default_path(), end, capacity).withColumn(
+            "h", F.xxhash64("doc_id", "crcs")).withColumn("row", F.monotonically_increasing_id()))
     share = -(-rows.count() // (rows.count() // per_packer + 1)) or 1
     rows = ranked(rows, ["h", "row"], "place").withColumn("packer", F.expr(f"(place - 1) div {share}")).drop("h", "row", "place")
 

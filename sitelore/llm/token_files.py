@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelore.llm.common import before, cut_lineage, large, order_chunks, partitions
+from sitelore.llm.common import before, cut_lineage, large, order_chunks, partitions, small_batches
 from sitelore.llm.tokens import default_path, encoder
 
 MAGIC = 0x31524F4650
@@ -194,7 +194,8 @@ def write_tokens(docs: DataFrame, path: str | None = None, end: int = 2) -> Data
         if held:
             yield close()
 
-    return cut_lineage(ordered.mapInArrow(segments, "shard int, segment int, documents long, ids long, data binary"))
+    with small_batches(docs.sparkSession):
+        return cut_lineage(ordered.mapInArrow(segments, "shard int, segment int, documents long, ids long, data binary"))
 
 
 def segment_starts(table: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 The byte-level pre-tokenizer never joins a character that is not white space to the space behind it, so a text may be
 cut in front of such a space and its pieces encoded apart. Words repeat, so each worker keeps the ids of up to
-`CACHED` pieces; others are encoded as they come. Results equal those of encoding the whole text.
+`CACHED` pieces, or of as many as the operator asks for; others are encoded as they come. Results equal those of encoding
+the whole text.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ def default_path() -> str:
 class Encoder:
     """Ids as little-endian bytes: two bytes an id for vocabularies up to 65 536, else four."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int | None = None):
+        self.cached = CACHED if cached is None else cached
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -62,7 +64,7 @@ class Encoder:
     def _add(self, cache: dict[str, bytes], asked: set[str], space: str) -> list[str]:
         """Encode the asked pieces that the cache lacks; what has to leave it after this batch."""
         new = list(asked.difference(cache))
-        room = max(0, CACHED - len(cache))
+        room = max(0, self.cached - len(cache))
         for k in range(0, len(new), 4096):
             part = new[k:k + 4096]
             cache.update(zip(part, self._encode([space + p for p in part])))
@@ -97,8 +99,11 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+def encoder(path: str, cached: int | None = None) -> Encoder:
+    """This worker's encoder; one that keeps another number of pieces is let go first."""
+    cached = CACHED if cached is None else cached
+    if path not in _ENCODERS or _ENCODERS[path].cached != cached:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path, cached)
     hold("tokens", _ENCODERS.clear)
     return _ENCODERS[path]

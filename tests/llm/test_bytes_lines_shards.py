@@ -386,3 +386,36 @@ def test_encoder_keeps_the_pieces_of_half_a_million_words():
     first, again = coder.encode([text, text], 2)
     assert len(coder.cache) == 499_999 and (first == again).all()
     assert first[:-1].tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_worker_keeps_as_many_pieces_as_the_operator_asks_for():
+    from sitelore.llm import tokens
+    path, text = tokens.default_path(), " ".join(f"w{k}" for k in range(500))
+    few = tokens.encoder(path, 100)
+    got = few.encode([text, text], 2)
+    assert len(few.cache) == 100 and (got[0] == got[1]).all()
+    assert got[0][:-1].tolist() == few.tokenizer.encode(text, add_special_tokens=False).ids
+    assert tokens.encoder(path, 100) is few
+    more = tokens.encoder(path)
+    assert more is not few and list(tokens._ENCODERS.values()) == [more]
+    assert packing.CACHED < tokens.CACHED
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    import pyarrow as pa
+    from sitelore.llm.common import ARROW_ROWS, small_batches
+    before = spark.conf.get(ARROW_ROWS)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows])], ["n"])
+
+    rows = spark.range(0, 5000, 1, 1)
+    with small_batches(spark):
+        got = [r["n"] for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) == 5000 and max(got) <= 1000
+    assert spark.conf.get(ARROW_ROWS) == before
+    with pytest.raises(ZeroDivisionError):
+        with small_batches(spark):
+            1 / 0
+    assert spark.conf.get(ARROW_ROWS) == before

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sitelore import session
-from sitelore.operators import analytics, assemble, quality, search_text
+from sitelore.operators import analytics, assemble, graph, quality, search_text
 
 from .test_plans import explain
 
@@ -57,3 +57,19 @@ def test_marked_ends(spark):
                            (None, "a", "r", "from")], key=str)
     kept = [tuple(r) for r in assemble.assemble_relationships(rels, ids).collect()]
     assert kept == [(None, "a", "r"), ("a", "b", "r"), ("a", "x", "r"), ("b", "a", None), ("x", "b", "r")]
+
+
+def test_the_edges_of_one_page_are_spread_over_tasks(spark):
+    """Every owner meets every other entity once, whatever block that is dealt to; null and repeated ids too."""
+    rows = ([(1, "organisation", f"o{k % 30}", 1.0) for k in range(40)] + [(1, "contact", f"c{k}", 1.0) for k in range(500)]
+            + [(1, "product", f"p{k % 300}", 1.0) for k in range(400)] + [(1, "regulation", None, 1.0)] * 3
+            + [(2, "contact", "c0", 1.0), (2, "organisation", "o0", None), (None, "organisation", "x", 1.0)])
+    ents = spark.createDataFrame(rows, "page_id long, category string, id string, aieo_score double").coalesce(1)
+    got = graph.derive_relationships(ents, crowd=50)
+    of = {c: [r[2] for r in rows if r[:2] == (1, c)] for c in ("organisation", "contact", "product", "regulation")}
+    want = ([(c, o, "works_at") for c in of["contact"] for o in of["organisation"]]
+            + [(o, p, "offers") for o in of["organisation"] for p in of["product"]]
+            + [(p, r, "regulated_by") for p in of["product"] for r in of["regulation"]] + [("c0", "o0", "works_at")])
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 4 and max(sizes) < len(want) / 2

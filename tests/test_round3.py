@@ -73,3 +73,29 @@ def test_the_edges_of_one_page_are_spread_over_tasks(spark):
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
     sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) > 4 and max(sizes) < len(want) / 2
+
+
+def test_many_owners_of_one_page_are_spread_too(spark):
+    """A page below 50,000 entities may still hold millions of edges; owners by the thousand are dealt like the others."""
+    page = spark.range(500).select(F.concat(F.lit("o"), "id").alias("id"), F.lit("organisation").alias("category"))
+    page = page.unionByName(spark.range(20_000).select(F.concat(F.lit("c"), "id").alias("id"), F.lit("contact").alias("category")))
+    ents = page.withColumns({"page_id": F.lit(1), "aieo_score": F.lit(1.0)})
+    got = graph.derive_relationships(ents)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 500 * 20_000 and max(sizes) < 0.8 * 500 * 20_000
+    turned = ents.withColumn("category", F.when(F.col("category") == "contact", "organisation").otherwise("contact"))
+    got = graph.derive_relationships(turned)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 500 * 20_000 and max(sizes) < 0.8 * 500 * 20_000
+
+
+def test_each_part_of_the_owners_meets_each_block_once(spark):
+    rows = ([(1, "product", f"p{k % 70}", 1.0) for k in range(90)] + [(1, "regulation", f"r{k % 40}", 1.0) for k in range(60)]
+            + [(1, "organisation", None, 1.0)] * 2 + [(1, "organisation", f"o{k}", None) for k in range(30)]
+            + [(2, "product", "p0", 1.0), (3, "organisation", "o0", 1.0), (None, "product", "x", 1.0), (1, None, "y", 1.0)])
+    ents = spark.createDataFrame(rows, "page_id long, category string, id string, aieo_score double")
+    got = graph.derive_relationships(ents, crowd=7, owners_at_once=11)
+    of = {c: [r[2] for r in rows if r[:2] == (1, c)] for c in ("organisation", "product", "regulation")}
+    want = ([(o, p, "offers") for o in of["organisation"] for p in of["product"]]
+            + [(p, r, "regulated_by") for p in of["product"] for r in of["regulation"]])
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
